@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, sharding, sql
+from . import line_dedup, mixing, sharding, sql, substring_dedup
 
 QUERIES = {
     "op3_mixing": mixing.op3,
     "op4_line_dedup": line_dedup.op4,
+    "op6_substring_dedup": substring_dedup.op6,
     "op9_sharding": sharding.op9,
 }
 
 ORACLE_SQL = {
     "op3_mixing": sql.OP3,
     "op4_line_dedup": sql.OP4,
+    "op6_substring_dedup": sql.OP6,
 }

@@ -56,3 +56,26 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+OP6 = r"""
+WITH listed AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, pos, md5(array_to_string(words[pos:pos + 49], ' ')) AS block
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS pos FROM listed WHERE len(words) >= 50)
+), first_seen AS (
+  SELECT block, min(doc_id) AS ref FROM windows GROUP BY block
+), spans AS (
+  SELECT w.doc_id, w.pos FROM windows w JOIN first_seen f ON w.block = f.block WHERE f.ref < w.doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS pos FROM spans
+), placed AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM listed
+), kept AS (
+  SELECT p.doc_id, count(*) AS n_kept, string_agg(p.word, ' ' ORDER BY p.pos) AS body
+  FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.pos = g.pos WHERE g.pos IS NULL GROUP BY p.doc_id
+)
+SELECT l.doc_id, len(l.words)::BIGINT AS n_words, (len(l.words) - coalesce(k.n_kept, 0))::BIGINT AS n_removed,
+       sha256(coalesce(k.body, '')) AS kept_sha256
+FROM listed l LEFT JOIN kept k ON l.doc_id = k.doc_id
+"""
