@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: Space and the five ASCII control characters that end a word or a line key.
 SPACE = r"\x20\x09-\x0D"
+SPACES = " \t\n\x0b\x0c\r"
 WORD = rf"[^{SPACE}]+"
 #: Stands for a null doc_id inside an operator, so that joins and minima treat such rows as one smallest document.
 NULL_ID = -(1 << 63)

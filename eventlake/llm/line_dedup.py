@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, digest, id_back, id_key, table
+from .common import SPACES, ascii_lower, digest, id_back, id_key, table
 
 
 def line_key(line: Column) -> Column:
     """A line's key: white space at both ends gone, A-Z in lower case."""
-    return ascii_lower(F.regexp_replace(line, rf"^[{SPACE}]+|[{SPACE}]+\z", ""))
+    return ascii_lower(F.btrim(line, F.lit(SPACES)))
 
 
 def _reassemble(batches):
@@ -55,6 +55,8 @@ def drop_common_lines(docs: DataFrame, least_chars: int = 20, least_docs: int =
     lines = lines.filter(F.length("__key") >= least_chars).select("__d", "__pos", h1.alias("__h1"), h2.alias("__h2"))
     once = lines.groupBy("__h1", "__h2", "__d").agg(F.lit(1).alias("__one"))
     common = once.groupBy("__h1", "__h2").agg(F.count("*").alias("__n"), F.max("__d").alias("__keep")).filter(F.col("__n") >= least_docs)
+    # Dealt anew, the counts are a shuffle of their own beside the lines: Spark can broadcast them if small, and split hot keys.
+    common = common.hint("rebalance")
     gone = lines.join(common, ["__h1", "__h2"]).filter(F.col("__d") != F.col("__keep"))
     gone = gone.groupBy("__d").agg(F.collect_set("__pos").alias("__gone"))
     made = whole.join(gone, "__d", "left").mapInArrow(_reassemble, "__d long, n_lines long, n_dropped long, kept_text string")

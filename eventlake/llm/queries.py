@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, sharding, sql, substring_dedup
+from . import line_dedup, mixing, near_dedup, sharding, sql, substring_dedup
 
 QUERIES = {
     "op3_mixing": mixing.op3,
     "op4_line_dedup": line_dedup.op4,
     "op6_substring_dedup": substring_dedup.op6,
     "op9_sharding": sharding.op9,
+    "op10_near_dedup": near_dedup.op10,
 }
 
 ORACLE_SQL = {

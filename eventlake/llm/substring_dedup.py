@@ -139,11 +139,11 @@ def drop_repeated_spans(docs: DataFrame, window: int = 50, text: str = "text", d
     body = F.coalesce(F.col(text), F.lit(""))
     whole = docs.select(id_key(doc_id).alias("__d"), F.xxhash64(id_key(doc_id), body).alias("__x"), body.alias("text"))
     anchors = whole.mapInArrow(_anchors(window), "__a long, __d long, __x long")
-    shared = anchors.groupBy("__a").agg(F.min("__d").alias("__low"), F.max("__d").alias("__high")).filter("__low < __high").select("__a")
+    shared = anchors.groupBy("__a").agg(F.min("__d").alias("__low"), F.max("__d").alias("__high")).filter("__low < __high").select("__a").hint("rebalance")
     of_doc = anchors.join(shared, "__a").groupBy("__x").agg(F.collect_set("__a").alias("__shared"))
     looked = whole.join(of_doc, "__x").select("__d", "__x", "text", "__shared")
     blocks = looked.mapInArrow(_lookups(window), "__b long, __d long, __x long, __pos int")
-    first = blocks.groupBy("__b").agg(F.min("__d").alias("__ref"), F.max("__d").alias("__last")).filter("__ref < __last").drop("__last")
+    first = blocks.groupBy("__b").agg(F.min("__d").alias("__ref"), F.max("__d").alias("__last")).filter("__ref < __last").drop("__last").hint("rebalance")
     again = blocks.join(first, "__b").filter("__d > __ref").select("__x", F.struct("__pos", "__ref").alias("__hit"))
     hits = again.groupBy("__x").agg(F.collect_list("__hit").alias("__hits"))
     parsed = whole.join(hits, "__x", "left").select("__d", "text", "__hits")
