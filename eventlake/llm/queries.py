@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, near_dedup, sharding, sql, substring_dedup
+from . import chat, line_dedup, media, mixing, near_dedup, sharding, sql, substring_dedup
 
 QUERIES = {
+    "op1_media_columns": media.op1,
     "op3_mixing": mixing.op3,
     "op4_line_dedup": line_dedup.op4,
     "op6_substring_dedup": substring_dedup.op6,
+    "op8_chat_format": chat.op8,
     "op9_sharding": sharding.op9,
     "op10_near_dedup": near_dedup.op10,
 }
@@ -16,4 +18,5 @@ ORACLE_SQL = {
     "op3_mixing": sql.OP3,
     "op4_line_dedup": sql.OP4,
     "op6_substring_dedup": sql.OP6,
+    "op8_chat_format": sql.OP8,
 }
