@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, line_dedup, media, mixing, near_dedup, sharding, sql, substring_dedup
+from . import chat, line_dedup, media, mixing, near_dedup, quality, sharding, sql, substring_dedup
 
 QUERIES = {
     "op1_media_columns": media.op1,
     "op3_mixing": mixing.op3,
     "op4_line_dedup": line_dedup.op4,
+    "op5_quality": quality.op5,
     "op6_substring_dedup": substring_dedup.op6,
     "op8_chat_format": chat.op8,
     "op9_sharding": sharding.op9,
