@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, line_dedup, media, mixing, near_dedup, quality, sharding, sql, substring_dedup
+from . import chat, decontamination, line_dedup, media, mixing, near_dedup, quality, sharding, sql, substring_dedup
 
 QUERIES = {
     "op1_media_columns": media.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_line_dedup": line_dedup.op4,
     "op5_quality": quality.op5,
     "op6_substring_dedup": substring_dedup.op6,
+    "op7_decontamination": decontamination.op7,
     "op8_chat_format": chat.op8,
     "op9_sharding": sharding.op9,
     "op10_near_dedup": near_dedup.op10,
