@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, line_dedup, media, mixing, near_dedup, quality, sharding, sql, substring_dedup
+from . import chat, decontamination, extraction, line_dedup, media, mixing, near_dedup, quality, sharding, sql, substring_dedup
 
 QUERIES = {
     "op1_media_columns": media.op1,
+    "op2_main_text": extraction.op2,
     "op3_mixing": mixing.op3,
     "op4_line_dedup": line_dedup.op4,
     "op5_quality": quality.op5,
