@@ -55,6 +55,17 @@ def id_back(key: str) -> Column:
     return F.when(F.col(key) != NULL_ID, F.col(key))
 
 
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """``docs`` with all columns in one struct ``__row``, so that no name of theirs clashes with one of ours, and ``more``."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *[c.alias(name) for name, c in more.items()])
+
+
+def row_hash(text: str | Column = "text") -> Column:
+    """Tells rows of one doc_id (or of none) with different texts apart."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, Words, id_back, id_key, slices, table, window_hashes
+from .common import _LOWER, Words, id_back, id_key, packed, row_hash, slices, table, window_hashes
 
 #: Words that are a unit when they follow a number.
 UNITS = "% percent s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years mm cm m km metre metres meter meters inch inches in ft foot feet yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ton tons l ml litre litres liter liters gallon gallons $ usd eur dollar dollars euro euros cent cents mph kmh km/h degree degrees celsius fahrenheit w kw mw watt watts j joule joules v volt volts a amp amps hz khz mhz ghz byte bytes kb mb gb tb".split()
@@ -196,7 +196,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverage: floa
     many documents leak is split by Spark in the join; groups are one document and item each.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    whole = docs.select(id_key(doc_id).alias("__d"), F.xxhash64(body).alias("__x"), body.alias("text"))
+    whole = docs.select(id_key(doc_id).alias("__d"), row_hash(body).alias("__x"), body.alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("__d"), F.lit(0).cast("long").alias("__x"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter(F.col("__d").isNotNull())
     kind = "__h long, __d long, __x long, place int, tokens array<string>, words int"
     asked = items.mapInArrow(_windows(n, None), kind)
@@ -210,8 +210,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverage: floa
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, that leak no item."""
     bad = leaks(docs, benchmark, doc_id=doc_id, text=text, **options).select("__d", "__x").distinct()
-    keyed = docs.withColumn("__d", id_key(doc_id)).withColumn("__x", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    return keyed.join(bad, ["__d", "__x"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = packed(docs, __d=id_key(doc_id), __x=row_hash(text))
+    return rows.join(bad, ["__d", "__x"], "left_anti").select("__row.*")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Words, cut, id_key, mix, ragged, shingles, slices, table, window_hashes
+from .common import Words, cut, id_back, id_key, mix, packed, ragged, row_hash, shingles, slices, table, window_hashes
 
 #: At similarity 0.8, two sets miss each other in all tables with probability 2 * (1 - 0.8 ** 3) ** 12, about 4 in 10,000.
 COLLECTION, ROWS = 12, 3
@@ -28,8 +28,8 @@ def _signatures(n: int, collection: int, rows: int):
     def run(batches):
         for whole in batches:
             for batch in slices(whole):
-                words = Words(batch.column(1), lower=True)
-                hashes, first, counts = words.hashes(), words.first, words.counts()
+                words = Words(batch.column(2), lower=True)
+                hashes, first = words.hashes(), words.first
                 runs = window_hashes(hashes, n)
                 size, low, high = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
                 sets = []
@@ -50,8 +50,8 @@ def _signatures(n: int, collection: int, rows: int):
                 ends = np.arange(batch.num_rows + 1) * collection
                 half = sketches.view(np.int64)
                 yield pa.record_batch(
-                    [batch.column(0), pa.array(size), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), ragged(half[:, :collection].ravel(), ends, pa.int64()), ragged(half[:, collection:].ravel(), ends, pa.int64())],
-                    ["__d", "n_shingles", "__g1", "__g2", "__left", "__right"],
+                    [batch.column(0), batch.column(1), pa.array(size), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), ragged(half[:, :collection].ravel(), ends, pa.int64()), ragged(half[:, collection:].ravel(), ends, pa.int64())],
+                    ["__d", "__x", "n_shingles", "__g1", "__g2", "__left", "__right"],
                 )
 
     return run
@@ -179,9 +179,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, collection:
     one key are still unconnected after that, an exact prefix-filter join over those nodes finds the links left between
     them. Only the recall of the tables themselves (see ``COLLECTION``) is less than 1.
     """
-    whole = docs.select(id_key(doc_id).alias("__d"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kind = "__d long, n_shingles long, __g1 long, __g2 long, __left array<long>, __right array<long>"
-    signed = cut(whole.mapInArrow(_signatures(n, collection, rows), kind))
+    out = near_groups(docs, n, percent, collection, rows, text, doc_id)
+    return out.select(id_back("__d").alias("doc_id"), "n_shingles", id_back("__c").alias("component_id"), (F.col("__c") == F.col("__d")).alias("kept"))
+
+
+def near_groups(docs: DataFrame, n: int, percent: int, collection: int, rows: int, text: str, doc_id: str) -> DataFrame:
+    """:func:`near_duplicates` with ids as keys (__d, __c) and the hash __x of each row's text."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    with_hash = docs.select(id_key(doc_id).alias("__d"), row_hash(text).alias("__x"), body.alias("text"))
+    whole = with_hash.select("__d", "text")
+    kind = "__d long, __x long, n_shingles long, __g1 long, __g2 long, __left array<long>, __right array<long>"
+    signed = cut(with_hash.mapInArrow(_signatures(n, collection, rows), kind))
     full = signed.filter("n_shingles > 0")
     classes = cut(full.groupBy("__g1", "__g2").agg(F.min("__d").alias("__d"), F.min(F.struct("__left", "__right")).alias("__s")).select("__g1", "__g2", "__d", "__s.*"))
     table_keys = F.flatten(F.transform("__left", lambda x, i: F.transform("__right", lambda y, j: F.xxhash64(x, y, i * 1000 + j))))
@@ -199,14 +207,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, collection:
     # The first groups are stars already, so the second round only has to join whole groups.
     merged = components(groups.filter("__d != __c").select(F.col("__d").alias("__a"), F.col("__c").alias("__b")).unionByName(more))
     of_class = classes.select("__g1", "__g2", "__d").join(merged, "__d", "left").select("__g1", "__g2", F.coalesce("__c", "__d").alias("__c"))
-    out = signed.select("__d", "n_shingles", "__g1", "__g2").join(of_class.hint("rebalance"), ["__g1", "__g2"], "left")
-    component = F.coalesce("__c", "__d")
-    return out.select(
-        F.when(F.col("__d") != NULL_ID, F.col("__d")).alias("doc_id"),
-        "n_shingles",
-        F.when(component != NULL_ID, component).alias("component_id"),
-        (component == F.col("__d")).alias("kept"),
-    )
+    out = signed.select("__d", "__x", "n_shingles", "__g1", "__g2").join(of_class.hint("rebalance"), ["__g1", "__g2"], "left")
+    return out.select("__d", "__x", "n_shingles", F.coalesce("__c", "__d").alias("__c"))
+
+
+def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which none is near another: the smallest doc_id of each group.
+
+    Of rows that agree in doc_id and text one stays.
+    """
+    stays = near_groups(docs, n, percent, COLLECTION, ROWS, text, doc_id).filter("__c = __d").select("__d", "__x").distinct()
+    rows = packed(docs, __d=id_key(doc_id), __x=row_hash(text)).join(stays, ["__d", "__x"], "left_semi")
+    one = F.row_number().over(Window.partitionBy("__d", "__x").orderBy(F.lit(0)))
+    return rows.withColumn("__n", one).filter("__n = 1").select("__row.*")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

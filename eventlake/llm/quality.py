@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import buffers, slices, table
+from .common import buffers, packed, slices, table
 
 #: Bytes of a cell (half a chunk), filters, bytes of a filter, and lags of the comparison filters.
 CELL, FILTERS, TAPS, LAGS = 32, 8, 3, range(2, 22)
@@ -168,14 +169,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
 
 def score(docs: DataFrame, net: Network, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns and score (0 to 1) of every row of ``docs``; null and empty texts score by the bias alone."""
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    kinds = T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
             scores = [net.forward(*buffers(part.column(0)))["score"] for part in slices(batch, "__t", SLICE)]
             yield pa.record_batch([*batch.columns[1:], pa.array(np.concatenate(scores).astype(np.float64))], [*keep, "score"])
 
-    return docs.select(F.coalesce(F.col(text), F.lit("")).alias("__t"), *keep).mapInArrow(run, f"{kinds}, score double")
+    return docs.select(F.coalesce(F.col(text), F.lit("")).alias("__t"), *keep).mapInArrow(run, kinds)
 
 
 def judge(docs: DataFrame, labels: DataFrame, keep: list[str], threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
@@ -188,6 +189,13 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str], threshold: float
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score at least ``threshold``."""
+    net = fit(docs, labels)
+    rows = packed(docs, __text=F.col("text"))
+    return score(rows, net, ["__row"], "__text").filter(F.col("score") >= threshold).select("__row.*")
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
     return judged.select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -7,10 +7,10 @@ whole, and equal cuts of the total give the shard. No task holds more than one r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, id_back, id_key, table  # noqa: F401
+from .common import cut, id_back, id_key, packed, table
 
 #: Bytes that a document costs in a shard besides its text.
 ROW_BYTES = 16
@@ -47,7 +47,7 @@ def prefix_sums(rows: DataFrame, order: list[str], sums: list[str], partition: s
     )
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 40, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 40, text: str = "text", doc_id: str = "doc_id", keep_order: bool = False) -> DataFrame:
     """Shards 0 to ``shards - 1`` of near equal bytes, contiguous in the order of (hash of the text, doc_id).
 
     Equal texts lie side by side in that order, and it is as good as random otherwise. A row goes to the shard in which
@@ -70,6 +70,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, text: str = "text", doc_id
     middle = (F.col("size_before") * 2 + F.col("size")).cast("decimal(38,0)")
     shard = F.least(F.floor(middle * shards / (F.col("size_total") * 2).cast("decimal(38,0)")), F.lit(shards - 1)).cast("int")
     placed = placed.withColumn("shard", shard)
+    if keep_order:
+        return placed
     # A row's slot is its distance from the shard's first row; the table of first rows has one row for each shard.
     first = placed.groupBy("shard").agg(F.min("row_before").alias("__first"))
     return placed.join(F.broadcast(first), "shard").select(
@@ -82,10 +84,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def pipeline_stage(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """``docs`` and, for each row, its shard and slot.
+def sharded(docs: DataFrame, shards: int = 40, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, with all their columns, and ``shard``.
 
-    The placed rows join back by doc_id and text hash, so a repeated row is first folded into one with its place.
+    The shards' first places in the order, one for each shard, are all that comes to the driver; a row's shard follows from
+    its own place, so no text is shuffled. Equal rows always share a shard here, whichever side of a cut they lie on.
     """
-    placed = shard_by_bytes(docs, shards)
-    return placed
+    placed = shard_by_bytes(docs, shards, text, doc_id, keep_order=True)
+    firsts = placed.groupBy("shard").agg(F.min(F.struct("__h", "__d")).alias("first")).select("shard", "first.*").collect()
+    shard = F.lit(0)
+    for row in sorted(firsts):
+        reached = (F.col("__h") > row["__h"]) | ((F.col("__h") == row["__h"]) & (F.col("__d") >= row["__d"]))
+        shard = F.when(reached, F.lit(row["shard"])).otherwise(shard)
+    rows = packed(docs, __d=id_key(doc_id), __h=F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    return rows.withColumn("__shard", shard).select(*[F.col(f"__row.`{c}`") for c in docs.columns if c != "shard"], F.col("__shard").alias("shard"))
