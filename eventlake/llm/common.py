@@ -171,6 +171,14 @@ def window_hashes(values: np.ndarray, n: int) -> np.ndarray:
     return mix((sums[n : n + k] - sums[:k]) * down[:k])
 
 
+def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the values from each ``start`` up to its ``end``."""
+    up, down = _WORD_POWERS.get(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[:-1], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def shingles(values: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct hashes of the ``n``-word shingles; fewer words make one shingle, none make none."""
     if not len(values):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, id_back, id_key, ragged, slices, table, window_hashes
+from .common import Words, id_back, id_key, range_hashes, slices, table, window_hashes
 
 #: Words in the runs whose hashes serve as anchors.
 RUN = 8
@@ -40,33 +40,43 @@ def _blocks(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return hashes, anchors, np.arange(len(anchors)) + window <= ends[: len(anchors)]
 
 
-def _anchors(window: int):
+def _runs(window: int):
+    """Runs of blocks with one anchor: (anchor, hash of the run's words, id, row key, first block, blocks)."""
+
     def run(batches):
         for whole in batches:
             for batch in slices(whole):
                 words = Words(batch.column(2))
-                _, anchors, inside = _blocks(words, window)
+                hashes, anchors, inside = _blocks(words, window)
                 places = np.flatnonzero(inside)
                 rows = np.searchsorted(words.first, places, "right") - 1
                 found = anchors[places]
-                new = np.ones(len(found), bool)  # a block mostly has its neighbour's anchor
+                new = np.ones(len(found), bool)
                 new[1:] = (found[1:] != found[:-1]) | (rows[1:] != rows[:-1])
-                rows, found = rows[new], found[new]
+                begin = np.flatnonzero(new)
+                count = np.diff(np.concatenate([begin, [len(found)]]))
+                start, rows = places[begin], rows[begin]
                 ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(ids[rows]), pa.array(keys[rows])], ["__a", "__d", "__x"])
+                texts = range_hashes(hashes, start, start + count + window - 1)
+                yield pa.record_batch(
+                    [pa.array(found[begin].view(np.int64)), pa.array(texts.view(np.int64)), pa.array(ids[rows]), pa.array(keys[rows]), pa.array((start - words.first[rows]).astype(np.int32)), pa.array(count.astype(np.int32))],
+                    ["__a", "__r", "__d", "__x", "pos", "n"],
+                )
 
     return run
 
 
 def _lookups(window: int):
+    """Single blocks under the anchors that a row lists: (block hash, id, row key, place)."""
+
     def run(batches):
         for whole in batches:
             for batch in slices(whole):
                 words = Words(batch.column(2))
                 hashes, anchors, inside = _blocks(words, window)
                 blocks = window_hashes(hashes, window)
-                shared = batch.column(3)
-                values, offsets = shared.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(shared.value_lengths().to_numpy(zero_copy_only=False))])
+                asked = batch.column(3)
+                values, offsets = asked.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy(zero_copy_only=False))])
                 hit = np.zeros(len(anchors), bool)
                 for i in range(batch.num_rows):
                     a, b = words.first[i], min(words.first[i + 1], len(anchors))
@@ -75,7 +85,7 @@ def _lookups(window: int):
                 places = np.flatnonzero(hit & inside)
                 rows = np.searchsorted(words.first, places, "right") - 1
                 ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                yield pa.record_batch([pa.array(blocks[places].view(np.int64)), pa.array(ids[rows]), pa.array(keys[rows]), pa.array((places - words.first[rows]).astype(np.int32))], ["__b", "__d", "__x", "__pos"])
+                yield pa.record_batch([pa.array(blocks[places].view(np.int64)), pa.array(ids[rows]), pa.array(keys[rows]), pa.array((places - words.first[rows]).astype(np.int32))], ["__b", "__d", "__x", "pos"])
 
     return run
 
@@ -92,16 +102,17 @@ def _parse(window: int):
             texts = batch.column(1).to_pylist()
             hits, n_words, n_removed, kept, spans = batch.column(2), [], [], [], []
             values, lengths = hits.flatten(), hits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            all_places, all_refs = (values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            all_places, all_counts, all_refs = (values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
             at = 0
             for text, n in zip(texts, lengths, strict=True):
                 words = text.encode().split()
                 found: list[dict] = []
                 removed = 0
                 if n:
-                    order = np.argsort(all_places[at : at + n], kind="stable")
-                    places, first = np.unique(all_places[at : at + n][order], return_index=True)
-                    begin, count, ref = factors(places, all_refs[at : at + n][order][first])
+                    long = all_counts[at : at + n].astype(np.int64)
+                    each = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long) + np.repeat(all_places[at : at + n], long)
+                    places, first = np.unique(each, return_index=True)
+                    begin, count, ref = factors(places, np.repeat(all_refs[at : at + n], long)[first])
                     gone = np.zeros(len(words) + 1, np.int32)
                     np.add.at(gone, begin, 1)
                     np.add.at(gone, begin + count, -1)
@@ -132,20 +143,22 @@ def drop_repeated_spans(docs: DataFrame, window: int = 50, text: str = "text", d
     other, all such rows being one document. Repeated rows are one document and keep or lose the same words. Extra
     columns are not read. An empty table gives no rows. Blocks are compared by 64-bit hashes of word hashes.
 
-    Scale: anchors (about 2 in ``window - RUN`` words) are all that is counted over the corpus; block hashes exist only
-    where an anchor is shared; both are counted with partial sums, and a passage that a third of all documents share is
-    joined to its first place by a join that Spark splits. Texts are shuffled once, for both joins.
+    Scale: what is counted over the corpus are runs of blocks with one anchor, about 1 for 20 words. An anchor whose runs are
+    equal wherever it occurs settles them at once; only where they differ, at the ends of shared passages, are single
+    blocks looked up. Both are counted with partial sums, and a passage that a third of all documents share is joined
+    to its first place by a join that Spark splits. Texts are shuffled once, for both joins.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     whole = docs.select(id_key(doc_id).alias("__d"), F.xxhash64(id_key(doc_id), body).alias("__x"), body.alias("text"))
-    anchors = whole.mapInArrow(_anchors(window), "__a long, __d long, __x long")
-    shared = anchors.groupBy("__a").agg(F.min("__d").alias("__low"), F.max("__d").alias("__high")).filter("__low < __high").select("__a").hint("rebalance")
-    of_doc = anchors.join(shared, "__a").groupBy("__x").agg(F.collect_set("__a").alias("__shared"))
-    looked = whole.join(of_doc, "__x").select("__d", "__x", "text", "__shared")
-    blocks = looked.mapInArrow(_lookups(window), "__b long, __d long, __x long, __pos int")
+    runs = whole.mapInArrow(_runs(window), "__a long, __r long, __d long, __x long, pos int, n int")
+    seen = runs.groupBy("__a").agg(F.min("__d").alias("__ref"), F.max("__d").alias("__last"), (F.min("__r") != F.max("__r")).alias("__mixed")).filter("__ref < __last").drop("__last")
+    shared = runs.join(seen.hint("rebalance"), "__a")
+    alike = shared.filter("NOT __mixed AND __d > __ref").select("__x", F.struct("pos", "n", "__ref").alias("__hit"))
+    asked = shared.filter("__mixed").groupBy("__x").agg(F.collect_set("__a").alias("__asked"))
+    blocks = whole.join(asked, "__x").select("__d", "__x", "text", "__asked").mapInArrow(_lookups(window), "__b long, __d long, __x long, pos int")
     first = blocks.groupBy("__b").agg(F.min("__d").alias("__ref"), F.max("__d").alias("__last")).filter("__ref < __last").drop("__last").hint("rebalance")
-    again = blocks.join(first, "__b").filter("__d > __ref").select("__x", F.struct("__pos", "__ref").alias("__hit"))
-    hits = again.groupBy("__x").agg(F.collect_list("__hit").alias("__hits"))
+    again = blocks.join(first, "__b").filter("__d > __ref").select("__x", F.struct("pos", F.lit(1).alias("n"), "__ref").alias("__hit"))
+    hits = alike.unionByName(again).groupBy("__x").agg(F.collect_list("__hit").alias("__hits"))
     parsed = whole.join(hits, "__x", "left").select("__d", "text", "__hits")
     made = parsed.mapInArrow(_parse(window), "__d long, n_words long, n_removed long, kept_text string, factors array<struct<start:int,words:int,reference:long>>")
     return made.select(id_back("__d").alias("doc_id"), "n_words", "n_removed", "kept_text", "factors")
