@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OCTET = r"(?:0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
@@ -27,7 +28,7 @@ def in_network(ip: Column, cidr: str) -> Column:
     return ipv4_number(ip).between(int(net.network_address), int(net.broadcast_address))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _canonical(values: pd.Series) -> pd.Series:
     def one(text):
         try:

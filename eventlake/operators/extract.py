@@ -13,11 +13,13 @@ import xml.etree.ElementTree as ET
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import java_pattern
 
 LONGEST = 1 << 16
 _MAP = "map<string,string>"
+_MAP_TYPE = T.MapType(T.StringType(), T.StringType())
 
 
 def to_map(names: Column, values: Column) -> Column:
@@ -118,7 +120,7 @@ def _flat(value, path: str, out: dict) -> None:
         out[path] = value if isinstance(value, str) else json.dumps(value, separators=(",", ":"), ensure_ascii=False)
 
 
-@F.pandas_udf(_MAP)
+@F.pandas_udf(_MAP_TYPE)
 def _json_map(lines: pd.Series) -> pd.Series:
     def one(line):
         try:
@@ -139,7 +141,7 @@ def json_fields(line: Column) -> Column:
     return _json_map(F.when(F.ltrim(line).startswith("{"), F.substring(line, 1, LONGEST)))
 
 
-@F.pandas_udf(_MAP)
+@F.pandas_udf(_MAP_TYPE)
 def _xml_map(lines: pd.Series) -> pd.Series:
     def walk(node, path, out, depth):
         if depth > 64:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import pipes
 from ..functions.text import java_pattern
 from ..schema import CATEGORIES, CLASSES
-from .extract import EXTRACTORS
+from .extract import EXTRACTORS, syslog
 
 
 def _field(fields: Column, name: str) -> Column:
@@ -76,6 +76,7 @@ class Source:
     otherwise: str = "base_event"
     classes: dict[str, dict] = field(default_factory=dict)
     ignore: dict[str, str] = field(default_factory=dict)
+    framing: str = "none"
     priority: int = 50
     version: str = "1"
 
@@ -84,7 +85,9 @@ class Source:
         held = [tests[kind](value) for kind, value in self.match]
         return reduce(lambda a, b: a & b, held) if held else F.lit(False)
 
-    def extract(self, message: Column) -> Column:
+    def extract(self, line: Column) -> Column:
+        """Fields of the line, or with ``framing="syslog"`` of the message after its syslog header."""
+        message = syslog(line, F.lit(0).cast("long"))["message"] if self.framing == "syslog" else line
         return EXTRACTORS[self.kind](message, **self.options)
 
     def class_of(self, fields: Column) -> Column:

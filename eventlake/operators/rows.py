@@ -45,8 +45,8 @@ def outer_registry(seen: DataFrame, registry: DataFrame, on: str, defaults: dict
 def stride_sample(df: DataFrame, order: list[Column], most: int) -> DataFrame:
     """``most`` rows at equal distances in ``order`` (row ``i * n // most``), or all if there are fewer."""
     ranked = df.withColumn("__i", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(F.lit(1))))
-    step = lambda i: F.floor((F.col("__n") - 1 + i * most) / F.col("__n"))
-    kept = ranked.filter((F.col("__n") <= most) | (F.floor(F.col("__i") * most / F.col("__n") - 1e-12) != F.floor((F.col("__i") - 1) * most / F.col("__n") - 1e-12)) | (step(F.lit(0)) < 0))
+    i = F.expr(f"(__i * {int(most)} + __n - 1) div __n")  # the only step that can fall on this row
+    kept = ranked.filter((F.col("__n") <= most) | (i < most) & (F.floor(i * F.col("__n") / most) == F.col("__i")))
     return kept.drop("__i", "__n")
 
 
