@@ -173,7 +173,7 @@ def _judge(n: int, coverage: float, consistency: float):
         for batch in batches:
             rows = [align(matches, words, n) for matches, words in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             keep = [i for i, (c, s, same) in enumerate(rows) if c >= coverage and (s >= consistency or same >= coverage)]
-            kind = ["exact" if rows[i][2] >= coverage else "re-parameterised" for i in keep]
+            kind = ["exact" if rows[i][2] >= 0.95 * rows[i][0] else "re-parameterised" for i in keep]
             picked = batch.take(pa.array(keep, pa.int64()))
             yield pa.record_batch([*picked.columns[:3], *[pa.array([rows[i][k] for i in keep], pa.float64()) for k in range(3)], pa.array(kind, pa.string())], ["__d", "__x", "item_id", "coverage", "consistency", "equal", "kind"])
 
@@ -185,7 +185,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverage: floa
 
     ``coverage``: share of the item's tokens inside matched windows of one stretch of the document. It is met by any text
     whose shingle similarity to the item is 0.8, and by items in which a few words were changed. ``consistency``: share
-    of slots that agree with one mapping of the item's values; ignored where enough tokens are equal anyway.
+    of slots that agree with one mapping of the item's values; ignored where enough tokens are equal anyway. ``kind``: exact,
+    or re-parameterised where more than 5 % of the covered tokens differ.
 
     Null or empty text or item: no windows, no leak. Items of fewer than ``n`` tokens can't be told from ordinary text and
     are not looked for. Null doc_id: __d is ``NULL_ID``; __x, a hash of the text, tells such rows apart. Repeated rows
