@@ -120,14 +120,18 @@ class Network:
         return [taps, d.sum(axis=0), passed["pooled"].T @ error, error.sum(keepdims=True)]
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 14, batch: int = 24, rate: float = 0.02, decay: float = 2e-4, seed: int = 5) -> Network:
-    """A network fitted by Adam; either class weighs the same. With rows of one class only, scores are that class's."""
+def train(texts: list[str], labels: list[int], epochs: int = 14, batch: int = 24, rate: float = 0.02, decay: float = 2e-4, seed: int = 5, steps: int = 700) -> Network:
+    """A network fitted by Adam in at least ``epochs`` passes and ``steps`` steps; either class weighs the same.
+
+    With rows of one class only, scores are that class's.
+    """
     net, rng = Network(), np.random.default_rng(seed)
     y = np.array(labels, np.float32)
     if len(set(labels)) < 2:
         net.prior[:] = 2.0 if not len(y) or y[0] else -2.0
         return net
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
+    epochs = max(epochs, -(-steps // -(-len(y) // batch)))
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.params()]
     step, total = 0, epochs * -(-len(y) // batch)
     for _ in range(epochs):

@@ -233,7 +233,7 @@ def test_labels_of_one_class(spark):
 
 
 def test_score_does_not_depend_on_the_batch():
-    net = quality.train(["aaa bbb ccc " * 5, "$$$ %%% " * 9, "abc", "$$"], [1, 0, 1, 0], epochs=3)
+    net = quality.train(["aaa bbb ccc " * 5, "$$$ %%% " * 9, "abc", "$$"], [1, 0, 1, 0], epochs=3, steps=3)
     texts = ["", "x", "aaa bbb " * 40, "é" * 33, "q" * 64, "q" * 65]
     alone = [net.forward(*common.buffers(pa.array([t])))["score"][0] for t in texts]
     assert np.allclose(alone, net.forward(*common.buffers(pa.array(texts)))["score"], atol=1e-5)
