@@ -61,6 +61,7 @@ OPS: dict[str, Callable[..., Column]] = {
     "lookup": lambda v, a: lookup(v, a["map"], a.get("default")),
     "regex": lambda v, a: group(v, a["pattern"], a.get("group", 1)),
     "split": lambda v, a: piece(v, a["sep"], a["index"]),
+    "whole": lambda v: v.try_cast("long"),
     "mul": lambda v, a: v * F.lit(a),
     "proto_name": lambda v: lookup(v, PROTOCOLS),
     "hms": time.hms,

@@ -61,13 +61,37 @@ def dispatch(line: Column, anchor: str, on: str, text: str, patterns: dict[str,
     return F.when(head.isNotNull(), F.map_concat(head, fresh))
 
 
-def csv(line: Column, columns: list[str], sep: str = ",") -> Column:
-    """Cells by position, with quotes; empty cells are absent, cells beyond ``columns`` are joined as ``_extra``."""
-    cells = F.from_csv(line, ", ".join(f"c{i} string" for i in range(len(columns) + 32)), {"sep": sep, "mode": "PERMISSIVE"})
-    array = F.array(*[cells[f"c{i}"] for i in range(len(columns))])
-    extra = F.concat_ws(sep, *[cells[f"c{i}"] for i in range(len(columns), len(columns) + 32)])
-    named = F.map_from_arrays(F.array(*[F.lit(c) for c in [*columns, "_extra"]]), F.concat(array, F.array(F.nullif(extra, F.lit("")))))
-    return F.when(line.contains(sep) & ~line.contains("\r"), F.map_filter(named, lambda k, v: v.isNotNull() & (v != "")))
+def _layouts(columns: list[str], branch: dict | None, held: list[tuple[int, str]]):
+    """Every list of column names that branches lead to, with the cells (by place) that must hold what; defaults last."""
+    if branch is None:
+        yield columns, held
+        return
+    at = columns.index(branch["field"])
+    for value, case in branch["cases"].items():
+        yield from _layouts(columns + case["columns"], case.get("branch"), [*held, (at, value)])
+    default = branch.get("default", {"columns": []})
+    yield from _layouts(columns + default["columns"], default.get("branch"), held)
+
+
+def csv(line: Column, columns: list[str], sep: str = ",", branch: dict | None = None) -> Column:
+    """Cells by position, with quotes; empty cells are absent, cells beyond the columns are joined as ``_extra``.
+
+    ``branch``: ``{"field": f, "cases": {value: {"columns": [...], "branch": ...}}, "default": ...}`` goes on with other
+    columns by the value of a cell, whatever its case.
+    """
+    layouts = list(_layouts(columns, branch, []))
+    width = max(len(c) for c, _ in layouts) + 32
+    cells = F.from_csv(line, ", ".join(f"c{i} string" for i in range(width)), {"sep": sep, "mode": "PERMISSIVE"})
+    out = F.lit(None).cast(_MAP)
+    for names, held in reversed(layouts):
+        extra = F.concat_ws(sep, *[cells[f"c{i}"] for i in range(len(names), width)])
+        values = F.array(*[cells[f"c{i}"] for i in range(len(names))], F.nullif(extra, F.lit("")))
+        named = F.map_from_arrays(F.array(*[F.lit(c) for c in [*names, "_extra"]]), values)
+        fits = F.lit(True)
+        for at, value in held:
+            fits = fits & (F.lower(cells[f"c{at}"]) == value.lower())
+        out = F.when(fits, named).otherwise(out)
+    return F.when(line.contains(sep) & ~line.contains("\r"), F.map_filter(out, lambda k, v: v.isNotNull() & (v != "")))
 
 
 # Names of the header fields of the two formats.
@@ -147,7 +171,7 @@ def _xml_map(lines: pd.Series) -> pd.Series:
         if depth > 64:
             raise ValueError("too deep")
         for name, value in node.attrib.items():
-            out.setdefault(f"{path}@{name.rpartition('}')[2]}" if path else f"@{name}", value)
+            out.setdefault(f"{path}.@{name.rpartition('}')[2]}" if path else f"@{name}", value)
         for child in node:
             tag = child.tag.rpartition("}")[2]
             tag = child.attrib.get("Name", tag) if tag == "Data" else tag
@@ -159,7 +183,7 @@ def _xml_map(lines: pd.Series) -> pd.Series:
                     out.setdefault(at, child.text.strip())
                 for name, value in child.attrib.items():
                     if name != "Name":
-                        out.setdefault(f"{at}@{name.rpartition('}')[2]}", value)
+                        out.setdefault(f"{at}.@{name.rpartition('}')[2]}", value)
 
     def one(line):
         if "<!DOCTYPE" in line or "<!ENTITY" in line:
@@ -199,6 +223,7 @@ def syslog(line: Column, received_ms: Column) -> Column:
     guess = F.when(made(year) > received_ms + 2 * 86_400_000, made(year - 1)).otherwise(made(year))
     data = F.regexp_extract(line, _RFC5424, 7)
     message = F.when(new, F.concat(F.when(data != "-", F.concat(data, F.lit(" "))).otherwise(""), F.regexp_extract(line, _RFC5424, 8))).when(old, F.regexp_extract(line, _RFC3164, 4)).otherwise(F.regexp_replace(line, r"^<\d{1,3}>", ""))
+    message = F.when(old, F.regexp_replace(message, r"^[\w./-]+(?:\[\d+\])?: ", "")).otherwise(message)  # the program's tag
     host = F.when(new, F.nullif(F.regexp_extract(line, _RFC5424, 3), F.lit("-"))).when(old, F.regexp_extract(line, _RFC3164, 3))
     return F.struct(message.alias("message"), F.when(line.rlike(r"^<\d{1,3}>"), priority).alias("priority"), host.alias("host"), F.when(new, stamp).when(old, guess).alias("time_ms"), old.alias("assumed"))
 

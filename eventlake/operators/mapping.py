@@ -85,10 +85,15 @@ class Source:
         held = [tests[kind](value) for kind, value in self.match]
         return reduce(lambda a, b: a & b, held) if held else F.lit(False)
 
-    def extract(self, line: Column) -> Column:
-        """Fields of the line, or with ``framing="syslog"`` of the message after its syslog header."""
-        message = syslog(line, F.lit(0).cast("long"))["message"] if self.framing == "syslog" else line
-        return EXTRACTORS[self.kind](message, **self.options)
+    def extract(self, line: Column, recv_ms: Column | None = None) -> Column:
+        """Fields of the line. With ``framing="syslog"`` those of the message after its header, and ``syslog.host`` and
+        ``syslog.time_ms``, which count neither for coverage nor as unmapped."""
+        if self.framing != "syslog":
+            return EXTRACTORS[self.kind](line, **self.options)
+        head = syslog(line, F.lit(0).cast("long") if recv_ms is None else recv_ms)
+        found = EXTRACTORS[self.kind](head["message"], **self.options)
+        context = F.create_map(F.lit("syslog.host"), head["host"], F.lit("syslog.time_ms"), head["time_ms"].cast("string"))
+        return F.map_concat(found, F.map_filter(context, lambda k, v: v.isNotNull() & ~F.map_contains_key(found, k)))
 
     def class_of(self, fields: Column) -> Column:
         out = F.lit(self.otherwise)
@@ -114,66 +119,60 @@ _TYPED = {"time": "long", "activity_id": "int", "severity_id": "int", "action_id
 _GOLD_PATHS = {"src_ip": "src_endpoint.ip", "src_port": "src_endpoint.port", "dst_ip": "dst_endpoint.ip", "dst_port": "dst_endpoint.port", "proto_name": "connection_info.protocol_name", "proto_num": "connection_info.protocol_num", "bytes_in": "traffic.bytes_in", "bytes_out": "traffic.bytes_out", "packets_in": "traffic.packets_in", "packets_out": "traffic.packets_out", "duration_ms": "duration", "url": "http_request.url.text", "http_method": "http_request.http_method", "http_status": "http_response.code", "dns_query": "query.hostname", "signature": "finding_info.title", "device_host": "device.hostname"}
 
 
-def map_events(lines: DataFrame, source: Source, fields: str = "fields") -> DataFrame:
-    """Rows with extracted ``fields`` to the lake's columns, for one source.
+#: The name under which a line's source travels with its fields.
+PACK = "\x00pack"
 
-    ``lines`` has raw_id, recv_ms (long), raw_ref, raw_sha256 and ``fields``. Every class of the source is one branch of
-    each column, so the plan stays one projection. Unparsed time falls back to the receive time and makes the row partial.
+
+def _own(keys: Column) -> Column:
+    """Names of fields that the line itself holds."""
+    return F.filter(keys, lambda k: ~k.startswith("syslog.") & (k != PACK))
+
+
+def map_events(found: DataFrame, sources: list[Source]) -> dict[str, Column]:
+    """The lake's columns of lines with ``fields`` and ``kind`` (source and class), for all sources.
+
+    Each column is one ``CASE`` on ``kind``. Without a valid time a row has its receive time and is partial.
     """
-    f = F.col(fields)
-    classes = {c: {p: evaluate(f, e) for p, e in setters.items()} for c, setters in source.classes.items()}
-    chosen = F.col("__class")
-    lines = lines.withColumn("__class", source.class_of(f))
-
-    def by_class(pick, kind: str) -> Column:
-        out = F.lit(None).cast(kind)
-        for c in classes:
-            if (column := pick(c)) is not None:
-                out = F.when(chosen == c, column.try_cast(kind)).otherwise(out)
+    f, kind = F.col("fields"), F.col("kind")
+    setters = {f"{s.id}|{c}": {p: evaluate(f, e) for p, e in expr.items()} for s in sources for c, expr in s.classes.items()}
+    exprs = {f"{s.id}|{c}": expr for s in sources for c, expr in s.classes.items()}
+
+    def case(values: dict[str, Column], sql_type: str) -> Column:
+        out = F.lit(None).cast(sql_type)
+        for k, column in values.items():
+            out = F.when(kind == k, column).otherwise(out)
         return out
 
     def path(p: str) -> Column:
-        return by_class(lambda c: classes[c].get(p), _TYPED.get(p, "string"))
-
-    consumed = by_class_array(classes, source, chosen)
-    class_uid = F.lit(None).cast("int")
-    for name, uid in CLASSES.items():
-        class_uid = F.when(chosen == name, F.lit(uid)).otherwise(class_uid)
-    keys = F.map_keys(f)
-    ignored = F.array(*[F.lit(k) for k in source.ignore]).cast("array<string>")
-    set_time = path("time")
-    event = F.lit(None).cast("string")
-    for c, setters in classes.items():
-        event = F.when(chosen == c, F.to_json(_tree(setters))).otherwise(event)
-    n = F.size(keys)
-    lines = lines.withColumn("__used", consumed).withColumn("__time", set_time)
-    return lines.select(
-        F.concat("raw_id", F.lit(":0")).alias("event_id"),
-        "raw_ref",
-        "raw_sha256",
-        F.timestamp_millis(F.coalesce("__time", "recv_ms")).alias("time"),
-        F.timestamp_millis("recv_ms").alias("recv_time"),
-        class_uid.alias("class_uid"),
-        *[path(p).alias(p) for p in ("activity_id", "severity_id", "action_id")],
-        F.when(F.col("__time").isNull(), "partial").otherwise("parsed").alias("status"),
-        F.lit(source.id).alias("source_id"),
-        *[path(_GOLD_PATHS[g]).alias(g) for g in ("src_ip", "src_port", "dst_ip", "dst_port", "proto_name", "proto_num", "bytes_in", "bytes_out", "packets_in", "packets_out", "duration_ms")],
-        F.coalesce(F.nullif(path("user.name"), F.lit("")), path("actor.user.name")).alias("user_name"),
-        *[path(_GOLD_PATHS[g]).alias(g) for g in ("url", "http_method", "http_status", "dns_query", "signature", "device_host")],
-        F.when(n == 0, F.lit(1.0)).otherwise(F.bround(F.size(F.array_intersect("__used", keys)) / n, 4)).cast("float").alias("coverage"),
-        F.to_json(F.map_filter(f, lambda k, v: ~F.array_contains(F.col("__used"), k) & ~F.array_contains(ignored, k))).alias("unmapped"),
-        event.alias("event"),
-    )
-
-
-def by_class_array(classes: dict, source: Source, chosen: Column) -> Column:
-    """Fields consumed: those that a setter with a non-null value names anywhere."""
-    out = F.array().cast("array<string>")
-    for c, setters in classes.items():
-        used = [F.when(column.isNotNull(), F.array(*[F.lit(r) for r in sorted(references(source.classes[c][p]))])).otherwise(F.array().cast("array<string>")) for p, column in setters.items() if references(source.classes[c][p])]
-        if used:
-            out = F.when(chosen == c, F.array_distinct(F.concat(*used))).otherwise(out)
-    return out
+        t = _TYPED.get(p, "string")
+        return case({k: own[p].try_cast(t) for k, own in setters.items() if p in own}, t)
+
+    def used(k: str) -> Column:
+        """Fields consumed: those that a setter with a value names anywhere."""
+        each = [F.when(column.isNotNull(), F.array(*[F.lit(r) for r in sorted(references(exprs[k][p]))])).otherwise(F.array().cast("array<string>")) for p, column in setters[k].items() if references(exprs[k][p])]
+        return F.array_distinct(F.concat(*each)) if each else F.array().cast("array<string>")
+
+    consumed = case({k: used(k) for k in setters}, "array<string>")
+    keys = _own(F.map_keys(f))
+    left = F.array_except(keys, F.concat(F.coalesce(consumed, F.array().cast("array<string>")), F.array(*[F.lit(k) for k in sorted({k for s in sources for k in s.ignore})]).cast("array<string>")))
+    class_uid = pipes.lookup(F.split_part(kind, F.lit("|"), F.lit(2)), CLASSES)
+    at = path("time")
+    coverage = F.when(F.size(keys) == 0, F.lit(1.0)).otherwise(F.bround(F.size(F.array_intersect(keys, consumed)) / F.size(keys), 4))
+    columns = {
+        "event_id": F.concat("raw_id", F.lit(":0")),
+        "raw_ref": F.col("raw_ref"),
+        "raw_sha256": F.col("raw_sha256"),
+        "time": F.timestamp_millis(F.coalesce(at, "recv_ms")),
+        "recv_time": F.timestamp_millis("recv_ms"),
+        "class_uid": class_uid,
+        "status": F.when(at.isNull(), "partial").otherwise("parsed"),
+        "source_id": F.split_part(kind, F.lit("|"), F.lit(1)),
+        "user_name": F.coalesce(F.nullif(path("user.name"), F.lit("")), path("actor.user.name")),
+        "coverage": coverage.cast("float"),
+        "unmapped": F.to_json(F.map_from_arrays(left, F.transform(left, lambda k: f[k]))),
+        "event": case({k: F.to_json(_tree(own)) for k, own in setters.items()}, "string"),
+    }
+    return columns | {p: path(p) for p in ("activity_id", "severity_id", "action_id")} | {g: path(p) for g, p in _GOLD_PATHS.items()}
 
 
 def type_uid(class_uid: Column, activity_id: Column) -> Column:

@@ -1,19 +1,17 @@
 """Raw lines to lake rows: detect the source, extract, map, and account for every line.
 
-Each source reads the lines that it is first to match; a line that its extractor refuses falls through to the next that
-matches. What no source takes becomes an unparsed row with the template of its text, so no line is lost.
+A line goes to the first source that matches it and whose extractor takes it. What no source takes becomes an unparsed row
+with the template of its text, so no line is lost. All of it is one pass: a projection, however many sources there are.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import mask
 from ..schema import GOLD
-from .mapping import Source, map_events
+from .mapping import PACK, Source, map_events
 
 
 def envelope(lines: DataFrame, text: str, key: str, recv_ms: str) -> DataFrame:
@@ -23,36 +21,41 @@ def envelope(lines: DataFrame, text: str, key: str, recv_ms: str) -> DataFrame:
     )
 
 
-def detect(raw: DataFrame, sources: list[Source]) -> DataFrame:
-    """``raw`` with ``pack`` (the source that takes the line, or null) and its ``fields``.
+def once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row, however often what follows names it.
 
-    One ``CASE`` in order of priority; extraction columns are only computed on the branch that a line takes.
+    Spark would copy the expression into each use; a generator of one row is a boundary that it doesn't move code across.
     """
+    return df.select("*", F.explode(F.array(column)).alias(name))
+
+
+def detect(raw: DataFrame, sources: list[Source]) -> DataFrame:
+    """``raw`` with ``fields`` and ``kind`` (source and class, or null): the first source by priority that matches a line
+    and extracts it. What no source takes has null fields."""
     ordered = sorted(sources, key=lambda s: (-s.priority, s.id))
-    pack, fields = F.lit(None).cast("string"), F.lit(None).cast("map<string,string>")
-    for s in reversed(ordered):
-        takes = s.matches(F.col("line")) & s.extract(F.col("line")).isNotNull()
-        pack = F.when(takes, F.lit(s.id)).otherwise(pack)
-    out = raw.withColumn("pack", pack)
+    line, received = F.col("line"), F.col("recv_ms")
+    tried = [F.when(s.matches(line), F.map_concat(s.extract(line, received), F.create_map(F.lit(PACK), F.lit(s.id)))) for s in ordered]
+    out = once(raw, "fields", F.coalesce(*tried) if tried else F.lit(None).cast("map<string,string>"))
+    kind = F.lit(None).cast("string")
     for s in ordered:
-        fields = F.when(F.col("pack") == s.id, s.extract(F.col("line"))).otherwise(fields)
-    return out.withColumn("fields", fields)
+        kind = F.when(F.col("fields")[PACK] == s.id, F.concat(F.lit(f"{s.id}|"), s.class_of(F.col("fields")))).otherwise(kind)
+    return once(out, "kind", kind)
 
 
-def unparsed(raw: DataFrame, reason: str = "no_pack") -> DataFrame:
-    """Lines as events of class 0, with their text as the message and the hash of their template."""
-    template = mask(F.col("line"))
-    event = F.to_json(F.struct(F.make_valid_utf8("line").alias("message"), F.substring(F.sha2(template, 256), 1, 16).alias("template_id"), F.lit(reason).alias("reason")))
-    known = {
+def unparsed_columns(reason: str = "no_pack") -> dict[str, Column]:
+    """Columns of a line that no source takes: class 0, its text as the message and the hash of its template."""
+    template = F.substring(F.sha2(mask(F.col("line")), 256), 1, 16)
+    event = F.to_json(F.struct(F.make_valid_utf8("line").alias("message"), template.alias("template_id"), F.lit(reason).alias("reason")))
+    return {
         "event_id": F.concat("raw_id", F.lit(":0")), "raw_ref": F.col("raw_ref"), "raw_sha256": F.col("raw_sha256"), "time": F.timestamp_millis("recv_ms"), "recv_time": F.timestamp_millis("recv_ms"),
         "class_uid": F.lit(0), "status": F.lit("unparsed"), "source_id": F.lit("unparsed"), "coverage": F.lit(0.0), "unmapped": F.lit("{}"), "event": event,
     }
-    return raw.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in GOLD.fields])
 
 
 def normalize(raw: DataFrame, sources: list[Source]) -> DataFrame:
-    """Lake rows for every line of an :func:`envelope`: as many rows as lines."""
+    """Lake rows for every line of an :func:`envelope`, as many rows as lines, in one pass over them."""
     found = detect(raw, sources)
-    parts = [map_events(found.filter(F.col("pack") == s.id), s) for s in sources]
-    parts.append(unparsed(found.filter(F.col("pack").isNull())))
-    return reduce(DataFrame.unionByName, [p.select(*[F.col(f.name).cast(f.dataType) for f in GOLD.fields]) for p in parts])
+    known = map_events(found, sources)
+    rest = unparsed_columns()
+    made = [F.when(F.col("kind").isNull(), rest[f.name].cast(f.dataType) if f.name in rest else F.lit(None).cast(f.dataType)).otherwise(known[f.name].cast(f.dataType)).alias(f.name) for f in GOLD.fields]
+    return found.select(*made)

@@ -56,12 +56,14 @@ def test_uuid7_keeps_its_time(spark):
         (lambda: extract.regex(F.col("v"), r"(?P<a>\d+)(?:-(?P<b>\w*))?$"), "12", {"a": "12"}),
         (lambda: extract.dispatch(F.col("v"), r"%(?P<id>\d): (?P<body>.*)$", "id", "body", {"1": r"got (?P<n>\d+)"}), "%1: got 5", {"id": "1", "body": "got 5", "n": "5"}),
         (lambda: extract.csv(F.col("v"), ["a", "b"]), '1,"x,y",z,w', {"a": "1", "b": "x,y", "_extra": "z,w"}),
+        (lambda: extract.csv(F.col("v"), ["a", "k"], branch={"field": "k", "cases": {"X": {"columns": ["p"]}}, "default": {"columns": ["q"]}}), "1,x,2,3", {"a": "1", "k": "x", "p": "2", "_extra": "3"}),
+        (lambda: extract.csv(F.col("v"), ["a", "k"], branch={"field": "k", "cases": {"X": {"columns": ["p"]}}, "default": {"columns": ["q"]}}), "1,y,2", {"a": "1", "k": "y", "q": "2"}),
         (lambda: extract.cef(F.col("v")), "CEF:0|V\\|x|P|1|7|n|3|src=1.1.1.1 msg=a b\\=c", {"cef.version": "0", "cef.vendor": "V|x", "cef.product": "P", "cef.device_version": "1", "cef.signature_id": "7", "cef.name": "n", "cef.severity": "3", "src": "1.1.1.1", "msg": "a b=c"}),
         (lambda: extract.leef(F.col("v")), "LEEF:1.0|V|P|1|E|a=1\tb=2", {"leef.version": "1.0", "leef.vendor": "V", "leef.product": "P", "leef.product_version": "1", "leef.event_id": "E", "a": "1", "b": "2"}),
         (lambda: extract.tsv(F.col("v"), ["a", "b"]), "1\t-\t3", {"a": "1", "_extra": "3"}),
         (lambda: extract.json_fields(F.col("v")), '{"a":{"b":1},"c":[1,"x"],"d":{},"e":null}', {"a.b": "1", "c": '[1,"x"]'}),
         (lambda: extract.json_fields(F.col("v")), "[1]", None),
-        (lambda: extract.xml(F.col("v")), '<E><S><I k="1">4</I></S><D><Data Name="U">x</Data></D></E>', {"S.I": "4", "S.I@k": "1", "D.U": "x"}),
+        (lambda: extract.xml(F.col("v")), '<E><S><I k="1">4</I></S><D><Data Name="U">x</Data></D></E>', {"S.I": "4", "S.I.@k": "1", "D.U": "x"}),
         (lambda: extract.xml(F.col("v")), "<!DOCTYPE a><a/>", None),
     ],
 )
