@@ -17,6 +17,8 @@ from .common import Words, cut, id_back, id_key, mix, packed, ragged, row_hash,
 
 #: At similarity 0.8, two sets miss each other in all tables with probability 2 * (1 - 0.8 ** 3) ** 12, about 4 in 10,000.
 COLLECTION, ROWS = 12, 3
+#: Ids of documents with candidates up to which they are broadcast (some 32 bytes each) to leave other texts unshuffled.
+BROADCAST_MOST = 2_000_000
 
 
 def _signatures(n: int, collection: int, rows: int):
@@ -85,9 +87,21 @@ def _confirm(n: int, percent: int):
     return run
 
 
+def _only(whole: DataFrame, ids: DataFrame) -> DataFrame:
+    """``whole`` without texts that aren't among ``ids`` (__d), while those are at most ``BROADCAST_MOST``.
+
+    Beyond that number ``whole`` is returned as it is: the joins that follow drop the same rows, after a shuffle of all.
+    """
+    ids = cut(ids.distinct())
+    few = ids.limit(BROADCAST_MOST + 1).count() <= BROADCAST_MOST
+    return whole.join(F.broadcast(ids), "__d", "left_semi") if few else whole
+
+
 def confirmed(pairs: DataFrame, whole: DataFrame, n: int, percent: int) -> DataFrame:
     """The ``pairs`` (__a, __b) that link, by the texts of ``whole`` (__d, text)."""
-    texts = whole.select("__d", "text")
+    pairs = cut(pairs)
+    ids = pairs.select(F.col("__a").alias("__d")).unionByName(pairs.select(F.col("__b").alias("__d")))
+    texts = _only(whole.select("__d", "text"), ids)
     with_b = pairs.join(texts.withColumnsRenamed({"__d": "__b", "text": "__tb"}), "__b")
     both = with_b.join(texts.withColumnsRenamed({"__d": "__a", "text": "__ta"}), "__a").select("__a", "__b", "__ta", "__tb")
     return both.mapInArrow(_confirm(n, percent), "__a long, __b long").distinct()
@@ -148,7 +162,7 @@ def prefix_pairs(nodes: DataFrame, whole: DataFrame, n: int, percent: int) -> Da
     the first ``size - ceil(percent % of size) + 1`` tokens of either, and at their first shared token enough tokens must be
     left in both. A token that only one set has costs nothing, so sets that merely share a common passage never meet.
     """
-    tokens = nodes.join(whole, "__d").select("__d", "__c", "text").mapInArrow(_token_rows(n), "__t long, __d long, __c long, __n long")
+    tokens = nodes.join(_only(whole, nodes.select("__d")), "__d").select("__d", "__c", "text").mapInArrow(_token_rows(n), "__t long, __d long, __c long, __n long")
     often = tokens.groupBy("__t").agg(F.count("*").alias("__df")).filter("__df > 1").hint("rebalance")
     # Tokens of one set come first if no other set has them: their number is all that is needed of them.
     listed = tokens.join(often, "__t").groupBy("__d", "__c", "__n").agg(F.sort_array(F.collect_list(F.struct("__df", "__t"))).alias("__list"))
@@ -193,9 +207,10 @@ def near_groups(docs: DataFrame, n: int, percent: int, collection: int, rows: in
     full = signed.filter("n_shingles > 0")
     classes = cut(full.groupBy("__g1", "__g2").agg(F.min("__d").alias("__d"), F.min(F.struct("__left", "__right")).alias("__s")).select("__g1", "__g2", "__d", "__s.*"))
     table_keys = F.flatten(F.transform("__left", lambda x, i: F.transform("__right", lambda y, j: F.xxhash64(x, y, i * 1000 + j))))
-    keys = classes.select("__d", F.explode(table_keys).alias("__k"))
-    least = keys.groupBy("__k").agg(F.min("__d").alias("__a"), F.max("__d").alias("__z")).filter("__a < __z").drop("__z")
-    least = cut(least)
+    # Each row becomes ``collection ** 2``: dealt over all partitions first, as the narrow rows lie in few of them.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = classes.repartition(parts, "__d").select("__d", F.explode(table_keys).alias("__k"))
+    least = cut(keys.groupBy("__k").agg(F.min("__d").alias("__a"), F.count("*").alias("__n")).filter("__n > 1").drop("__n"))
     shared = cut(keys.join(least, "__k"))
     stars = shared.filter("__d != __a").select("__a", F.col("__d").alias("__b")).distinct()
     links = cut(confirmed(stars, whole, n, percent))
