@@ -122,7 +122,8 @@ def components(links: DataFrame) -> DataFrame:
         flat = edges.select(high.alias("__u"), low.alias("__v"))
         if large:
             flat = flat.unionByName(edges.select(low.alias("__u"), high.alias("__v")))
-        least = flat.groupBy("__u").agg(F.min("__v").alias("__m")).withColumn("__m", F.least("__m", "__u"))
+        # Dealt anew, the minima are a shuffle of their own beside the links, so Spark can split a node with very many links.
+        least = flat.groupBy("__u").agg(F.min("__v").alias("__m")).withColumn("__m", F.least("__m", "__u")).hint("rebalance")
         moved = flat.join(least, "__u")
         if large:
             return moved.filter("__v > __u").select(F.col("__v").alias("__a"), F.col("__m").alias("__b")).distinct()
