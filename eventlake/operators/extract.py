@@ -36,10 +36,16 @@ def to_map(names: Column, values: Column) -> Column:
 def kv(line: Column) -> Column:
     """``key=value`` pairs separated by spaces; a value in double quotes may hold spaces and escaped quotes."""
     line = F.substring(line, 1, LONGEST)
-    pattern = r'([^\s="]+)=("(?:[^"\\]|\\.)*"?|[^ ]*)'
-    names, raw = F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), F.regexp_extract_all(line, F.lit(pattern), F.lit(2))
-    values = F.transform(raw, lambda v: F.when(v.startswith('"'), F.regexp_replace(F.regexp_replace(v, r'^"|(?<!\\)"$', ""), r"\\(.)", "$1")).otherwise(v))
-    return F.when(F.size(names) > 0, to_map(names, values))
+    pattern = r'[^\s="]+=(?:"(?:[^"\\]|\\.)*"?|[^ ]*)'
+
+    def mapped(pairs: Column) -> Column:
+        names = F.transform(pairs, lambda p: F.substring_index(p, "=", 1))
+        raw = F.transform(pairs, lambda p: F.substring(p, F.instr(p, "=") + 1, F.length(p)))
+        values = F.transform(raw, lambda v: F.when(v.startswith('"'), F.regexp_replace(F.regexp_replace(v, r'^"|(?<!\\)"$', ""), r"\\(.)", "$1")).otherwise(v))
+        return F.when(F.size(pairs) > 0, to_map(names, values))
+
+    # An array of one binds the pairs to a name, so that the line is searched once however often they are used.
+    return F.transform(F.array(F.regexp_extract_all(line, F.lit(pattern), F.lit(0))), mapped)[0]
 
 
 def regex(line: Column, pattern: str, anchored: bool = True) -> Column:
