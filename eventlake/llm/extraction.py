@@ -37,35 +37,96 @@ DROP_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement adverti
 MAIN_WORDS = frozenset("article articlebody post postbody content main story entry body text".split())
 
 
+#: Words of regions that hold texts of their own, often in article elements: never taken for the article while there is another.
+ASIDE_WORDS = frozenset("comment comments commentlist disqus replies respond related recommended recommendations sponsored sponsors promo promotion ad ads".split())
+#: Words that ids of sections inside an article are still tested for.
+REPLY_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
+_HEADING = re.compile(r"h[1-6]")
+_OPENS = re.compile(r"<[a-zA-Z/!?]")
+
+
 class Block:
     __slots__ = ("chars", "linked", "path", "text", "chain", "dropped", "heading")
 
-    def __init__(self, text, path, chain, dropped, heading, linked):
-        self.text, self.path, self.chain, self.dropped, self.heading, self.linked = text, path, chain, dropped, heading, linked
-        self.chars = len(text)
+    def __init__(self, text, path, chain, heading, linked):
+        self.text, self.path, self.chain, self.heading, self.linked = text, path, chain, heading, linked
+        self.chars, self.dropped = len(text), False
 
 
 class Node:
-    """An open element. ``path`` names it and what it is in; ``drop``: no article text may come from it."""
+    """An open element. ``path`` names it and what it is in; ``drop``: no article text may come from it (see :func:`settle`)."""
 
-    __slots__ = ("drop", "in_article", "in_header", "main", "number", "path", "tag")
+    __slots__ = ("drop", "hard", "in_article", "in_header", "main", "number", "parent", "path", "suspect", "tag", "words")
 
     def __init__(self, tag, number, parent, attributes):
-        self.tag, self.number = tag, number
-        classes = attributes.get("class", "")
+        self.tag, self.number, self.parent = tag, number, parent
+        classes, name = attributes.get("class", ""), attributes.get("id", "")
         self.path = f"{parent.path if parent else ''}/{tag}{'.' + classes if classes else ''}"
-        self.in_article = parent is not None and (parent.in_article or parent.tag in ("article", "main"))
-        words = set(re.findall(r"[a-z]+|[0-9]+", f"{classes} {attributes.get('id', '')}".lower()))
+        self.in_article = parent is not None and (parent.in_article or parent.main > 0)
         role = attributes.get("role", "").lower()
-        is_main = tag in ("article", "main") or role in ("main", "article")
-        self.in_header = parent is not None and parent.in_header or tag == "header" or (not self.in_article and "header" in words and not is_main)
-        dropped = tag in DROP_TAGS or role in DROP_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")) is not None
-        if not dropped and tag not in ("html", "body", "main") and words & DROP_WORDS and not (tag == "article" and not words & {"comment", "comments", "ad", "related", "promo"}):
-            dropped = True
-        self.drop = parent is not None and parent.drop or dropped or (self.in_header and not self.in_article)
-        if is_main and self.drop and not dropped and not (parent and parent.drop):
-            self.drop = False
-        self.main = 2 if (tag == "article" or role == "article") else 1 if is_main else 0
+        self.main = 2 if (tag == "article" or role == "article") else 1 if tag == "main" or role == "main" else 0
+        words, ids = (set(re.findall(r"[a-z]+|[0-9]+", x.lower())) for x in (classes, name))
+        if _HEADING.fullmatch(tag):
+            ids = set()
+        elif tag == "section" and self.in_article:
+            ids &= REPLY_WORDS
+        self.words = words = words | ids
+        self.hard = (tag in DROP_TAGS and tag != "form") or (role in DROP_ROLES and role != "form") or "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")) is not None
+        # Elements dropped unless they turn out to hold the page's article.
+        self.suspect = tag == "form" or role == "form"
+        if tag not in ("html", "body", "main"):
+            self.suspect |= bool(words & DROP_WORDS) and not (tag == "article" and not words & {"comment", "comments", "ad", "related", "promo"})
+            self.suspect |= not self.in_article and not self.main and (tag == "header" or "header" in words)
+        self.in_header = self.drop = False
+
+
+def settle(blocks: list[Block], nodes: dict[int, Node]) -> None:
+    """Sets ``drop`` of all elements and ``dropped`` of all blocks.
+
+    A suspect element (by the words of class and id, a form or a header) is kept if it holds the page's main element, its
+    article or, where there is neither, most of its text. Regions of ``ASIDE_WORDS`` are kept only if nothing else is left.
+    """
+    size: dict[int, int] = {}  # text in no element that is dropped whatever it holds
+    plain: dict[int, int] = {}  # and in no suspect element
+    total = free = 0
+    for b in blocks:
+        up = [nodes[n] for n in b.chain]
+        if any(n.hard for n in up):
+            continue
+        clear = not any(n.suspect for n in up)
+        chars = b.chars - min(b.linked, b.chars)
+        total += chars
+        free += chars if clear else 0
+        for n in b.chain:
+            size[n] = size.get(n, 0) + chars
+            if clear:
+                plain[n] = plain.get(n, 0) + chars
+    outside = max((plain.get(n, 0) for n in size if nodes[n].main), default=0)
+    # A candidate is a main or article element that is no suspect itself; each counts for the suspects that it lies in.
+    holds: dict[int, int] = {}
+    mains = set()
+    for n, chars in size.items():
+        if nodes[n].main and not nodes[n].suspect and chars:
+            up = nodes[n].parent
+            while up is not None:
+                if up.suspect:
+                    holds[up.number] = max(holds.get(up.number, 0), chars)
+                    if nodes[n].main == 1:
+                        mains.add(up.number)
+                up = up.parent
+    any_main = outside > 0 or bool(holds)
+    for n in nodes.values():
+        kept = not n.suspect
+        if n.suspect and any_main:
+            kept = n.number in mains or holds.get(n.number, 0) > (0 if not outside else outside if not n.words & ASIDE_WORDS else total)
+        elif n.suspect:
+            kept = not free if n.words & ASIDE_WORDS else 2 * size.get(n.number, 0) > total
+        up = n.parent
+        n.in_header = not n.main and (up is not None and up.in_header or n.tag == "header" and not (n.suspect and kept))
+        n.drop = n.hard or not kept or (up is not None and up.drop)
+    for b in blocks:
+        top = nodes[b.chain[-1]] if b.chain else None
+        b.dropped = top is not None and (top.drop or top.in_header and not b.heading)
 
 
 def parse(page: str) -> tuple[list[Block], list[tuple[str, int]], dict[int, Node]]:
@@ -84,8 +145,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, int]], dict[int, Node
         if text:
             top = stack[-1] if stack else None
             heading = any(n.tag[0] == "h" and n.tag[1:].isdigit() for n in stack[-3:])
-            skip = top is not None and (top.drop or top.in_header and not heading)
-            blocks.append(Block(text, top.path if top else "", tuple(n.number for n in stack), skip, heading, linked))
+            blocks.append(Block(text, top.path if top else "", tuple(n.number for n in stack), heading, linked))
         said.clear()
         linked = 0
 
@@ -135,8 +195,10 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, int]], dict[int, Node
         tags.append((node.path, m.start()))
         if name not in _VOID:
             stack.append(node)
-    said.append(page[at:] if "<" not in page[at:] else page[at : page.index("<", at)])
+    cut_off = _OPENS.search(page, at)  # a tag without end; any other "<" is text
+    said.append(page[at : cut_off.start() if cut_off else None])
     flush()
+    settle(blocks, nodes)
     return blocks, tags, nodes
 
 
@@ -145,6 +207,54 @@ def token(kind: str, path: str, text: str = "") -> int:
     return xxhash.xxh64_intdigest(f"{kind}\n{path}\n{text}") - (1 << 63)
 
 
+def _main_parts(live: list[Block], nodes: dict[int, Node], size: dict[int, int]) -> frozenset[int]:
+    """All article elements of the page's main element, or that element itself if they are less than half of its text.
+
+    Without a main element: the largest article element and those beside it.
+    """
+    mains = [n for n in size if nodes[n].main == 1]
+    articles = [n for n in size if nodes[n].main == 2]
+    if mains:
+        best = max(mains, key=lambda n: (size[n], -n))
+        if not articles or 2 * size[best] >= max(size[n] for n in articles):
+            held = frozenset(n for n in articles if _within(nodes[n], best))
+            inner = sum(b.chars for b in live if not held.isdisjoint(b.chain))
+            return held if 2 * inner >= size[best] else frozenset([best])
+    best = max(articles, key=lambda n: (size[n], -n))
+    return frozenset(n for n in articles if nodes[n].parent is nodes[best].parent)
+
+
+def _within(node: Node, number: int) -> bool:
+    while node is not None and node.number != number:
+        node = node.parent
+    return node is not None
+
+
+def _like(path: str) -> str:
+    """A path by which sections are equal whatever their class."""
+    return re.sub(r"/section\.[^/]*", "/section", path)
+
+
+def _body_parts(live: list[Block], nodes: dict[int, Node]) -> tuple[frozenset[int], frozenset[int]]:
+    """Of a page without main and article elements: the element with most text and all like it, and the elements they lie in."""
+    body: dict[int, int] = {}
+    for b in live:
+        if b.chain:
+            # the element that holds the block's own element
+            holder = b.chain[-2] if len(b.chain) > 1 and nodes[b.chain[-1]].tag not in ("div", "section", "td", "body") else b.chain[-1]
+            body[holder] = body.get(holder, 0) + b.chars
+    named = {n: c for n, c in body.items() if set(re.findall(r"[a-z]+", nodes[n].path.rsplit("/", 1)[-1].lower())[1:]) & MAIN_WORDS}
+    if not body:
+        return frozenset(), frozenset()
+    inside = max(named or body, key=lambda n: (body[n], -n))
+    above = nodes[inside].parent
+    if above is not None and above.tag not in ("html", "body") and any(b.heading and above.number in b.chain for b in live):
+        inside = above.number
+    alike = frozenset(n for n in nodes if _like(nodes[n].path) == _like(nodes[inside].path))
+    around = [nodes[n].parent.number for n in alike if nodes[n].parent is not None]
+    return alike, frozenset(n for n in around if around.count(n) > 1)
+
+
 def article(blocks: list[Block], nodes: dict[int, Node], template: frozenset[int]) -> str:
     """The article's blocks joined by newlines.
 
@@ -157,26 +267,13 @@ def article(blocks: list[Block], nodes: dict[int, Node], template: frozenset[int
         for n in b.chain:
             if nodes[n].main:
                 size[n] = size.get(n, 0) + b.chars
-    inside = None
     if size:
-        inside = max(size, key=lambda n: (nodes[n].main, size[n], -n))
+        inside, headed = _main_parts(live, nodes, size), frozenset()
     else:
         live = [b for b in live if b.heading or b.linked * 2 < b.chars]
-        body: dict[int, int] = {}
-        for b in live:
-            if b.chain:
-                # the element that holds the block's own element
-                holder = b.chain[-2] if len(b.chain) > 1 and nodes[b.chain[-1]].tag not in ("div", "section", "td", "body") else b.chain[-1]
-                body[holder] = body.get(holder, 0) + b.chars
-        named = {n: c for n, c in body.items() if set(re.findall(r"[a-z]+", nodes[n].path.rsplit("/", 1)[-1].lower())[1:]) & MAIN_WORDS}
-        if body:
-            inside = max(named or body, key=lambda n: (body[n], -n))
-            chain = next(b.chain for b in live if inside in b.chain)
-            above = chain[chain.index(inside) - 1] if chain.index(inside) else None
-            if above is not None and nodes[above].tag not in ("html", "body") and any(b.heading and above in b.chain for b in live):
-                inside = above
-    if inside is not None:
-        live = [b for b in live if inside in b.chain]
+        inside, headed = _body_parts(live, nodes)
+    if inside:
+        live = [b for b in live if not inside.isdisjoint(b.chain) or b.heading and len(b.chain) > 1 and b.chain[-2] in headed]
     slots = [b for b in live if token("text", b.path, b.text) not in template] if template else live
     if 2 * sum(b.chars for b in slots) < sum(b.chars for b in live):
         slots = live

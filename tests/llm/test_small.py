@@ -137,6 +137,42 @@ def test_any_markup_is_read(page):
     extraction.article(*extraction.parse(page)[::2], frozenset())
 
 
+def main_of(page):
+    blocks, _, nodes = extraction.parse(page)
+    return extraction.article(blocks, nodes, frozenset())
+
+
+@pytest.mark.parametrize("layout", ["content has-sidebar", "no-sidebar", "page header-fixed", "with-banner"])
+def test_wrappers_of_the_article_stay(layout):
+    page = f'<body><div class="{layout}"><article><h1>Head</h1><p>Text of it.</p></article><div class="sidebar"><p>Side</p></div></div></body>'
+    assert main_of(page) == "Head\nText of it."
+    assert main_of(f'<body class="{layout}"><form><main><h1>Title</h1><div class="{layout}"><article><p>A text much longer than the title.</p></article></div></main></form></body>').endswith("A text much longer than the title.")
+    assert main_of(f'<body><div class="{layout}"><p>A page without article, all in one.</p></div><div class="ad"><p>Buy</p></div></body>') == "A page without article, all in one."
+
+
+def test_headings_and_sections_of_an_article_stay():
+    page = '<article><h2 id="social-context">Context</h2><p>one</p><section id="discussion"><h3 id="share-of-market">Share</h3><p>two</p></section><section id="comments"><p>Great!</p></section></article>'
+    assert main_of(page) == "Context\none\nShare\ntwo"
+
+
+def test_comments_are_no_article():
+    page = '<article><p>Short post.</p></article><section class="comments"><article><p>A comment that is very much longer than the post itself.</p></article></section>'
+    assert main_of(page) == "Short post."
+    assert main_of(f"<main>{page}</main>") == "Short post."
+
+
+def test_all_parts_of_an_article_stay():
+    assert main_of('<main><article>part 1, the longer one</article><article>part 2</article><article class="related">other</article></main>') == "part 1, the longer one\npart 2"
+    assert main_of("<body><article>part 1, the longer one</article><article>part 2</article></body>") == "part 1, the longer one\npart 2"
+    assert main_of('<body><h1>Head</h1><section><p>one one</p></section><section class="b"><p>two</p></section><footer>f</footer></body>') == "Head\none one\ntwo"
+    assert main_of("<main><p>The text itself is in no article element.</p><article>teaser</article></main>").startswith("The text itself")
+
+
+def test_less_than_signs_are_text():
+    assert main_of("<article><p>If a < b and 1 <2 then so") == "If a < b and 1 <2 then so"
+    assert main_of('<article><p>cut <a href="x') == "cut"
+
+
 # ---------------------------------------------------------------- 3 mixing
 
 
