@@ -1,9 +1,10 @@
 """Operator 7, benchmark decontamination by template canonicalisation.
 
 Tokens are words without the punctuation around them, in lower case. Numbers, names and units become typed placeholders, so a
-question keeps its windows when its parameters change. Windows of documents and items meet in a hash join; for each document
-and item the matched windows must cover most of the item within one stretch of the document, and the parameters of the item
-must map to those of the document consistently (the same name always to the same name).
+question keeps its windows when its parameters change. Beside each such window goes that of the plain words, which doesn't
+depend on capitals. Windows of documents and items meet in a hash join; for each document and item the matched windows of
+either kind must cover most of the item within one stretch of the document. Unless the windows of plain words do so alone, the
+parameters of the item must map to those of the document consistently (the same name always to the same name).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .common import _LOWER, Words, id_back, id_key, packed, row_hash, slices, ta
 #: Words that are a unit when they follow a number.
 UNITS = "% percent s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years mm cm m km metre metres meter meters inch inches in ft foot feet yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ton tons l ml litre litres liter liters gallon gallons $ usd eur dollar dollars euro euros cent cents mph kmh km/h degree degrees celsius fahrenheit w kw mw watt watts j joule joules v volt volts a amp amps hz khz mhz ghz byte bytes kb mb gb tb".split()
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x4E554D, 0x4E414D45, 0x554E4954))
-#: Words in a window, and how many of them must be no placeholders; windows with fewer are compared with their values.
+#: Words in a window, and how many of them must be no placeholders; windows with fewer are compared by their values alone.
 WINDOW, LITERALS = 5, 3
 #: Item windows up to which their hashes go to every task as a filter (8 bytes each); beyond it, all windows are joined.
 FILTER_MOST = 2_000_000
@@ -76,14 +77,15 @@ class Tokens:
         self.slot = number | unit | name
 
     def windows(self, n: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all windows of the batch, and whether each lies within one row."""
+        """Hashes and places of the windows that lie within one row: all of plain words, then templates with a placeholder."""
         if len(self.values) < n:
-            return np.zeros(0, np.uint64), np.zeros(0, bool)
-        literal = np.concatenate([[0], np.cumsum(~self.slot)])
-        enough = literal[n:] - literal[:-n] >= min(LITERALS, n)
-        hashes = np.where(enough, window_hashes(self.codes, n), ~window_hashes(self.values, n))
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        slots = np.concatenate([[0], np.cumsum(self.slot)])
+        slots = slots[n:] - slots[:-n]
         ends = np.repeat(self.first[1:], np.diff(self.first))
-        return hashes, np.arange(len(hashes)) + n <= ends[: len(hashes)]
+        inside = np.arange(len(slots)) + n <= ends[: len(slots)]
+        plain, typed = np.flatnonzero(inside), np.flatnonzero(inside & (slots > 0) & (n - slots >= min(LITERALS, n)))
+        return np.concatenate([window_hashes(self.values, n)[plain], window_hashes(self.codes, n)[typed]]), np.concatenate([plain, typed])
 
     def texts(self, at: int, n: int) -> list[str]:
         """Tokens from ``at`` on, in lower case; slots are marked by a leading character that no token starts with."""
@@ -116,30 +118,32 @@ def _windows(n: int, wanted: np.ndarray | None):
         for whole in batches:
             for batch in slices(whole):
                 tokens = Tokens(batch.column(2))
-                hashes, inside = tokens.windows(n)
-                places = np.flatnonzero(inside)
+                hashes, places = tokens.windows(n)
                 if wanted is not None:
-                    places = places[sieve[hashes[places] >> np.uint64(64 - bits)]]
-                    places = places[np.isin(hashes[places], wanted)]
+                    near = sieve[hashes >> np.uint64(64 - bits)]
+                    hashes, places = hashes[near], places[near]
+                    real = np.isin(hashes, wanted)
+                    hashes, places = hashes[real], places[real]
                 rows = np.searchsorted(tokens.first, places, "right") - 1
                 ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 size = np.diff(tokens.first)
                 yield pa.record_batch(
-                    [pa.array(hashes[places].view(np.int64)), pa.array(ids[rows]), pa.array(keys[rows]), pa.array((places - tokens.first[rows]).astype(np.int32)), pa.array([tokens.texts(p, n) for p in places.tolist()], pa.list_(pa.string())), pa.array(size[rows].astype(np.int32))],
+                    [pa.array(hashes.view(np.int64)), pa.array(ids[rows]), pa.array(keys[rows]), pa.array((places - tokens.first[rows]).astype(np.int32)), pa.array([tokens.texts(p, n) for p in places.tolist()], pa.list_(pa.string())), pa.array(size[rows].astype(np.int32))],
                     ["__h", "__d", "__x", "place", "tokens", "words"],
                 )
 
     return run
 
 
-def align(matches: list[dict], words: int, n: int) -> tuple[float, float, float]:
-    """Coverage, consistency of slots and share of equal tokens of the best stretch of a document for one item.
+def align(matches: list[dict], words: int, n: int, coverage: float = 0.6, consistency: float = 0.8) -> tuple[float, float, float, bool]:
+    """Coverage, consistency of slots, share of equal tokens and whether it is a leak, of a document's best stretch for one item.
 
     Each match has the window's place and tokens in the document (``p``, ``t``) and in the item (``q``, ``u``). A stretch
-    is what starts at one match and is at most twice as long as the item.
+    is what starts at one match and is at most twice as long as the item. It is a leak if windows of equal tokens cover enough
+    of the item, or if all windows do and the slots agree.
     """
     matches = sorted(matches, key=lambda m: (m["p"], m["q"]))
-    best = (0.0, 0.0, 0.0)
+    best = (0.0, 0.0, 0.0, False)
     upto, done = 0, -1
     for i, m in enumerate(matches):
         if m["p"] <= done:
@@ -147,14 +151,20 @@ def align(matches: list[dict], words: int, n: int) -> tuple[float, float, float]
         upto = max(upto, i)
         while upto < len(matches) and matches[upto]["p"] < m["p"] + 2 * words + n:
             upto += 1
-        pairs = {(x["q"] + j, x["p"] + j): (x["u"][j], x["t"][j]) for x in matches[i:upto] for j in range(n)}
-        covered = len({q for q, _ in pairs})
-        if covered / words > best[0]:
-            same = len({q for (q, _), (u, t) in pairs.items() if u == t})
+        pairs: dict[tuple[int, int], tuple[str, str, bool]] = {}
+        plain: set[int] = set()
+        for x in matches[i:upto]:
+            said = [(u.lstrip("\x01"), t.lstrip("\x01"), u.startswith("\x01")) for u, t in zip(x["u"], x["t"], strict=True)]
+            pairs.update({(x["q"] + j, x["p"] + j): y for j, y in enumerate(said)})
+            if all(u == t for u, t, _ in said):
+                plain.update(range(x["q"], x["q"] + len(said)))
+        covered = len({q for q, _ in pairs}) / words
+        if covered > best[0] or not best[3]:
+            same = len({q for (q, _), (u, t, _) in pairs.items() if u == t})
             # Each value of the item takes the value that it mostly has in the document, and no two the same.
             votes = defaultdict(Counter)
-            for u, t in pairs.values():
-                if u.startswith("\x01"):
+            for u, t, slot in pairs.values():
+                if slot:
                     votes[u][t] += 1
             total = sum(sum(c.values()) for c in votes.values())
             taken: set[str] = set()
@@ -163,7 +173,10 @@ def align(matches: list[dict], words: int, n: int) -> tuple[float, float, float]
                 value, count = next(((v, c) for v, c in counter.most_common() if v not in taken), (None, 0))
                 agreed += count
                 taken.add(value)
-            best = (covered / words, agreed / total if total else 1.0, same / words)
+            agree = agreed / total if total else 1.0
+            leak = len(plain) / words >= coverage or covered >= coverage and agree >= consistency
+            if (leak, covered) > (best[3], best[0]):
+                best = (covered, agree, same / words, leak)
         done = m["p"] + words // 2  # the next stretch starts half an item on
     return best
 
@@ -171,8 +184,8 @@ def align(matches: list[dict], words: int, n: int) -> tuple[float, float, float]
 def _judge(n: int, coverage: float, consistency: float):
     def run(batches):
         for batch in batches:
-            rows = [align(matches, words, n) for matches, words in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            keep = [i for i, (c, s, same) in enumerate(rows) if c >= coverage and (s >= consistency or same >= coverage)]
+            rows = [align(matches, words, n, coverage, consistency) for matches, words in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keep = [i for i, r in enumerate(rows) if r[3]]
             kind = ["exact" if rows[i][2] >= 0.95 * rows[i][0] else "re-parameterised" for i in keep]
             picked = batch.take(pa.array(keep, pa.int64()))
             yield pa.record_batch([*picked.columns[:3], *[pa.array([rows[i][k] for i in keep], pa.float64()) for k in range(3)], pa.array(kind, pa.string())], ["__d", "__x", "item_id", "coverage", "consistency", "equal", "kind"])
@@ -185,7 +198,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverage: floa
 
     ``coverage``: share of the item's tokens inside matched windows of one stretch of the document. It is met by any text
     whose shingle similarity to the item is 0.8, and by items in which a few words were changed. ``consistency``: share
-    of slots that agree with one mapping of the item's values; ignored where enough tokens are equal anyway. ``kind``: exact,
+    of slots that agree with one mapping of the item's values; ignored where windows of equal words cover enough by themselves. ``kind``: exact,
     or re-parameterised where more than 5 % of the covered tokens differ.
 
     Null or empty text or item: no windows, no leak. Items of fewer than ``n`` tokens can't be told from ordinary text and

@@ -353,6 +353,16 @@ def test_leaks(spark):
     assert {r.doc_id for r in kept.collect()} >= {4, 5, 6, 7, 8} and kept.columns == docs(spark, []).columns
 
 
+def test_capitals_do_not_hide_a_copy(spark):
+    names = "Which Treaty did King Philip of Spain sign with Queen Mary of England in Madrid"
+    plain = "which rivers of the far north are frozen for most of the year and why"
+    bench = spark.createDataFrame([(1, names), (2, plain), (3, "Der Vertrag der Stadt mit dem Herzog über die Brücke am Tor")], "item_id long, text string")
+    texts = [names, names.lower(), names.upper(), f"{words(9)} {names.lower()} {words(9)}", plain.title(), plain.upper(), "der vertrag der stadt mit dem herzog über die brücke am tor", words(20)]
+    for most in (decontamination.FILTER_MOST, 0):
+        found = decontamination.leaks(docs(spark, list(enumerate(texts))), bench, filter_most=most).collect()
+        assert {(r["__d"], r.item_id, r.kind) for r in found} == {(i, 1, "exact") for i in range(4)} | {(4, 2, "exact"), (5, 2, "exact"), (6, 3, "exact")}
+
+
 def test_values_must_map_consistently():
     m = lambda p, t, u: {"p": p, "q": p, "t": t, "u": u}
     same = [m(0, ["\x01ann", "has", "\x015", "of", "\x015"], ["\x01bob", "has", "\x017", "of", "\x017"])]
