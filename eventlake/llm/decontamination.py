@@ -105,8 +105,23 @@ def _unit_hashes() -> np.ndarray:
     return _UNIT_HASHES[0]
 
 
-def _windows(n: int, wanted: np.ndarray | None):
-    """(id, row hash, text) to (hash, id, row hash, place, tokens, words); with ``wanted``, only those hashes."""
+def _short(tokens: Tokens, k: int, alone: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of ``k`` plain words: the first of each hash in a row or, ``alone``, those that are the whole row."""
+    hashes = window_hashes(tokens.values, k)
+    size = np.diff(tokens.first)
+    if alone:
+        places = tokens.first[:-1][size == k]
+        return hashes[places], places
+    row = np.repeat(np.arange(len(size)), size)[: len(hashes)]
+    places = np.flatnonzero(np.arange(len(hashes)) + k <= tokens.first[1:][row])
+    return hashes[places], places
+
+
+def _windows(n: int, wanted: np.ndarray | None, short: range | list[int], alone: bool):
+    """(id, row hash, text) to (hash, id, row hash, place, tokens, words); with ``wanted``, only those hashes.
+
+    Windows are of ``n`` tokens and of plain words of each size in ``short`` (see :func:`_short`).
+    """
     bits = 22
     sieve = None
     if wanted is not None:
@@ -114,23 +129,33 @@ def _windows(n: int, wanted: np.ndarray | None):
         sieve = np.zeros(1 << bits, bool)
         sieve[wanted >> np.uint64(64 - bits)] = True
 
+    def found(tokens: Tokens, k: int):
+        hashes, places = tokens.windows(n) if k == n else _short(tokens, k, alone)
+        if wanted is not None:
+            near = sieve[hashes >> np.uint64(64 - bits)]
+            hashes, places = hashes[near], places[near]
+            real = np.isin(hashes, wanted)
+            hashes, places = hashes[real], places[real]
+        rows = np.searchsorted(tokens.first, places, "right") - 1
+        if k < n and len(rows):  # one place in a row says all
+            order = np.lexsort((places, hashes, rows))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(rows[order]) != 0) | (hashes[order][1:] != hashes[order][:-1])
+            hashes, places, rows = hashes[order[new]], places[order[new]], rows[order[new]]
+        return hashes, places, rows
+
     def run(batches):
         for whole in batches:
             for batch in slices(whole):
                 tokens = Tokens(batch.column(2))
-                hashes, places = tokens.windows(n)
-                if wanted is not None:
-                    near = sieve[hashes >> np.uint64(64 - bits)]
-                    hashes, places = hashes[near], places[near]
-                    real = np.isin(hashes, wanted)
-                    hashes, places = hashes[real], places[real]
-                rows = np.searchsorted(tokens.first, places, "right") - 1
                 ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 size = np.diff(tokens.first)
-                yield pa.record_batch(
-                    [pa.array(hashes.view(np.int64)), pa.array(ids[rows]), pa.array(keys[rows]), pa.array((places - tokens.first[rows]).astype(np.int32)), pa.array([tokens.texts(p, n) for p in places.tolist()], pa.list_(pa.string())), pa.array(size[rows].astype(np.int32))],
-                    ["__h", "__d", "__x", "place", "tokens", "words"],
-                )
+                for k in (n, *short):
+                    hashes, places, rows = found(tokens, k)
+                    yield pa.record_batch(
+                        [pa.array(hashes.view(np.int64)), pa.array(ids[rows]), pa.array(keys[rows]), pa.array((places - tokens.first[rows]).astype(np.int32)), pa.array([tokens.texts(p, k) for p in places.tolist()], pa.list_(pa.string())), pa.array(size[rows].astype(np.int32))],
+                        ["__h", "__d", "__x", "place", "tokens", "words"],
+                    )
 
     return run
 
@@ -184,11 +209,11 @@ def align(matches: list[dict], words: int, n: int, coverage: float = 0.6, consis
 def _judge(n: int, coverage: float, consistency: float):
     def run(batches):
         for batch in batches:
-            rows = [align(matches, words, n, coverage, consistency) for matches, words in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            rows = [align(matches, words, n, coverage, consistency) for matches, words in zip(batch.column(5).to_pylist(), batch.column(4).to_pylist(), strict=True)]
             keep = [i for i, r in enumerate(rows) if r[3]]
             kind = ["exact" if rows[i][2] >= 0.95 * rows[i][0] else "re-parameterised" for i in keep]
             picked = batch.take(pa.array(keep, pa.int64()))
-            yield pa.record_batch([*picked.columns[:3], *[pa.array([rows[i][k] for i in keep], pa.float64()) for k in range(3)], pa.array(kind, pa.string())], ["__d", "__x", "item_id", "coverage", "consistency", "equal", "kind"])
+            yield pa.record_batch([*picked.columns[:3], *[pa.array([rows[i][k] for i in keep], pa.float64()) for k in range(3)], pa.array(kind, pa.string())], ["__d", "__x", "__item", "coverage", "consistency", "equal", "kind"])
 
     return run
 
@@ -201,9 +226,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverage: floa
     of slots that agree with one mapping of the item's values; ignored where windows of equal words cover enough by themselves. ``kind``: exact,
     or re-parameterised where more than 5 % of the covered tokens differ.
 
-    Null or empty text or item: no windows, no leak. Items of fewer than ``n`` tokens can't be told from ordinary text and
-    are not looked for. Null doc_id: __d is ``NULL_ID``; __x, a hash of the text, tells such rows apart. Repeated rows
-    give one result; a repeated item_id with other text gives matches of either text. Extra columns are not read.
+    Null or empty text or item: no windows, no leak. Items of fewer than ``n`` tokens are one window of plain words, and any
+    text that holds these in a row leaks them: who doesn't want that for items of a common word leaves them out of
+    ``benchmark``. Null doc_id: __d is ``NULL_ID``; __x, a hash of the text, tells such rows apart. Null item_id: the item
+    counts like others, and item_id is null. Repeated rows give one result; an item_id with several texts is judged by each
+    text, with a row for each that leaks. Extra columns are not read.
 
     Scale: windows of documents are made where they lie and only those of the items leave the task, while the items'
     windows number at most ``filter_most``; beyond that all windows are joined, with the same result. An item that very
@@ -211,14 +238,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverage: floa
     """
     body = F.coalesce(F.col(text), F.lit(""))
     whole = docs.select(id_key(doc_id).alias("__d"), row_hash(body).alias("__x"), body.alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("__d"), F.lit(0).cast("long").alias("__x"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter(F.col("__d").isNotNull())
+    asking = F.coalesce(F.col("text"), F.lit(""))
+    items = benchmark.select(id_key("item_id").alias("__d"), row_hash(asking).alias("__x"), asking.alias("text"))
     kind = "__h long, __d long, __x long, place int, tokens array<string>, words int"
-    asked = items.mapInArrow(_windows(n, None), kind)
+    asked = items.mapInArrow(_windows(n, None, range(1, n), True), kind)
+    short = sorted(k for (k,) in asked.filter(F.col("words") < n).select("words").distinct().collect())
     hashes = asked.select("__h").distinct().limit(filter_most + 1).toPandas()["__h"].to_numpy(np.int64).view(np.uint64)
-    found = whole.mapInArrow(_windows(n, hashes if len(hashes) <= filter_most else None), kind).select("__h", "__d", "__x", F.col("place").alias("p"), F.col("tokens").alias("t"))
-    wanted = asked.select("__h", F.col("__d").alias("item_id"), F.col("place").alias("q"), F.col("tokens").alias("u"), "words")
-    met = found.join(wanted, "__h").groupBy("__d", "__x", "item_id").agg(F.max("words").alias("words"), F.collect_set(F.struct("p", "q", "t", "u")).alias("matches"))
-    return met.mapInArrow(_judge(n, coverage, consistency), "__d long, __x long, item_id long, coverage double, consistency double, equal double, kind string")
+    found = whole.mapInArrow(_windows(n, hashes if len(hashes) <= filter_most else None, short, False), kind).select("__h", "__d", "__x", F.col("place").alias("p"), F.col("tokens").alias("t"))
+    wanted = asked.select("__h", F.col("__d").alias("__item"), F.col("__x").alias("__y"), F.col("place").alias("q"), F.col("tokens").alias("u"), "words")
+    met = found.join(wanted, "__h").groupBy("__d", "__x", "__item", "__y").agg(F.max("words").alias("words"), F.collect_set(F.struct("p", "q", "t", "u")).alias("matches"))
+    judged = met.mapInArrow(_judge(n, coverage, consistency), "__d long, __x long, __item long, coverage double, consistency double, equal double, kind string")
+    return judged.select("__d", "__x", id_back("__item").alias("item_id"), "coverage", "consistency", "equal", "kind")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

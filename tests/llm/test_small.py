@@ -363,6 +363,16 @@ def test_capitals_do_not_hide_a_copy(spark):
         assert {(r["__d"], r.item_id, r.kind) for r in found} == {(i, 1, "exact") for i in range(4)} | {(4, 2, "exact"), (5, 2, "exact"), (6, 3, "exact")}
 
 
+def test_every_row_of_the_benchmark_is_looked_for(spark):
+    short, long = "the quick red fox jumps over one very lazy dog", words(100, "q")
+    bench = spark.createDataFrame([(1, short), (1, long), (None, words(12, "n")), (None, words(12, "m")), (2, "Photosynthesis?"), (3, "Battle of Hastings"), (4, "?!"), (5, None)], "item_id long, text string")
+    texts = [f"{words(9)} {short} {words(9)}", long, words(12, "n"), f"x {words(12, 'm')} y", "it is photosynthesis, photosynthesis", "the battle of Hastings.", "battle of", words(30), "", None]
+    for most in (decontamination.FILTER_MOST, 0):
+        found = decontamination.leaks(docs(spark, list(enumerate(texts))), bench, filter_most=most).collect()
+        assert sorted((r["__d"], r.item_id or 0, r.coverage) for r in found) == [(0, 1, 1.0), (1, 1, 1.0), (2, 0, 1.0), (3, 0, 1.0), (4, 2, 1.0), (5, 3, 1.0)]
+    assert {r.doc_id for r in decontamination.decontaminate(docs(spark, list(enumerate(texts))), bench).collect()} == {6, 7, 8, 9}
+
+
 def test_values_must_map_consistently():
     m = lambda p, t, u: {"p": p, "q": p, "t": t, "u": u}
     same = [m(0, ["\x01ann", "has", "\x015", "of", "\x015"], ["\x01bob", "has", "\x017", "of", "\x017"])]
