@@ -244,6 +244,13 @@ def test_common_lines(spark):
     assert line_dedup.drop_common_lines(docs(spark, rows)).count() == len(rows)
 
 
+def test_rows_of_one_id_lose_their_own_lines(spark):
+    line = "This line is found in many a document"
+    rows = [(11, line), (12, line), (13, line), (None, f"own a\nown b\n{line}"), (None, "a first line of its own\nb\na third line of its own"), (None, "short"), (9, f"{line}\nkept"), (9, "another text of that id\nkept too")]
+    got = sorted((r.doc_id or 0, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.drop_common_lines(docs(spark, rows)).collect())
+    assert got[:5] == [(0, 1, 0, "short"), (0, 3, 0, rows[4][1]), (0, 3, 1, "own a\nown b"), (9, 2, 0, rows[7][1]), (9, 2, 1, "kept")]
+
+
 # ---------------------------------------------------------------- 5 quality
 
 
