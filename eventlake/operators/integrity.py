@@ -65,8 +65,7 @@ def gaps(df: DataFrame, shard: str, seq: str) -> DataFrame:
 
 
 def conservation(raw: DataFrame, stored: DataFrame, sha: str) -> DataFrame:
-    """Hashes whose number differs between raw input and stored rows: empty if nothing was lost or invented."""
-    a = raw.groupBy(sha).agg(F.count("*").alias("n_in"))
-    b = stored.groupBy(sha).agg(F.count("*").alias("n_out"))
-    both = a.join(b, sha, "full").select(sha, F.coalesce("n_in", F.lit(0)).alias("n_in"), F.coalesce("n_out", F.lit(0)).alias("n_out"))
-    return both.filter("n_in <> n_out")
+    """Hashes whose number differs between raw input and stored rows: empty if nothing was lost or invented. Rows without hash count as one."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = raw.select(sha, one.alias("n_in"), none.alias("n_out")).unionByName(stored.select(sha, none.alias("n_in"), one.alias("n_out")))
+    return both.groupBy(sha).agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out")).filter("n_in <> n_out")

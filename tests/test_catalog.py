@@ -1,3 +1,4 @@
+import hashlib
 import os
 
 import pytest
@@ -34,3 +35,11 @@ def test_entry(spark):
 def test_term_filters_reach_the_scan(spark):
     plan = catalog.terms_equality_list(spark, FOLDER)._jdf.queryExecution().toString()
     assert "In(l_returnflag, [A,R])" in plan and "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_returnflag:string>" in plan
+
+
+def test_conservation_counts_both_sides(spark, tmp_path):
+    rows = [("de", "both"), ("en", "both"), ("de", "only"), ("de", "only"), ("en", "kept"), (None, "no lang"), ("de", None), ("en", None)]
+    spark.createDataFrame(rows, "lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = {r.sha: (r.n_in, r.n_out) for r in catalog.QUERIES["conservation_check"](spark, str(tmp_path)).collect()}
+    assert got == {sha("both"): (2, 1), sha("only"): (2, 0), None: (2, 1)}
