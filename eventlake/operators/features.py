@@ -116,9 +116,12 @@ class Forest:
         return 2 ** (-(total / max(1, len(self.trees))) / max(c_factor(self.size), 1e-9))
 
 
-def fit_forest(df: DataFrame, columns: list[str], sample: int = 20_000, seed: int = 7, order: str = "window_start") -> Forest:
-    """A forest from at most ``sample`` rows, chosen by hash; trees take 256 of them each."""
-    rows = df.select(*columns, F.xxhash64(*columns, F.lit(seed)).alias("__h")).orderBy("__h").limit(sample).drop("__h").toPandas()
+def fit_forest(df: DataFrame, columns: list[str], sample: int = 20_000, seed: int = 7, key: tuple[str, ...] = ("src", "window_start")) -> Forest:
+    """A forest from at most ``sample`` rows, chosen by a hash of their ``key``: equal rows are as frequent in it as in ``df``.
+
+    Trees take 256 of them each.
+    """
+    rows = df.select(*columns, F.xxhash64(*key, F.lit(seed)).alias("__h"), F.struct(*key).alias("__k")).orderBy("__h", "__k").limit(sample).select(*columns).toPandas()
     return Forest(rows.to_numpy(float), seed=seed)
 
 

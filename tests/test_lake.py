@@ -112,3 +112,15 @@ def test_stride(spark, n):
 def test_rows_without_key_stay(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 4)], "k string, v int")
     assert sorted(r.v for r in first_by_key(df, "k", [F.col("v").asc()]).collect()) == [1, 3, 4]
+
+
+def test_forest_samples_windows_not_values(spark):
+    made = spark.range(6000).select(F.col("id").cast("string").alias("src"), F.lit(0).alias("window_start"), F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id") + 100.0).alias("v"))
+    seen = []
+    forest, features.Forest = features.Forest, lambda points, **_: seen.append(points)
+    try:
+        for seed in range(5):
+            features.fit_forest(made, ["v"], sample=600, seed=seed)
+    finally:
+        features.Forest = forest
+    assert all(len(x) == 600 and 0.25 < (x == 7.0).mean() < 0.42 for x in seen)
