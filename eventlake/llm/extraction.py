@@ -2,8 +2,9 @@
 
 Pages of one host come from one template. A token is a tag with its path, or a text block with its path; tokens that occur
 equally often in every page of a host form an equivalence class. Classes that enough pages support and whose tokens keep
-their order in every page are the template; what is left between template tokens are the slots. Of a page's slots, the
-article's are returned: those inside the main element, without boilerplate by element or by the words of class and id.
+their order in every page are the template. Its text blocks are taken out of a page; its tags are not used: classes are not
+nested, and no slots between tags are formed. The article's blocks are those inside the main element, without boilerplate by
+element or by the words of class and id.
 
 Occurrence vectors are never gathered: a sum of hashes of (page, count) stands for each, so tokens of a host with very many
 pages are counted with partial sums like any other.
