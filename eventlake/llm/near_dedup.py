@@ -4,23 +4,54 @@ Two collections of ``collection`` sketches, each of ``rows`` minhashes, are comp
 of one sketch from either collection is the key of one table. ``collection ** 2`` tables thus cost ``2 * collection * rows``
 minhashes instead of ``2 * collection ** 2 * rows``. Sets that share a key are candidates, and every link is confirmed on the
 full shingle sets of the two texts.
+
+Between a key and a text stands a parity sketch: bit i says whether an odd number of a set's shingles hash to i. The exclusive
+or of two sketches is the sketch of the symmetric difference, so the number of its bits is a lower bound of that difference,
+however large the sets. Pairs that cannot link by that bound are dropped before any text moves, without losing a link.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Words, cut, id_back, id_key, mix, packed, ragged, row_hash, shingles, slices, table, window_hashes
 
 #: At similarity 0.8, two sets miss each other in all tables with probability 2 * (1 - 0.8 ** 3) ** 12, about 4 in 10,000.
 COLLECTION, ROWS = 12, 3
+#: Bits of the shortest parity sketch, which rides with each token of the prefix join.
+BITS = 512
 #: Ids of documents with candidates up to which they are broadcast (some 32 bytes each) to leave other texts unshuffled.
 BROADCAST_MOST = 2_000_000
 
 
+def parity(values: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set of hashes, of at least ``BITS`` and at least twice as many bits as the set has members."""
+    bits = BITS
+    while bits < 2 * len(values):
+        bits *= 2
+    odd = np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def gap(a: Column, b: Column) -> Column:
+    """Bits in which two parity sketches of one length differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, bits: total + bits)
+
+
+def folded(a: Column) -> Column:
+    """The sketch of half the bits."""
+    half = (F.size(a) / 2).cast("int")
+    return F.zip_with(F.slice(a, F.lit(1), half), F.slice(a, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
+def may_link(difference: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of ``n`` and ``m`` members that differ in at least ``difference`` may have 100 * intersection >= percent * union."""
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * difference <= (100 - percent) * (n + m))
+
+
 def _signatures(n: int, collection: int, rows: int):
     count = 2 * collection * rows
     rng = np.random.default_rng(20240710)
@@ -51,9 +82,11 @@ def _signatures(n: int, collection: int, rows: int):
                             sketches[full, s] = mix(sketches[full, s] + least)
                 ends = np.arange(batch.num_rows + 1) * collection
                 half = sketches.view(np.int64)
+                bits = [parity(x) if len(x) else np.zeros(0, np.int64) for x in sets]
+                bits_end = np.concatenate([[0], np.cumsum([len(x) for x in bits])])
                 yield pa.record_batch(
-                    [batch.column(0), batch.column(1), pa.array(size), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), ragged(half[:, :collection].ravel(), ends, pa.int64()), ragged(half[:, collection:].ravel(), ends, pa.int64())],
-                    ["__d", "__x", "n_shingles", "__g1", "__g2", "__left", "__right"],
+                    [batch.column(0), batch.column(1), pa.array(size), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), ragged(half[:, :collection].ravel(), ends, pa.int64()), ragged(half[:, collection:].ravel(), ends, pa.int64()), ragged(np.concatenate(bits) if bits else np.zeros(0, np.int64), bits_end, pa.int64())],
+                    ["__d", "__x", "n_shingles", "__g1", "__g2", "__left", "__right", "__bits"],
                 )
 
     return run
@@ -87,26 +120,72 @@ def _confirm(n: int, percent: int):
     return run
 
 
-def _only(whole: DataFrame, ids: DataFrame) -> DataFrame:
-    """``whole`` without texts that aren't among ``ids`` (__d), while those are at most ``BROADCAST_MOST``.
+def texts_of(whole: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (__d, text) of ``whole`` whose id is among ``ids`` (__d).
 
-    Beyond that number ``whole`` is returned as it is: the joins that follow drop the same rows, after a shuffle of all.
+    Up to ``BROADCAST_MOST`` ids go to the texts. Beyond that number the texts are shuffled, once, and those that are
+    found are kept by a checkpoint, so that the joins that follow move no others.
     """
     ids = cut(ids.distinct())
-    few = ids.limit(BROADCAST_MOST + 1).count() <= BROADCAST_MOST
-    return whole.join(F.broadcast(ids), "__d", "left_semi") if few else whole
+    found = whole.select("__d", "text")
+    if ids.limit(BROADCAST_MOST + 1).count() <= BROADCAST_MOST:
+        return found.join(F.broadcast(ids), "__d", "left_semi")
+    return cut(found.join(ids, "__d", "left_semi"))
 
 
-def confirmed(pairs: DataFrame, whole: DataFrame, n: int, percent: int) -> DataFrame:
-    """The ``pairs`` (__a, __b) that link, by the texts of ``whole`` (__d, text)."""
-    pairs = cut(pairs)
-    ids = pairs.select(F.col("__a").alias("__d")).unionByName(pairs.select(F.col("__b").alias("__d")))
-    texts = _only(whole.select("__d", "text"), ids)
-    with_b = pairs.join(texts.withColumnsRenamed({"__d": "__b", "text": "__tb"}), "__b")
+def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The ``pairs`` (__a, __b) that link, by ``texts`` (__d, text)."""
+    with_b = pairs.select("__a", "__b").join(texts.withColumnsRenamed({"__d": "__b", "text": "__tb"}), "__b")
     both = with_b.join(texts.withColumnsRenamed({"__d": "__a", "text": "__ta"}), "__a").select("__a", "__b", "__ta", "__tb")
     return both.mapInArrow(_confirm(n, percent), "__a long, __b long").distinct()
 
 
+def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (__a, __b and more) that may link by the sketches of ``sets`` (__d, __n, __bits), with the bound __gap."""
+    with_b = pairs.join(sets.toDF("__b", "__nb", "__bits_b"), "__b")
+    both = with_b.join(sets.toDF("__a", "__na", "__bits_a"), "__a")
+    x, y = F.col("__bits_a"), F.col("__bits_b")
+    # Sets of one size up to a quarter have sketches of one length up to one doubling.
+    least = F.when(F.size(x) == F.size(y), gap(x, y)).when(F.size(x) > F.size(y), gap(folded(x), y)).otherwise(gap(x, folded(y)))
+    close = both.filter(100 * F.least("__na", "__nb") >= percent * F.greatest("__na", "__nb")).withColumn("__gap", least)
+    return close.filter(may_link(F.col("__gap"), F.col("__na"), F.col("__nb"), percent)).select(*pairs.columns, "__gap")
+
+
+def grouped_by(nodes: DataFrame, groups: DataFrame | None, key: str = "__d", out: str = "__c") -> DataFrame:
+    """``nodes`` with the group ``out`` of ``key``: its own id where no link has reached it."""
+    if groups is None:
+        return nodes.withColumn(out, F.col(key))
+    return nodes.join(groups.toDF(key, "__found"), key, "left").withColumn(out, F.coalesce("__found", key)).drop("__found")
+
+
+def link(pairs: DataFrame, whole: DataFrame, groups: DataFrame | None, n: int, percent: int) -> DataFrame | None:
+    """``groups`` (__d, __c) after all links among ``pairs`` (__a, __b, __ca, __cb, __gap; __ca and __cb are their groups).
+
+    Of the pairs between two groups, the closest by their sketches is confirmed first. Then only pairs are left whose
+    groups are still apart, which are mostly none: so texts move about once for each group, however many pairs join it.
+    """
+    pairs = cut(pairs)
+    if pairs.isEmpty():
+        return groups
+    ids = pairs.select(F.col("__a").alias("__d")).unionByName(pairs.select(F.col("__b").alias("__d")))
+    texts = texts_of(whole, ids)
+    low, high = F.least("__ca", "__cb"), F.greatest("__ca", "__cb")
+    first = F.min_by(F.struct("__a", "__b"), F.struct("__gap", "__a", "__b")).alias("__p")
+    # While nodes are groups of their own, each takes its closest partner; there are no more pairs than nodes then.
+    by = ["__b"] if groups is None else [low.alias("__low"), high.alias("__high")]
+    best = cut(pairs.groupBy(*by).agg(first).select("__p.*"))
+    tried = (best, pairs.join(best, ["__a", "__b"], "left_anti"))
+    for k, those in enumerate(tried):
+        if k:
+            those = grouped_by(grouped_by(those.select("__a", "__b"), groups, "__a", "__ca"), groups, "__b", "__cb")
+            those = cut(those.filter("__ca != __cb"))
+        found = cut(confirmed(those, texts, n, percent))
+        if not found.isEmpty():
+            known = found if groups is None else found.unionByName(groups.filter("__d != __c").select(F.col("__d").alias("__a"), F.col("__c").alias("__b")))
+            groups = cut(components(known))
+    return groups
+
+
 def components(links: DataFrame) -> DataFrame:
     """(__d, __c): each end of a link and the smallest id that it reaches, by alternating large and small stars.
 
@@ -145,37 +224,50 @@ def _token_rows(n: int):
     def run(batches):
         for whole in batches:
             for batch in slices(whole):
-                words = Words(batch.column(2), lower=True)
+                words = Words(batch.column(1), lower=True)
                 hashes, first = words.hashes(), words.first
                 sets = [shingles(hashes[first[i] : first[i + 1]], n) for i in range(batch.num_rows)]
                 size = np.array([len(x) for x in sets], np.int64)
                 rows = np.repeat(np.arange(batch.num_rows), size)
-                d, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                yield pa.record_batch([pa.array(np.concatenate(sets).view(np.int64)), pa.array(d[rows]), pa.array(c[rows]), pa.array(size[rows])], ["__t", "__d", "__c", "__n"])
+                yield pa.record_batch([pa.array(np.concatenate(sets).view(np.int64)), batch.column(0).take(pa.array(rows)), pa.array(size[rows])], ["__t", "__d", "__n"])
 
     return run
 
 
-def prefix_pairs(nodes: DataFrame, whole: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (__a, __b) of ``nodes`` (__d, __c) with different __c that may link; no pair that does is left out.
+def _every(step: int, at: int):
+    return lambda x, i: i % step == at
+
+
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (__a, __b, __ca, __cb) of ``nodes`` (__d, __c) with different __c that may link; no pair that does is left out.
 
     Exact prefix filter: with the tokens of each set in one global order, rarest first, two sets that link share one of
     the first ``size - ceil(percent % of size) + 1`` tokens of either, and at their first shared token enough tokens must be
     left in both. A token that only one set has costs nothing, so sets that merely share a common passage never meet.
+    The shortest sketch of either set lies beside each token: a pair that cannot link by it is never written, so near
+    copies that all stay below the threshold cost comparisons inside the join but no rows.
     """
-    tokens = nodes.join(_only(whole, nodes.select("__d")), "__d").select("__d", "__c", "text").mapInArrow(_token_rows(n), "__t long, __d long, __c long, __n long")
+    short, size = F.col("__bits"), F.col("__n")
+    # All longs of one place modulo 8 folded together: the sketch of ``BITS`` bits.
+    words = BITS // 64
+    folds = [F.aggregate(F.filter(short, _every(words, k)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)).alias(f"__s{k}") for k in range(words)]
+    sketched = nodes.join(sets, "__d").select("__d", "__c", "__n", *folds)
+    tokens = texts.mapInArrow(_token_rows(n), "__t long, __d long, __n long")
     often = tokens.groupBy("__t").agg(F.count("*").alias("__df")).filter("__df > 1").hint("rebalance")
     # Tokens of one set come first if no other set has them: their number is all that is needed of them.
-    listed = tokens.join(often, "__t").groupBy("__d", "__c", "__n").agg(F.sort_array(F.collect_list(F.struct("__df", "__t"))).alias("__list"))
-    alone = F.col("__n") - F.size("__list")
-    prefix = F.col("__n") - F.ceil(F.col("__n") * percent / 100) + 1 - alone
-    heads = listed.filter(prefix > 0).select("__d", "__c", "__n", alone.alias("__skip"), F.posexplode(F.slice("__list", F.lit(1), prefix.cast("int"))).alias("__i", "__e"))
-    heads = heads.select("__d", "__c", "__n", (F.col("__n") - F.col("__skip") - F.col("__i")).alias("__left"), F.col("__e.__t").alias("__t"))
-    other = heads.toDF("__d2", "__c2", "__n2", "__left2", "__t")
+    listed = tokens.join(often, "__t").groupBy("__d", "__n").agg(F.sort_array(F.collect_set(F.struct("__df", "__t"))).alias("__list")).join(sketched, ["__d", "__n"])
+    alone = size - F.size("__list")
+    prefix = size - F.ceil(size * percent / 100) + 1 - alone
+    bits = [f"__s{k}" for k in range(words)]
+    heads = listed.filter(prefix > 0).select("__d", "__c", "__n", *bits, alone.alias("__skip"), F.posexplode(F.slice("__list", F.lit(1), prefix.cast("int"))).alias("__i", "__e"))
+    heads = cut(heads.select(F.col("__e.__t").alias("__t"), "__d", "__c", "__n", (size - F.col("__skip") - F.col("__i")).alias("__left"), *bits))
+    other = heads.toDF(*["__t" if c == "__t" else f"{c}2" for c in heads.columns])
     enough = (100 + percent) * F.least("__left", "__left2") >= percent * (F.col("__n") + F.col("__n2"))
-    # One token is enough to find a pair, so a pair of sets meets at most once for each shared token of their prefixes.
-    met = heads.join(other, "__t").filter((F.col("__d") < F.col("__d2")) & (F.col("__c") != F.col("__c2")) & enough)
-    return met.select(F.col("__d").alias("__a"), F.col("__d2").alias("__b")).distinct()
+    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}2"))) for b in bits), F.lit(0))
+    a, b = heads.alias("x"), other.alias("y")
+    meets = (F.col("x.__t") == F.col("y.__t")) & (F.col("__d") < F.col("__d2")) & (F.col("__c") != F.col("__c2")) & enough & may_link(apart, F.col("__n"), F.col("__n2"), percent)
+    met = a.join(b, meets)
+    return met.select(F.col("__d").alias("__a"), F.col("__d2").alias("__b"), F.col("__c").alias("__ca"), F.col("__c2").alias("__cb")).distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, collection: int = COLLECTION, rows: int = ROWS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -189,10 +281,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, collection:
     only if nothing with an id is equal or linked to it. Repeated rows, and rows that share a doc_id, are one document.
     Extra columns are not read. An empty table gives no rows.
 
+    Very long texts: whole, but a text has to fit in a task's memory some 60 times.
+
     Scale: equal sets are one node from the start. In each table every node is paired only with the smallest node that
-    has the same key (a star, never all pairs); links found so join groups of copies whatever their size. Where nodes of
-    one key are still unconnected after that, an exact prefix-filter join over those nodes finds the links left between
-    them. Only the recall of the tables themselves (see ``COLLECTION``) is less than 1.
+    has the same key (a star, never all pairs), then with a random one of another group; links found so join groups of
+    copies whatever their size. Where nodes of one key are still unconnected after that, an exact prefix-filter join over
+    those nodes finds the links left between them, and sketches keep pairs below the threshold from being written. Only the
+    recall of the tables themselves (see ``COLLECTION``) is less than 1.
     """
     out = near_groups(docs, n, percent, collection, rows, text, doc_id)
     return out.select(id_back("__d").alias("doc_id"), "n_shingles", id_back("__c").alias("component_id"), (F.col("__c") == F.col("__d")).alias("kept"))
@@ -202,11 +297,15 @@ def near_groups(docs: DataFrame, n: int, percent: int, collection: int, rows: in
     """:func:`near_duplicates` with ids as keys (__d, __c) and the hash __x of each row's text."""
     body = F.coalesce(F.col(text), F.lit(""))
     with_hash = docs.select(id_key(doc_id).alias("__d"), row_hash(text).alias("__x"), body.alias("text"))
-    whole = with_hash.select("__d", "text")
-    kind = "__d long, __x long, n_shingles long, __g1 long, __g2 long, __left array<long>, __right array<long>"
+    kind = "__d long, __x long, n_shingles long, __g1 long, __g2 long, __left array<long>, __right array<long>, __bits array<long>"
     signed = cut(with_hash.mapInArrow(_signatures(n, collection, rows), kind))
     full = signed.filter("n_shingles > 0")
-    classes = cut(full.groupBy("__g1", "__g2").agg(F.min("__d").alias("__d"), F.min(F.struct("__left", "__right")).alias("__s")).select("__g1", "__g2", "__d", "__s.*"))
+    # Repeated rows are one document: their text is looked up once, not once for each repeat.
+    repeats = not signed.groupBy("__d").agg(F.count("*").alias("__n")).filter("__n > 1").isEmpty()
+    whole = (with_hash.dropDuplicates(["__d", "__x"]) if repeats else with_hash).select("__d", "text")
+    same = F.first(F.struct(F.col("n_shingles").alias("__n"), "__left", "__right", "__bits")).alias("__s")  # equal sets, equal sketches
+    classes = cut(full.groupBy("__g1", "__g2").agg(F.min("__d").alias("__d"), same).select("__g1", "__g2", "__d", "__s.*"))
+    sets = classes.select("__d", "__n", "__bits")
     table_keys = F.flatten(F.transform("__left", lambda x, i: F.transform("__right", lambda y, j: F.xxhash64(x, y, i * 1000 + j))))
     # Each row becomes ``collection ** 2``: dealt over all partitions first, as the narrow rows lie in few of them.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -214,19 +313,28 @@ def near_groups(docs: DataFrame, n: int, percent: int, collection: int, rows: in
     least = cut(keys.groupBy("__k").agg(F.min("__d").alias("__a"), F.count("*").alias("__n")).filter("__n > 1").drop("__n"))
     shared = cut(keys.join(least, "__k"))
     stars = shared.filter("__d != __a").select("__a", F.col("__d").alias("__b")).distinct()
-    links = cut(confirmed(stars, whole, n, percent))
-    groups = cut(components(links))
-    grouped = shared.join(groups, "__d", "left").select("__k", "__d", F.coalesce("__c", "__d").alias("__c"))
-    mixed = grouped.groupBy("__k").agg(F.min("__c").alias("__low"), F.max("__c").alias("__high")).filter("__low < __high").select("__k").hint("rebalance")
-    apart = cut(grouped.join(mixed, "__k").select("__d", "__c").distinct())
-    more = cut(confirmed(prefix_pairs(apart, whole, n, percent), whole, n, percent))
-    # The first groups are stars already, so the second round only has to join whole groups.
-    merged = components(groups.filter("__d != __c").select(F.col("__d").alias("__a"), F.col("__c").alias("__b")).unionByName(more))
-    of_class = classes.select("__g1", "__g2", "__d").join(merged, "__d", "left").select("__g1", "__g2", F.coalesce("__c", "__d").alias("__c"))
+    groups = link(bounded(stars, sets, percent).withColumns({"__ca": F.col("__a"), "__cb": F.col("__b")}), whole, None, n, percent)
+    # Stars around another node of each key, dealt by a hash, for what the smallest node of a key does not reach.
+    left = cut(mixed_keys(grouped_by(shared.select("__k", "__d"), groups)))
+    centre = left.groupBy("__k").agg(F.min(F.struct(F.xxhash64("__d", "__k"), "__d", "__c")).alias("__p")).select("__k", F.col("__p.__d").alias("__a"), F.col("__p.__c").alias("__ca")).hint("rebalance")
+    again = left.join(centre, "__k").filter("__c != __ca").select("__a", F.col("__d").alias("__b"), "__ca", F.col("__c").alias("__cb")).distinct()
+    groups = link(bounded(again, sets, percent), whole, groups, n, percent)
+    # Nodes of one key that are apart still: all links that are left between them.
+    nodes = cut(mixed_keys(grouped_by(left.select("__k", "__d"), groups)).select("__d", "__c").distinct())
+    if not nodes.isEmpty():
+        met = prefix_pairs(nodes, sets, texts_of(whole, nodes.select("__d")), n, percent)
+        groups = link(bounded(met, sets, percent), whole, groups, n, percent)
+    of_class = grouped_by(classes.select("__g1", "__g2", "__d"), groups).drop("__d")
     out = signed.select("__d", "__x", "n_shingles", "__g1", "__g2").join(of_class.hint("rebalance"), ["__g1", "__g2"], "left")
     return out.select("__d", "__x", "n_shingles", F.coalesce("__c", "__d").alias("__c"))
 
 
+def mixed_keys(grouped: DataFrame) -> DataFrame:
+    """Rows (__k, __d, __c) of the keys that hold more than one group."""
+    mixed = grouped.groupBy("__k").agg(F.min("__c").alias("__low"), F.max("__c").alias("__high")).filter("__low < __high").select("__k").hint("rebalance")
+    return grouped.join(mixed, "__k").select("__k", "__d", "__c")
+
+
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, with all their columns, of which none is near another: the smallest doc_id of each group.
 
@@ -234,8 +342,8 @@ def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "te
     """
     stays = near_groups(docs, n, percent, COLLECTION, ROWS, text, doc_id).filter("__c = __d").select("__d", "__x").distinct()
     rows = packed(docs, __d=id_key(doc_id), __x=row_hash(text)).join(stays, ["__d", "__x"], "left_semi")
-    one = F.row_number().over(Window.partitionBy("__d", "__x").orderBy(F.lit(0)))
-    return rows.withColumn("__n", one).filter("__n = 1").select("__row.*")
+    # Repeats fall together where they lie before anything is shuffled, so a row repeated very often is no hot key.
+    return rows.dropDuplicates(["__d", "__x"]).select("__row.*")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

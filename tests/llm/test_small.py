@@ -487,6 +487,22 @@ def test_components_against_brute_force(spark, n):
     assert sorted(r.doc_id for r in left.collect()) == sorted(want) and left.columns == docs(spark, []).columns
 
 
+def sketched(spark, rows, n):
+    """(nodes, sets, texts) as :func:`near_dedup.prefix_pairs` takes them, each row a group of its own."""
+    texts = docs(spark, rows).select(F.col("doc_id").alias("__d"), "text")
+    found = []
+    for i, t in rows:
+        values = near_dedup.shingles(common.Words(pa.array([t]), lower=True).hashes(), n)
+        found.append((i, len(values), near_dedup.parity(values).tolist()))
+    return texts.select("__d", F.col("__d").alias("__c")), spark.createDataFrame(found, "__d long, __n long, __bits array<long>"), texts
+
+
+def links_of(rows, n):
+    sets = {i: set(zip(*[t.split()[k:] for k in range(n)])) for i, t in rows}
+    ids = sorted(sets)
+    return {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+
+
 def test_prefix_pairs_lose_nothing(spark):
     rng = np.random.default_rng(8)
     rows = []
@@ -495,13 +511,51 @@ def test_prefix_pairs_lose_nothing(spark):
         for k in rng.choice(60, int(rng.integers(0, 9)), replace=False):
             w[k] = f"r{rng.integers(0, 40)}"
         rows.append((i, " ".join(w)))
-    whole = docs(spark, rows).select(F.col("doc_id").alias("__d"), "text")
-    pairs = {(r["__a"], r["__b"]) for r in near_dedup.prefix_pairs(whole.select("__d", F.col("__d").alias("__c")), whole, 2, 80).collect()}
-    sets = [set(zip(t.split(), t.split()[1:])) for _, t in rows]
-    links = {(a, b) for a in range(80) for b in range(a + 1, 80) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    pairs = {(r["__a"], r["__b"]) for r in near_dedup.prefix_pairs(*sketched(spark, rows, 2), 2, 80).collect()}
+    links = links_of(rows, 2)
     assert links and links <= pairs
 
 
+def test_bound_of_sketches_loses_nothing(spark):
+    """Sets of many sizes, so that sketches of two lengths meet: every link passes, and few others."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(60):
+        size = int(rng.choice([100, 240, 270, 500, 520, 1100]))
+        w = [f"b{k}" for k in range(size)]
+        for k in rng.choice(size, int(rng.integers(0, size // 12)), replace=False):
+            w[k] = f"r{i}_{k}"
+        rows.append((i, " ".join(w)))
+    _, sets, _ = sketched(spark, rows, 2)
+    every = spark.createDataFrame([(a, b) for a in range(60) for b in range(a + 1, 60)], "__a long, __b long")
+    pairs = {(r["__a"], r["__b"]) for r in near_dedup.bounded(every, sets, 80).collect()}
+    links = links_of(rows, 2)
+    assert len(links) > 50 and links <= pairs and len(pairs) < 1.5 * len(links)
+
+
+def test_near_copies_below_the_threshold_write_no_pairs(spark):
+    """2,000 variants of one text, hardly any two of them similar enough: all pairs share tokens, hardly any is written."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(2000):
+        w = [f"b{k}" for k in range(120)]
+        for k in rng.choice(120, 10, replace=False):  # other words are shared too, so no token is alone
+            w[k] = f"r{rng.integers(0, 30)}"
+        rows.append((i, " ".join(w)))
+    pairs = near_dedup.prefix_pairs(*sketched(spark, rows, 2), 2, 80)
+    assert pairs.count() <= 20 * len(rows)
+    some = rows[:300]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs(spark, some), n=2).collect()}
+    assert got == brute_components(some, 2, 80)
+
+
+def test_a_row_repeated_often_is_one_document(spark):
+    rows = [(1, words(40))] * 300 + [(2, words(40) + " more")] * 300 + [(3, "else")]
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 3, True)}
+    assert sorted(r.doc_id for r in near_dedup.deduplicated(docs(spark, rows)).collect()) == [1, 3]
+
+
 def test_odd_rows(spark):
     got = near_dedup.near_duplicates(docs(spark, ODD)).collect()
     assert len(got) == len(ODD)
