@@ -28,10 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where it is unset (tests), a folder of our own is set."""
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset and all runs on one machine (tests), one of our own."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), "eventlake-checkpoints")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -130,6 +132,10 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+#: Bytes of text that the numpy passes take at a time: their arrays stay small and in cache.
+SLICE_BYTES = 1 << 20
+
+
 class Words:
     """All words of a batch of texts. ``start``/``end``: their bytes; ``first[i]:first[i + 1]``: the words of row i."""
 
@@ -150,11 +156,20 @@ class Words:
         self.first = np.searchsorted(self.start, self.offsets)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        up, down = _BYTE_POWERS.get(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTES[self.data] * up[:-1], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        """A 64-bit hash of each word's bytes, made for some ``SLICE_BYTES`` of words at a time."""
+        out = np.empty(len(self.start), np.uint64)
+        at = 0
+        while at < len(out):
+            begin = self.start[at]
+            upto = max(at + 1, int(np.searchsorted(self.end, begin + SLICE_BYTES, "right")))
+            data = self.data[begin : self.end[upto - 1]]
+            up, down = _BYTE_POWERS.get(len(data) + 1)
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
+            start, end = self.start[at:upto] - begin, self.end[at:upto] - begin
+            out[at:upto] = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+            at = upto
+        return out
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -186,10 +201,6 @@ def shingles(values: np.ndarray, n: int) -> np.ndarray:
     return np.unique(window_hashes(values, min(n, len(values))))
 
 
-#: Bytes of text that the numpy passes take at a time: their arrays stay small and in cache.
-SLICE_BYTES = 1 << 20
-
-
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES):
     """Runs of rows of ``batch`` with about ``most`` bytes in ``column``; a longer text is a run of its own."""
     texts = batch.column(batch.schema.get_field_index(column))

@@ -93,17 +93,16 @@ def _signatures(n: int, collection: int, rows: int):
 
 
 def _confirm(n: int, percent: int):
-    """Of rows (a, b, text_a, text_b): the pairs whose sets have 100 * intersection >= percent * union."""
+    """Of rows (a, text_a, text_b, group_a, group_b): the groups of the pairs whose sets have 100 * intersection >= percent * union."""
 
     def run(batches):
         known: tuple[int, str, np.ndarray] | None = None  # rows with the same ``a`` mostly follow each other
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            left = batch.column(2)
+            a, left = batch.column(0).to_pylist(), batch.column(1)
             keep = []
             at = 0
             for part in slices(batch, "__tb"):
-                words = Words(part.column(3), lower=True)
+                words = Words(part.column(2), lower=True)
                 hashes, first = words.hashes(), words.first
                 for i in range(part.num_rows):
                     text = left[at].as_py()
@@ -115,7 +114,7 @@ def _confirm(n: int, percent: int):
                     if both and 100 * both >= percent * (len(x) + len(y) - both):
                         keep.append(at)
                     at += 1
-            yield pa.record_batch([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["__a", "__b"])
+            yield batch.select([3, 4]).take(pa.array(keep, pa.int64()))
 
     return run
 
@@ -134,10 +133,10 @@ def texts_of(whole: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The ``pairs`` (__a, __b) that link, by ``texts`` (__d, text)."""
-    with_b = pairs.select("__a", "__b").join(texts.withColumnsRenamed({"__d": "__b", "text": "__tb"}), "__b")
-    both = with_b.join(texts.withColumnsRenamed({"__d": "__a", "text": "__ta"}), "__a").select("__a", "__b", "__ta", "__tb")
-    return both.mapInArrow(_confirm(n, percent), "__a long, __b long").distinct()
+    """(__ca, __cb) of the ``pairs`` (__a, __b and their groups) that link, by ``texts`` (__d, text)."""
+    with_b = pairs.select("__a", "__b", "__ca", "__cb").join(texts.withColumnsRenamed({"__d": "__b", "text": "__tb"}), "__b")
+    both = with_b.join(texts.withColumnsRenamed({"__d": "__a", "text": "__ta"}), "__a").select("__a", "__ta", "__tb", "__ca", "__cb")
+    return both.mapInArrow(_confirm(n, percent), "__ca long, __cb long").distinct()
 
 
 def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,24 +169,48 @@ def link(pairs: DataFrame, whole: DataFrame, groups: DataFrame | None, n: int, p
     ids = pairs.select(F.col("__a").alias("__d")).unionByName(pairs.select(F.col("__b").alias("__d")))
     texts = texts_of(whole, ids)
     low, high = F.least("__ca", "__cb"), F.greatest("__ca", "__cb")
-    first = F.min_by(F.struct("__a", "__b"), F.struct("__gap", "__a", "__b")).alias("__p")
-    # While nodes are groups of their own, each takes its closest partner; there are no more pairs than nodes then.
-    by = ["__b"] if groups is None else [low.alias("__low"), high.alias("__high")]
-    best = cut(pairs.groupBy(*by).agg(first).select("__p.*"))
-    tried = (best, pairs.join(best, ["__a", "__b"], "left_anti"))
-    for k, those in enumerate(tried):
-        if k:
-            those = grouped_by(grouped_by(those.select("__a", "__b"), groups, "__a", "__ca"), groups, "__b", "__cb")
-            those = cut(those.filter("__ca != __cb"))
-        found = cut(confirmed(those, texts, n, percent))
-        if not found.isEmpty():
-            known = found if groups is None else found.unionByName(groups.filter("__d != __c").select(F.col("__d").alias("__a"), F.col("__c").alias("__b")))
-            groups = cut(components(known))
-    return groups
+    first = F.min_by(F.struct("__a", "__b", "__ca", "__cb"), F.struct("__gap", "__a", "__b")).alias("__p")
+    # While nodes are groups of their own, each takes its closest partner: there are no more pairs than nodes then, and
+    # each node has one link at most, to a smaller node.
+    alone = groups is None
+    best = cut(pairs.groupBy(*(["__b"] if alone else [low.alias("__low"), high.alias("__high")])).agg(first).select("__p.*"))
+    links = cut(confirmed(best, texts, n, percent))
+    if not links.isEmpty():
+        groups = merged(groups, roots(links) if alone else components(links))
+    rest = pairs.join(best, ["__a", "__b"], "left_anti").select("__a", "__b")
+    rest = cut(grouped_by(grouped_by(rest, groups, "__a", "__ca"), groups, "__b", "__cb").filter("__ca != __cb"))
+    if rest.isEmpty():
+        return groups
+    links = cut(confirmed(rest, texts, n, percent))
+    return groups if links.isEmpty() else merged(groups, components(links))
+
+
+def merged(groups: DataFrame | None, joined: DataFrame) -> DataFrame:
+    """``groups`` (__d, __c) with whole groups joined as ``joined`` (__d, a group, and __c) says."""
+    joined = cut(joined)
+    if groups is None:
+        return joined
+    moved = grouped_by(groups.select("__d", F.col("__c").alias("__g")), joined, "__g", "__c").select("__d", "__c")
+    return cut(moved.unionByName(joined.join(groups.select("__d"), "__d", "left_anti")))
+
+
+def roots(links: DataFrame) -> DataFrame:
+    """(__d, __c) for links (__ca, __cb) of which each __cb has one, to a smaller __ca: each end and the root of its tree.
+
+    Every round doubles how far each node points, so a tree is done after log2 of its depth.
+    """
+    at = cut(links.select(F.col("__cb").alias("__d"), F.col("__ca").alias("__c")))
+    moving = True
+    while moving:
+        up = at.toDF("__c", "__up").hint("rebalance")
+        step = cut(at.join(up, "__c", "left").select("__d", F.coalesce("__up", "__c").alias("__c"), F.col("__up").isNotNull().alias("__moved")))
+        moving = not step.filter("__moved").isEmpty()
+        at = step.select("__d", "__c")
+    return at.unionByName(at.select(F.col("__c").alias("__d"), "__c").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(__d, __c): each end of a link and the smallest id that it reaches, by alternating large and small stars.
+    """(__d, __c): each end of a link (__ca, __cb) and the smallest id that it reaches, by alternating large and small stars.
 
     Each round is a partial minimum and a join; rounds end when the links are stars, after about log2(diameter) rounds.
     Links, not documents, are what moves. Every round is cut by a checkpoint.
@@ -208,7 +231,7 @@ def components(links: DataFrame) -> DataFrame:
             return moved.filter("__v > __u").select(F.col("__v").alias("__a"), F.col("__m").alias("__b")).distinct()
         return moved.select(F.col("__v").alias("__a"), F.col("__m").alias("__b")).union(least.select("__u", "__m")).filter("__a != __b").distinct()
 
-    edges = cut(links.select(F.greatest("__a", "__b").alias("__a"), F.least("__a", "__b").alias("__b")).distinct())
+    edges = cut(links.select(F.greatest("__ca", "__cb").alias("__a"), F.least("__ca", "__cb").alias("__b")).distinct())
     before = state(edges)
     while before[0]:
         edges = cut(star(star(edges, True), False))
@@ -281,7 +304,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, collection:
     only if nothing with an id is equal or linked to it. Repeated rows, and rows that share a doc_id, are one document.
     Extra columns are not read. An empty table gives no rows.
 
-    Very long texts: whole, but a text has to fit in a task's memory some 60 times.
+    Very long texts: whole, but a text has to fit in a task's memory some 15 times.
 
     Scale: equal sets are one node from the start. In each table every node is paired only with the smallest node that
     has the same key (a star, never all pairs), then with a random one of another group; links found so join groups of
