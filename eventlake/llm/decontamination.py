@@ -21,7 +21,8 @@ from .common import _LOWER, Words, id_back, id_key, packed, row_hash, slices, ta
 #: Words that are a unit when they follow a number.
 UNITS = "% percent s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years mm cm m km metre metres meter meters inch inches in ft foot feet yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ton tons l ml litre litres liter liters gallon gallons $ usd eur dollar dollars euro euros cent cents mph kmh km/h degree degrees celsius fahrenheit w kw mw watt watts j joule joules v volt volts a amp amps hz khz mhz ghz byte bytes kb mb gb tb".split()
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x4E554D, 0x4E414D45, 0x554E4954))
-#: Words in a window, and how many of them must be no placeholders; windows with fewer are compared by their values alone.
+#: Words in a window, and how many of them must be no placeholders: a template of fewer words would be shared by unrelated
+#: questions, so such windows are compared by their values alone. An item is missed if most of it is such windows and changed.
 WINDOW, LITERALS = 5, 3
 #: Item windows up to which their hashes go to every task as a filter (8 bytes each); beyond it, all windows are joined.
 FILTER_MOST = 2_000_000
@@ -160,29 +161,36 @@ def _windows(n: int, wanted: np.ndarray | None, short: range | list[int], alone:
     return run
 
 
-def align(matches: list[dict], words: int, n: int, coverage: float = 0.6, consistency: float = 0.8) -> tuple[float, float, float, bool]:
+def align(groups: list[dict], words: int, n: int, coverage: float = 0.6, consistency: float = 0.8) -> tuple[float, float, float, bool]:
     """Coverage, consistency of slots, share of equal tokens and whether it is a leak, of a document's best stretch for one item.
 
-    Each match has the window's place and tokens in the document (``p``, ``t``) and in the item (``q``, ``u``). A stretch
-    is what starts at one match and is at most twice as long as the item. It is a leak if windows of equal tokens cover enough
-    of the item, or if all windows do and the slots agree.
+    Each group is one window that both hold: ``found`` has its places and tokens in the document (``p``, ``t``), ``asked``
+    those in the item (``q``, ``u``). They are paired only inside a stretch, which is what starts at one place and is at most
+    twice as long as the item, so a window that a long document repeats costs its places, not their product. A stretch is
+    a leak if windows of equal tokens cover enough of the item, or if all windows do and the slots agree.
     """
-    matches = sorted(matches, key=lambda m: (m["p"], m["q"]))
+    places = sorted((f["p"], k, f["t"]) for k, g in enumerate(groups) for f in g["found"])
     best = (0.0, 0.0, 0.0, False)
     upto, done = 0, -1
-    for i, m in enumerate(matches):
-        if m["p"] <= done:
+    for i, (at, _, _) in enumerate(places):
+        if at <= done:
             continue
         upto = max(upto, i)
-        while upto < len(matches) and matches[upto]["p"] < m["p"] + 2 * words + n:
+        while upto < len(places) and places[upto][0] < at + 2 * words + n:
             upto += 1
         pairs: dict[tuple[int, int], tuple[str, str, bool]] = {}
         plain: set[int] = set()
-        for x in matches[i:upto]:
-            said = [(u.lstrip("\x01"), t.lstrip("\x01"), u.startswith("\x01")) for u, t in zip(x["u"], x["t"], strict=True)]
-            pairs.update({(x["q"] + j, x["p"] + j): y for j, y in enumerate(said)})
-            if all(u == t for u, t, _ in said):
-                plain.update(range(x["q"], x["q"] + len(said)))
+        once: set[int] = set()
+        for p, k, t in places[i:upto]:
+            if k in once:
+                continue
+            if not any(w.startswith("\x01") for w in t):
+                once.add(k)  # nothing to compare: the window's other places in the stretch say the same
+            for x in groups[k]["asked"]:
+                said = [(u.lstrip("\x01"), w.lstrip("\x01"), u.startswith("\x01")) for u, w in zip(x["u"], t, strict=True)]
+                pairs.update({(x["q"] + j, p + j): y for j, y in enumerate(said)})
+                if all(u == w for u, w, _ in said):
+                    plain.update(range(x["q"], x["q"] + len(said)))
         covered = len({q for q, _ in pairs}) / words
         if covered > best[0] or not best[3]:
             same = len({q for (q, _), (u, t, _) in pairs.items() if u == t})
@@ -202,7 +210,9 @@ def align(matches: list[dict], words: int, n: int, coverage: float = 0.6, consis
             leak = len(plain) / words >= coverage or covered >= coverage and agree >= consistency
             if (leak, covered) > (best[3], best[0]):
                 best = (covered, agree, same / words, leak)
-        done = m["p"] + words // 2  # the next stretch starts half an item on
+        if best[3] and best[0] >= 1:
+            break
+        done = at + words // 2  # the next stretch starts half an item on
     return best
 
 
@@ -234,7 +244,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverage: floa
 
     Scale: windows of documents are made where they lie and only those of the items leave the task, while the items'
     windows number at most ``filter_most``; beyond that all windows are joined, with the same result. An item that very
-    many documents leak is split by Spark in the join; groups are one document and item each.
+    many documents leak is split by Spark in the join; groups are one document and item each, and grow with the places of
+    shared windows in the two, not with their product. doc_id and item_id must be numbers or strings of digits. Very long
+    texts: whole, but a text has to fit in a task's memory some 40 times. Empty tables give no rows.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     whole = docs.select(id_key(doc_id).alias("__d"), row_hash(body).alias("__x"), body.alias("text"))
@@ -244,9 +256,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverage: floa
     asked = items.mapInArrow(_windows(n, None, range(1, n), True), kind)
     short = sorted(k for (k,) in asked.filter(F.col("words") < n).select("words").distinct().collect())
     hashes = asked.select("__h").distinct().limit(filter_most + 1).toPandas()["__h"].to_numpy(np.int64).view(np.uint64)
-    found = whole.mapInArrow(_windows(n, hashes if len(hashes) <= filter_most else None, short, False), kind).select("__h", "__d", "__x", F.col("place").alias("p"), F.col("tokens").alias("t"))
-    wanted = asked.select("__h", F.col("__d").alias("__item"), F.col("__x").alias("__y"), F.col("place").alias("q"), F.col("tokens").alias("u"), "words")
-    met = found.join(wanted, "__h").groupBy("__d", "__x", "__item", "__y").agg(F.max("words").alias("words"), F.collect_set(F.struct("p", "q", "t", "u")).alias("matches"))
+    found = whole.mapInArrow(_windows(n, hashes if len(hashes) <= filter_most else None, short, False), kind)
+    found = found.groupBy("__h", "__d", "__x").agg(F.collect_set(F.struct(F.col("place").alias("p"), F.col("tokens").alias("t"))).alias("found"))
+    wanted = asked.groupBy("__h", F.col("__d").alias("__item"), F.col("__x").alias("__y"), "words").agg(F.collect_set(F.struct(F.col("place").alias("q"), F.col("tokens").alias("u"))).alias("asked"))
+    # Both sides come together once for each window, whatever its repeats in the document or in the item.
+    met = found.join(wanted, "__h").groupBy("__d", "__x", "__item", "__y").agg(F.max("words").alias("words"), F.collect_list(F.struct("found", "asked")).alias("matches"))
     judged = met.mapInArrow(_judge(n, coverage, consistency), "__d long, __x long, __item long, coverage double, consistency double, equal double, kind string")
     return judged.select("__d", "__x", id_back("__item").alias("item_id"), "coverage", "consistency", "equal", "kind")
 
