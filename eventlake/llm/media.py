@@ -103,17 +103,30 @@ def interleave(pages: DataFrame, keep: list[str], html: str = "html") -> DataFra
     return pages.select(*keep, html).mapInArrow(run, f"{kinds}, parts array<{_PART_DDL}>")
 
 
-def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
-    """One row for each part of ``sequences``, media parts with the columns of ``media`` (digest and others), or nulls.
+def exploded(sequences: DataFrame) -> DataFrame:
+    """One row for each part of ``sequences``, with its other columns."""
+    keep = [c for c in sequences.columns if c != "parts"]
+    return sequences.select(*keep, F.explode("parts").alias("part")).select(*keep, "part.*")
+
+
+def resolve(parts: DataFrame, media: DataFrame) -> DataFrame:
+    """``parts``, media parts with the columns of ``media`` (digest and others), or nulls where no such medium is stored.
 
     ``media`` holds a digest once. It is dealt as a shuffle of its own, so that Spark can split a digest that very many
     parts name, or broadcast the media if they prove small.
     """
-    keep = [c for c in sequences.columns if c != "parts"]
-    parts = sequences.select(*keep, F.explode("parts").alias("part")).select(*keep, "part.*")
     return parts.join(media.hint("rebalance"), "digest", "left")
 
 
+def payloads_of(parts: DataFrame, media: DataFrame) -> DataFrame:
+    """(digest, stored) of the media that ``parts`` name, each once: the join that resolves payloads.
+
+    Both sides hold a digest once here, so however many parts name a medium, its payload moves to one row and no further.
+    """
+    named = parts.select("digest").filter("digest IS NOT NULL").distinct()
+    return named.join(media, "digest")
+
+
 def padded(text: Column, frame: int = FRAME) -> Column:
     """The text with spaces up to a positive multiple of ``frame`` bytes."""
     size = F.octet_length(text)
@@ -148,8 +161,11 @@ def _store(batches):
 
 
 def store(payloads: DataFrame) -> DataFrame:
-    """(digest, payload) to (digest, stored): the payload as a media file."""
-    return payloads.select("digest", "payload").mapInArrow(_store, "digest string, stored binary")
+    """The media table of (digest, payload) rows: (digest, stored), the payload as a media file, each digest once.
+
+    Copies fall together where they lie, before payloads are shuffled.
+    """
+    return payloads.select("digest", "payload").mapInArrow(_store, "digest string, stored binary").dropDuplicates(["digest"])
 
 
 def feature(data: bytes) -> str:
@@ -171,21 +187,25 @@ def _read_back(batches):
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """Features of each stored medium, from the samples read back; equal media are one row."""
+    """Features of each stored medium, from the samples read back."""
     kind = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.mapInArrow(_read_back, kind).dropDuplicates(["digest"])
+    return media.mapInArrow(_read_back, kind)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a page with one figure, whose medium is the document's padded text.
+    """Each document as a page of a heading and a figure, whose medium is the document's padded text.
 
-    Null text: the empty text. Null doc_id: stays null. Equal texts share one medium. Features, not payloads, are shuffled.
+    Pages are parsed into sequences, the media that they name are resolved by digest, read back and described, and the
+    descriptions come back to the parts. Null text: the empty text. Null doc_id: stays null. Equal texts share one medium.
+    Repeated rows are repeated in the result. Extra columns are not read. An empty table gives no rows. Very long texts:
+    whole, but a payload has to fit in a task some 6 times.
     """
     docs = table(spark, sf_dir, "documents").select(id_key().alias("__d"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.select("__d", F.octet_length("text").cast("long").alias("n_bytes"), padded(F.col("text")).alias("payload"))
     docs = docs.withColumn("digest", F.sha2("payload", 256))
-    media = read_back(store(docs.select("digest", F.col("payload").cast("binary").alias("payload"))))
+    media = store(docs.select("digest", F.col("payload").cast("binary").alias("payload")))
     name = F.concat(F.lit("document "), F.col("__d").cast("string"))
-    html = docs.select("__d", "n_bytes", F.concat(F.lit('<figure><audio src="media:'), "digest", F.lit('"></audio><figcaption>'), name, F.lit("</figcaption></figure>")).alias("html"))
-    found = resolve(interleave(html, ["__d", "n_bytes"]), media)
+    html = F.concat(F.lit("<h1>"), name, F.lit('</h1><figure><audio src="media:'), "digest", F.lit('"></audio><figcaption>'), name, F.lit("</figcaption></figure>"))
+    parts = exploded(interleave(docs.select("__d", "n_bytes", html.alias("html")), ["__d", "n_bytes"])).filter("kind = 'audio'")
+    found = resolve(parts, read_back(payloads_of(parts, media)))
     return found.select(id_back("__d").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
