@@ -23,6 +23,9 @@ START, ROLE_END, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 _OPEN, _SHUT = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(r"<\|im_start\|>(.*?)<\|im_sep\|>(.*?)<\|im_end\|>\n", re.S)
 
+#: Most tokens that a placeholder stands for; sizes beyond it are taken for broken.
+MOST_TOKENS = 1 << 30
+
 _ATTACHMENT = pa.struct([("kind", pa.string()), ("reference", pa.string()), ("place", pa.int32()), ("tokens", pa.int32())])
 _ATTACHMENT_DDL = "array<struct<kind:string,reference:string,place:int,tokens:int>>"
 
@@ -40,7 +43,9 @@ class Flatten:
     """Visits the parts of one turn; ``text``, ``attachments`` and ``tokens`` (of the placeholders, expanded) result.
 
     ``patch``: pixels a side of an image token. ``audio_rate``: audio tokens a second. ``page_tokens``: tokens a document
-    page. An unknown part type, or a part without a reference, is an error rather than dropped.
+    page. A size that is missing, no number or not above 0 counts as none: the placeholder then stands for one token. A part
+    that can't be shown (no object, an unknown type, an attachment without a reference) is recorded among the attachments,
+    as kind ``error`` with the reason as reference, no tokens and no placeholder; the other parts stay.
     """
 
     def __init__(self, patch: int = 28, audio_rate: float = 12.5, page_tokens: int = 256):
@@ -49,33 +54,65 @@ class Flatten:
         self.attachments: list[dict] = []
         self.length = 0
 
-    def visit(self, part: dict) -> None:
+    def visit(self, part) -> None:
+        if not isinstance(part, dict):
+            return self.error("part is no object")
         kind = part.get("type", "text")
-        method = getattr(self, f"visit_{kind}", None)
+        method = {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}.get(kind if isinstance(kind, str) else None)
         if method is None:
-            raise ValueError(f"unknown part type: {kind}")
+            return self.error(f"unknown part type: {kind}")
         method(part)
 
     def say(self, text: str) -> None:
         self.out.append(text)
         self.length += len(text)
 
+    def error(self, reason: str) -> None:
+        self.attachments.append({"kind": "error", "reference": reason, "place": self.length, "tokens": 0})
+
+    @staticmethod
+    def size(part: dict, name: str) -> float:
+        found = part.get(name)
+        return found if isinstance(found, (int, float)) and not isinstance(found, bool) and math.isfinite(found) and found > 0 else 0
+
     def visit_text(self, part: dict) -> None:
-        self.say(escape(part.get("text") or ""))
+        said = part.get("text")
+        if isinstance(said, str):
+            self.say(escape(said))
+        elif said is not None:
+            self.error("text is no string")
 
     def visit_image(self, part: dict) -> None:
-        self.attach("image", part, math.ceil(part.get("width", 0) / self.patch) * math.ceil(part.get("height", 0) / self.patch))
+        self.attach("image", part, math.ceil(self.size(part, "width") / self.patch) * math.ceil(self.size(part, "height") / self.patch))
 
     def visit_audio(self, part: dict) -> None:
-        self.attach("audio", part, math.ceil(part.get("seconds", 0) * self.audio_rate))
+        self.attach("audio", part, math.ceil(self.size(part, "seconds") * self.audio_rate))
 
     def visit_document(self, part: dict) -> None:
-        self.attach("document", part, int(part.get("pages", 0)) * self.page_tokens)
+        self.attach("document", part, math.ceil(self.size(part, "pages")) * self.page_tokens)
 
     def attach(self, kind: str, part: dict, tokens: int) -> None:
-        self.attachments.append({"kind": kind, "reference": part["reference"], "place": self.length, "tokens": max(1, tokens)})
+        if not isinstance(part.get("reference"), str):
+            return self.error(f"{kind} without a reference")
+        self.attachments.append({"kind": kind, "reference": part["reference"], "place": self.length, "tokens": min(max(1, tokens), MOST_TOKENS)})
         self.say(f"<|{kind}|>")
 
+    def visit_content(self, content: str | None) -> None:
+        """A JSON array of parts, or a JSON string; anything else is one text as it stands, with an error beside it."""
+        if not content:
+            return
+        try:
+            parts = json.loads(content)
+        except (ValueError, RecursionError):
+            parts = None
+        if isinstance(parts, str):
+            parts = [{"text": parts}]
+        if not isinstance(parts, list):
+            self.error("content is no array of parts")
+            parts = [{"text": content}]
+        for part in parts:
+            self.visit(part)
+
     @property
     def text(self) -> str:
         return "".join(self.out)
@@ -87,8 +124,10 @@ def _flat(typed: bool):
             texts, attachments = [], []
             for content in batch.column(3).to_pylist():
                 visitor = Flatten()
-                for part in json.loads(content or "[]") if typed else [{"type": "text", "text": content}]:
-                    visitor.visit(part)
+                if typed:
+                    visitor.visit_content(content)
+                else:
+                    visitor.say(escape(content or ""))
                 texts.append(visitor.text)
                 attachments.append(visitor.attachments)
             yield pa.record_batch([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(attachments, pa.list_(_ATTACHMENT))], ["conv_id", "turn", "role", "body", "attachments"])
@@ -126,7 +165,8 @@ def format_chats(turns: DataFrame, content: str = "text", typed: bool = False) -
 
     Null text: empty. Null role: the empty role. Turns are ordered by (turn, role, body), null turns first; a repeated row is
     a turn of its own. Rows with null conv_id are one conversation. Extra columns are not read. An empty table gives no
-    rows. Turns are rendered where they lie and each conversation is then put together as one row, so a
+    rows. With ``typed``, content that is no array of parts, and parts that can't be shown, are recorded as errors among the
+    attachments (see :class:`Flatten`) and the turn stays. conv_id must be a number or a string of digits. Turns are rendered where they lie and each conversation is then put together as one row, so a
     conversation has to fit in a task, as its text does in a row; others in that task are processed one after another.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.col(content).alias("content"))
