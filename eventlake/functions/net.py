@@ -46,8 +46,9 @@ def ip(value: Column, v6: bool = True) -> Column:
 
 
 def port(value: Column) -> Column:
-    """A whole number from 0 to 65535, else null."""
-    return F.when(value.between(0, 65535), value.cast("int"))
+    """A whole number from 0 to 65535, else null. Text is no number, whatever it says: it goes through ``int`` first."""
+    whole = F.typeof(value).isin("tinyint", "smallint", "int", "bigint")
+    return F.when(whole & value.try_cast("long").between(0, 65535), value.try_cast("int"))
 
 
 def mac(value: Column) -> Column:

@@ -23,11 +23,21 @@ def to_int(value: Column) -> Column:
 
 
 def lookup(value: Column, table: dict, default=None) -> Column:
-    """A value of a small literal table, by the text of the key."""
-    out = F.lit(default)
-    for key, found in reversed(list(table.items())):
-        out = F.when(value.cast("string") == F.lit(str(key)), F.lit(found)).otherwise(out)
-    return F.when(value.isNotNull(), out)
+    """A value of a small literal table, by the text of the key; the table is one literal of the plan."""
+    if not table:
+        return F.when(value.isNotNull(), F.lit(default))
+    found = F.expr(f"map({', '.join(text.literal(x) for k, v in table.items() for x in (str(k), v))})")[value.cast("string")]
+    return found if default is None else F.when(value.isNotNull(), F.coalesce(found, F.lit(default)))
+
+
+def choose(branches: list[tuple[Column, Column]], default: Column | None = None) -> Column:
+    """One flat ``CASE``; branches inside branches would be code inside code."""
+    out = None
+    for test, value in branches:
+        out = F.when(test, value) if out is None else out.when(test, value)
+    if out is None:
+        return F.lit(None) if default is None else default
+    return out if default is None else out.otherwise(default)
 
 
 def piece(value: Column, sep: str, index: int) -> Column:

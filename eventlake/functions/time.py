@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zoneinfo
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,8 +53,8 @@ _PARTS = {"Y": r"(\d{4})", "y": r"(\d{2})", "m": r"(\d{1,2})", "d": r"(\d{1,2})"
 def strptime(text: Column, fmt: str, zone: str | Column = "UTC") -> Column:
     """Milliseconds of ``text`` in a strptime format of %Y %y %m %d %H %M %S %b; runs of blanks match any white space.
 
-    The time is of ``zone``, a name, an offset or a column of either; null where the zone is not one that Spark knows
-    by shape (``Area/City``, UTC, Z, GMT or an offset).
+    The time is of ``zone``, a name, an offset or a column of either; null where the zone is none (``Area/City`` of the
+    time zone database, UTC, Z, GMT or an offset).
     """
     pattern, order, at = "", [], 0
     while at < len(fmt):
@@ -80,7 +81,9 @@ def strptime(text: Column, fmt: str, zone: str | Column = "UTC") -> Column:
     found = made
     if not (isinstance(zone, str) and zone == "UTC"):
         zone = F.lit(zone) if isinstance(zone, str) else zone
-        named = zone.rlike(r"^(?:UTC|GMT|Z|[+-]\d{2}:?\d{2}|[A-Z][A-Za-z_]+/[A-Za-z_/+-]+)$")
+        # One text of all names, as a list of some hundred literals would make every plan large.
+        places = " ".join(["", *sorted(z for z in zoneinfo.available_timezones() if re.fullmatch(r"[A-Z][A-Za-z_]+/[A-Za-z_/+-]+", z)), ""])
+        named = zone.rlike(r"^(?:UTC|GMT|Z|[+-](?:0\d|1[0-7]):?[0-5]\d)$") | (zone.contains("/") & F.lit(places).contains(F.concat(F.lit(" "), zone, F.lit(" "))))
         found = F.when(named, F.to_utc_timestamp(made, F.when(named, F.regexp_replace(zone, r"^([+-]\d{2})(\d{2})$", "$1:$2")).otherwise("UTC")))
     return F.when(text.rlike(pattern) & (second < 60), F.unix_millis(found))
 

@@ -2,7 +2,7 @@
 
 Each returns ``map<string, string>``, or null where the line is not of the format. Repeated names get a suffix (``k``,
 ``k_2``, ``k_3``). Everything is extracted; what becomes of the fields is decided by the mapping. Lines longer than 64 Ki
-characters are cut first. Only nested documents (JSON flattening, XML) leave the JVM, in Arrow batches.
+characters are cut first; JSON and XML of that length are null, since a part of a document is none. Only nested documents (JSON flattening, XML) leave the JVM, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -17,42 +17,59 @@ from pyspark.sql import types as T
 
 from ..functions.text import java_pattern
 
+#: Characters of a line that are read; JSON and XML documents are of no use cut, so longer ones are not of their format.
 LONGEST = 1 << 16
 _MAP = "map<string,string>"
 _MAP_TYPE = T.MapType(T.StringType(), T.StringType())
 
 
+def cut(line: Column) -> Column:
+    return F.substring(line, 1, LONGEST)
+
+
 def to_map(names: Column, values: Column) -> Column:
     """Parallel arrays as a map; a name that occurs again is numbered from 2 on, and null values are left out."""
-    numbered = F.transform(
-        names,
-        lambda n, i: F.when(F.size(F.filter(F.slice(names, F.lit(1), i), lambda x: x == n)) == 0, n).otherwise(F.concat(n, F.lit("_"), (F.size(F.filter(F.slice(names, F.lit(1), i), lambda x: x == n)) + 1).cast("string"))),
-    )
-    # Only lines that do repeat a name pay for numbering.
-    keys = F.when(F.size(F.array_distinct(names)) == F.size(names), names).otherwise(numbered)
-    return F.map_filter(F.map_from_arrays(keys, values), lambda k, v: v.isNotNull())
+
+    def number(names: Column) -> Column:
+        before = lambda n, i: F.size(F.filter(F.slice(names, F.lit(1), i), lambda x: x == n))
+        return F.transform(names, lambda n, i: F.when(before(n, i) == 0, n).otherwise(F.concat(n, F.lit("_"), (before(n, i) + 1).cast("string"))))
+
+    def mapped(pair: Column) -> Column:
+        # Only lines that do repeat a name pay for numbering.
+        keys = F.when(F.size(F.array_distinct(pair["n"])) == F.size(pair["n"]), pair["n"]).otherwise(number(pair["n"]))
+        return F.map_from_arrays(keys, pair["v"])
+
+    return F.map_filter(bound(F.struct(names.alias("n"), values.alias("v")), mapped), lambda k, v: v.isNotNull())
+
+
+def bound(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once, however often ``then`` names it: an array of one binds it."""
+    return F.transform(F.array(value), then)[0]
 
 
 def kv(line: Column) -> Column:
     """``key=value`` pairs separated by spaces; a value in double quotes may hold spaces and escaped quotes."""
-    line = F.substring(line, 1, LONGEST)
-    pattern = r'[^\s="]+=(?:"(?:[^"\\]|\\.)*"?|[^ ]*)'
+    pattern = r'[^\s="]++=(?:"(?:[^"\\]|\\.)*+"?+|[^ ]*+)'
+
+    def value(raw: Column) -> Column:
+        # Only values with a backslash pay for undoing it.
+        plain = F.substring(raw, 2, F.length(raw) - F.when((F.length(raw) > 1) & raw.endswith('"'), 2).otherwise(1))
+        escaped = F.regexp_replace(F.regexp_replace(raw, r'^"|(?<!\\)"$', ""), r"\\(.)", "$1")
+        return F.when(~raw.startswith('"'), raw).when(raw.contains("\\"), escaped).otherwise(plain)
 
     def mapped(pairs: Column) -> Column:
         names = F.transform(pairs, lambda p: F.substring_index(p, "=", 1))
-        raw = F.transform(pairs, lambda p: F.substring(p, F.instr(p, "=") + 1, F.length(p)))
-        values = F.transform(raw, lambda v: F.when(v.startswith('"'), F.regexp_replace(F.regexp_replace(v, r'^"|(?<!\\)"$', ""), r"\\(.)", "$1")).otherwise(v))
-        return F.when(F.size(pairs) > 0, to_map(names, values))
+        raw = F.transform(pairs, lambda p: F.substring(p, F.instr(p, "=") + 1, F.lit(LONGEST)))
+        return F.when(F.size(pairs) > 0, to_map(names, F.transform(raw, value)))
 
-    # An array of one binds the pairs to a name, so that the line is searched once however often they are used.
-    return F.transform(F.array(F.regexp_extract_all(line, F.lit(pattern), F.lit(0))), mapped)[0]
+    return bound(F.regexp_extract_all(cut(line), F.lit(pattern), F.lit(0)), mapped)
 
 
 def regex(line: Column, pattern: str, anchored: bool = True) -> Column:
     """The named groups of a Python pattern. A group that took no part, or is empty, is absent."""
     java, names = java_pattern(pattern)
     java = java if not anchored or java.startswith("(?d)^") else java.replace("(?d)", "(?d)^", 1)
-    line = F.substring(line, 1, LONGEST)
+    line = cut(line)
     found = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.nullif(F.regexp_extract(line, java, i), F.lit("")) for i in names.values()]))
     return F.when(line.rlike(java), F.map_filter(found, lambda k, v: v.isNotNull()))
 
@@ -85,6 +102,7 @@ def csv(line: Column, columns: list[str], sep: str = ",", branch: dict | None =
     ``branch``: ``{"field": f, "cases": {value: {"columns": [...], "branch": ...}}, "default": ...}`` goes on with other
     columns by the value of a cell, whatever its case.
     """
+    line = cut(line)
     layouts = list(_layouts(columns, branch, []))
     width = max(len(c) for c, _ in layouts) + 32
     cells = F.from_csv(line, ", ".join(f"c{i} string" for i in range(width)), {"sep": sep, "mode": "PERMISSIVE"})
@@ -107,6 +125,7 @@ LEEF_HEADER = ("leef.version", "leef.vendor", "leef.product", "leef.product_vers
 
 def cef(line: Column) -> Column:
     """ArcSight's common event format: seven header fields divided by bars, then ``key=value`` with spaces in values."""
+    line = cut(line)
     cell = r"((?:[^|\\]|\\.)*)"
     pattern = r"(?s)CEF:(\d+)" + (r"\|" + cell) * 6 + r"\|(.*)$"
     head = [F.regexp_replace(F.regexp_extract(line, pattern, i + 1), r"\\(.)", "$1") for i in range(7)]
@@ -118,6 +137,7 @@ def cef(line: Column) -> Column:
 
 def leef(line: Column) -> Column:
     """IBM's format: version 1 has tabs between pairs, version 2 names its separator, as a character or in hex."""
+    line = cut(line)
     one, two = r"(?s)LEEF:(1[^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$", r"(?s)LEEF:(2[^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$"
     second = line.rlike(two)
     head = F.array(*[F.when(second, F.regexp_extract(line, two, i)).otherwise(F.regexp_extract(line, one, i)) for i in range(1, 6)])
@@ -133,6 +153,7 @@ def leef(line: Column) -> Column:
 
 def tsv(line: Column, fields: Column | list[str], unset: str = "-", empty: str = "(empty)") -> Column:
     """Tab-separated cells named by ``fields``; unset and empty cells are absent, further cells are ``_extra``."""
+    line = cut(line)
     names = F.array(*[F.lit(f) for f in fields]) if isinstance(fields, list) else fields
     cells = F.split(line, "\t", -1)
     n = F.size(names)
@@ -168,7 +189,7 @@ def _json_map(lines: pd.Series) -> pd.Series:
 
 def json_fields(line: Column) -> Column:
     """The leaves of a JSON object by dotted path; lists stay as JSON text and empty objects vanish."""
-    return _json_map(F.when(F.ltrim(line).startswith("{"), F.substring(line, 1, LONGEST)))
+    return _json_map(F.when(F.ltrim(line).startswith("{") & (F.length(line) <= LONGEST), line))
 
 
 @F.pandas_udf(_MAP_TYPE)
@@ -206,7 +227,7 @@ def _xml_map(lines: pd.Series) -> pd.Series:
 
 def xml(line: Column) -> Column:
     """Leaf elements and attributes by path below the root. Documents with a DOCTYPE or entities are refused unread."""
-    return _xml_map(F.when(F.ltrim(line).startswith("<"), F.substring(line, 1, LONGEST)))
+    return _xml_map(F.when(F.ltrim(line).startswith("<") & (F.length(line) <= LONGEST), line))
 
 
 _RFC5424 = r"(?s)^<(\d{1,3})>1 (\S+) (\S+) (\S+) (\S+) (\S+) (-|(?:\[(?:[^\]\\]|\\.)*\])+) ?(.*)$"

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import bucket, millis
+from .stats import medians, nearest_rank
 
+# Features and the least scale of each, in their order.
 FEATURES = ("conn_count", "uniq_dst_ip", "uniq_dst_port", "deny_ratio", "bytes_out_sum", "auth_fail_count", "uniq_sources")
-#: Least scale of each feature, in its order; ratios are not taken on a logarithmic scale.
 FLOORS = (0.5, 0.5, 0.5, 0.15, 0.75, 0.5, 0.5)
+#: Features that are not taken on a logarithmic scale.
 RATIOS = frozenset(["deny_ratio"])
 
 
@@ -54,11 +56,12 @@ def vector(df: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
 def robust_z(df: DataFrame, columns: list[str], floors: list[float]) -> DataFrame:
     """``z_<column>``: distance from the median over 1.4826 times the median deviation (or the floor, if larger).
 
-    Medians are one row for the whole table, joined to each row; they are exact, from counts of distinct values.
+    Medians are exact and one row for the whole table, joined to each row (see :func:`.stats.medians`).
     """
-    med = df.agg(*[F.median(c).alias(f"__m_{c}") for c in columns])
-    away = df.crossJoin(F.broadcast(med)).agg(*[F.median(F.abs(F.col(c) - F.col(f"__m_{c}"))).alias(f"__d_{c}") for c in columns])
-    both = med.crossJoin(away)  # one row each
+    wide = lambda rows, mark: rows.agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(f"__{mark}_{c}") for c in columns])
+    med = wide(medians(df, columns), "m")
+    away = df.crossJoin(F.broadcast(med)).select(*[F.abs(F.col(c) - F.col(f"__m_{c}")).alias(c) for c in columns])
+    both = med.crossJoin(wide(medians(away, columns), "d"))  # one row each
     joined = df.crossJoin(F.broadcast(both))
     scaled = [((F.col(c) - F.col(f"__m_{c}")) / F.greatest(F.col(f"__d_{c}") * 1.4826, F.lit(float(fl)))).alias(f"z_{c}") for c, fl in zip(columns, floors, strict=True)]
     return joined.select(*df.columns, *scaled)
@@ -144,8 +147,6 @@ def flag(df: DataFrame, threshold: float, z_columns: list[str]) -> DataFrame:
 
 def order_statistic(df: DataFrame, column: str, share: float) -> float:
     """The value at index ``int(n * share)`` of the sorted column; counted by distinct value, not gathered."""
-    from .stats import nearest_rank
-
     return nearest_rank(df, column, [share]).first()[0]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,32 +10,62 @@ from ..functions import net, time
 from ..functions.text import mask
 
 
-def templates(lines: DataFrame, text: str, key: str, samples: int = 5) -> DataFrame:
-    """Lines by template: id (a hash of it), lines, share of all, and the first ``samples`` lines by ``key``."""
-    masked = lines.filter(F.col(text).isNotNull()).select(F.col(text).alias("line"), F.col(key).alias("key"), mask(F.col(text)).alias("template"))
-    ranked = masked.withColumn("__n", F.row_number().over(Window.partitionBy("template").orderBy("key")))
-    counts = masked.groupBy("template").agg(F.count("*").alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
-    shown = ranked.filter(F.col("__n") <= samples).groupBy("template").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "line"))), lambda x: x["line"]).alias("samples"))
+def templates(lines: DataFrame, text: str, key: str, samples: int = 5, peer: str | None = None) -> DataFrame:
+    """Lines by template: id (a hash of it), lines, share of all, and the first ``samples`` lines by ``key``, if any are wanted.
+
+    With ``peer``, also how many different senders a template has. Lines are masked once and counted with partial sums; to
+    show samples, the smallest keys of each template are found first, so no template's lines are sorted or gathered.
+    """
+    masked = lines.filter(F.col(text).isNotNull()).select(F.col(text).alias("line"), F.col(key).alias("key"), mask(F.col(text)).alias("template"), *([F.col(peer).alias("peer")] if peer else []))
+    more = [F.count_distinct("peer").alias("peers")] if peer else []
+    counts = masked.groupBy("template").agg(F.count("*").alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"), *more)
     total = masked.agg(F.count("*").alias("__all"))
-    share = (F.col("n") / F.col("__all")).alias("share")
-    return counts.join(shown, "template").crossJoin(F.broadcast(total)).select(F.substring(F.sha2("template", 256), 1, 16).alias("template_id"), "template", "n", share, "first_key", "last_key", "samples")
+    out = counts.crossJoin(F.broadcast(total)).select(F.substring(F.sha2("template", 256), 1, 16).alias("template_id"), "template", "n", (F.col("n") / F.col("__all")).alias("share"), "first_key", "last_key", *(["peers"] if peer else []))
+    if not samples:
+        return out
+    # Rows of a template in one task are ranked there first, so at most ``samples`` of them leave it.
+    ranked = masked.withColumn("__n", F.row_number().over(Window.partitionBy("template").orderBy("key", "line"))).filter(F.col("__n") <= samples)
+    shown = ranked.groupBy("template").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "line"))), lambda x: x["line"]).alias("samples"))
+    return out.join(shown, "template").select("template_id", "template", *[c for c in out.columns if c not in ("template_id", "template")], "samples")
+
 
+def merged_templates(counts: DataFrame, similarity: float = 0.5, most: int = 20_000) -> DataFrame:
+    """Masked templates joined to wider ones: (template, n, parts), words that differ within a group being ``<*>``.
 
-def merged_templates(counts: DataFrame, similarity: float = 0.5) -> DataFrame:
-    """Masked templates joined to wider ones: words that differ within a group become ``<*>``.
+    Templates of one number of words meet, commonest first (then by text): each joins the wide template that it agrees
+    with most, in at least ``similarity`` of its words, or starts one of its own; ties go to the older one.
 
-    Groups share their number of words and the words at their ends and first positions that hold no mask; a position whose words differ
-    inside a group is variable. Groups are aggregated by position, never gathered as lists of lines.
+    This order is what the result depends on, so it is fixed. Only templates are compared, never lines, and only those
+    with the same number of words and the same first word that holds no mark: such a group is one task, with at most
+    ``most`` templates; the rarer templates of a larger group stay as they are.
     """
     words = F.split("template", " ")
-    rows = counts.select("template", "n", words.alias("w"), F.size(words).alias("len"))
-    head = F.when(F.element_at("w", 1).contains("<"), "<*>").otherwise(F.element_at("w", 1))
-    rows = rows.withColumn("g", F.concat_ws("\x01", F.col("len").cast("string"), head))
-    at = rows.select("g", "n", "len", F.posexplode("w").alias("i", "word"))
-    same = at.groupBy("g", "i").agg(F.min("word").alias("a"), F.max("word").alias("b"), F.first("len").alias("len"))
-    merged = same.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("i", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("<*>").alias("w")))).alias("ws"), F.avg((F.col("a") == F.col("b")).cast("int")).alias("kept"))
-    wide = merged.filter(F.col("kept") >= similarity).select("g", F.concat_ws(" ", F.transform("ws", lambda x: x["w"])).alias("wide"))
-    return rows.join(wide, "g", "left").groupBy(F.coalesce("wide", "template").alias("template")).agg(F.sum("n").alias("n"), F.count("*").alias("parts"))
+    fixed = F.coalesce(F.try_element_at(F.filter(words, lambda w: ~w.contains("<")), F.lit(1)), F.lit(""))
+    rows = counts.groupBy("template").agg(F.sum("n").alias("n")).select("template", "n", F.size(words).alias("len"), fixed.alias("first"))
+    ranked = rows.withColumn("__i", F.row_number().over(Window.partitionBy("len", "first").orderBy(F.col("n").desc(), "template")))
+
+    def merge(batches):
+        wide: dict[tuple, list[list]] = {}
+        for batch in batches:
+            for template, n, size, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine = template.split(" ")
+                best, share = None, 0.0
+                for known in wide.setdefault((size, first), []):
+                    same = sum(a == b for a, b in zip(known[0], mine, strict=True)) / len(mine)
+                    if same > share:
+                        best, share = known, same
+                if best is None or share < similarity:
+                    wide[size, first].append([mine, n, 1])
+                else:
+                    best[0] = [a if a == b else "<*>" for a, b in zip(best[0], mine, strict=True)]
+                    best[1] += n
+                    best[2] += 1
+        found = [x for group in wide.values() for x in group]
+        yield pa.record_batch([pa.array([" ".join(w) for w, _, _ in found], pa.string()), pa.array([n for _, n, _ in found], pa.int64()), pa.array([k for _, _, k in found], pa.int64())], ["template", "n", "parts"])
+
+    near = ranked.filter(F.col("__i") <= most).repartition("len", "first").sortWithinPartitions("len", "first", "__i").select("template", "n", "len", "first")
+    made = near.mapInArrow(merge, "template string, n long, parts long")
+    return made.unionByName(ranked.filter(F.col("__i") > most).select("template", "n", F.lit(1).cast("long").alias("parts")))
 
 
 def field_types(fields: DataFrame, name: str = "name", value: str = "value") -> DataFrame:

@@ -9,37 +9,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.pipes import choose
 from ..functions.text import mask
-from ..schema import GOLD
-from .mapping import PACK, Source, map_events
+from ..schema import GOLD, LONGEST
+from .extract import bound, syslog
+from .mapping import PACK, Source, map_events, once
 
 
 def envelope(lines: DataFrame, text: str, key: str, recv_ms: str) -> DataFrame:
-    """raw_id, recv_ms, line, raw_ref and raw_sha256 for rows of raw text; the hash is of the text's bytes."""
-    return lines.select(
-        F.col(key).cast("string").alias("raw_id"), F.col(recv_ms).cast("long").alias("recv_ms"), F.col(text).alias("line"), F.concat(F.lit("raw/"), F.col(key).cast("string")).alias("raw_ref"), F.sha2(F.col(text), 256).alias("raw_sha256")
-    )
+    """raw_id, recv_ms, line, raw_ref, raw_sha256 and truncated for rows of raw text.
 
-
-def once(df: DataFrame, name: str, column: Column) -> DataFrame:
-    """``df`` with a column that is computed once a row, however often what follows names it.
-
-    Spark would copy the expression into each use; a generator of one row is a boundary that it doesn't move code across.
+    A line of more than ``LONGEST`` bytes is cut, between two characters, and marked; the hash is of the bytes that are kept.
     """
-    return df.select("*", F.explode(F.array(column)).alias(name))
+    long = F.coalesce(F.octet_length(F.col(text)) > LONGEST, F.lit(False))
+    # A character that the cut goes through leaves replacement marks at the end, which go too.
+    head = F.regexp_replace(F.make_valid_utf8(F.substring(F.col(text).cast("binary"), 1, LONGEST).cast("string")), "\ufffd{1,3}$", "")
+    cut = lines.withColumn("__line", F.when(long, head).otherwise(F.col(text)))
+    return cut.select(F.col(key).cast("string").alias("raw_id"), F.col(recv_ms).cast("long").alias("recv_ms"), F.col("__line").alias("line"), F.concat(F.lit("raw/"), F.col(key).cast("string")).alias("raw_ref"), F.sha2("__line", 256).alias("raw_sha256"), long.alias("truncated"))
 
 
 def detect(raw: DataFrame, sources: list[Source]) -> DataFrame:
     """``raw`` with ``fields`` and ``kind`` (source and class, or null): the first source by priority that matches a line
     and extracts it. What no source takes has null fields."""
     ordered = sorted(sources, key=lambda s: (-s.priority, s.id))
-    line, received = F.col("line"), F.col("recv_ms")
-    tried = [F.when(s.matches(line), F.map_concat(s.extract(line, received), F.create_map(F.lit(PACK), F.lit(s.id)))) for s in ordered]
+    line, head = F.col("line"), F.col("__head")
+    framed = any(s.framing == "syslog" for s in sources)
+    raw = once(raw, "__head", syslog(line, F.col("recv_ms")) if framed else F.lit(None))
+
+    def taken(s: Source) -> Column:
+        named = lambda fields: F.map_concat(fields, F.create_map(F.lit(PACK), F.lit(s.id)))
+        found = s.extract(line, head)
+        if s.confirms(line, F.col("x")) is not None:  # fields decide too
+            found = bound(found, lambda x: F.when(s.confirms(line, x), x))
+        return F.when(s.matches(line), named(found))
+
+    tried = [taken(s) for s in ordered]
     out = once(raw, "fields", F.coalesce(*tried) if tried else F.lit(None).cast("map<string,string>"))
-    kind = F.lit(None).cast("string")
-    for s in ordered:
-        kind = F.when(F.col("fields")[PACK] == s.id, F.concat(F.lit(f"{s.id}|"), s.class_of(F.col("fields")))).otherwise(kind)
-    return once(out, "kind", kind)
+    kind = choose([(F.col("fields")[PACK] == s.id, F.concat(F.lit(f"{s.id}|"), s.class_of(F.col("fields")))) for s in ordered])
+    return once(out.drop("__head"), "kind", kind.cast("string"))
 
 
 def unparsed_columns(reason: str = "no_pack") -> dict[str, Column]:
@@ -55,7 +62,7 @@ def unparsed_columns(reason: str = "no_pack") -> dict[str, Column]:
 def normalize(raw: DataFrame, sources: list[Source]) -> DataFrame:
     """Lake rows for every line of an :func:`envelope`, as many rows as lines, in one pass over them."""
     found = detect(raw, sources)
-    known = map_events(found, sources)
+    found, known = map_events(found, sources)
     rest = unparsed_columns()
     made = [F.when(F.col("kind").isNull(), rest[f.name].cast(f.dataType) if f.name in rest else F.lit(None).cast(f.dataType)).otherwise(known[f.name].cast(f.dataType)).alias(f.name) for f in GOLD.fields]
     return found.select(*made)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def first_by_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The first row of each key by ``order``; rows without a key all stay."""
@@ -42,14 +46,52 @@ def outer_registry(seen: DataFrame, registry: DataFrame, on: str, defaults: dict
     return seen.join(registry, on, "full").fillna(defaults)
 
 
+def running(df: DataFrame, by: list[str], order: list[Column], n: Column | None = None) -> DataFrame:
+    """``df`` with ``__before``, the sum of ``n`` (1 if left out) over rows of the same ``by`` that sort before, and ``__all``, over all.
+
+    Rows are range-partitioned by (by, order), each range's total gives the offset of the ranges after it, and a running
+    sum inside the range does the rest: no task holds more than one range, however large a group or the table is. The
+    ranges are fixed by a checkpoint, since a second sampling could cut elsewhere.
+    """
+    n = F.lit(1).cast("long") if n is None else n
+    marked = df.select("*", n.alias("__n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(marked.repartitionByRange(parts, *by, *order).withColumn("__part", F.spark_partition_id()))
+    held = ranged
+    if by:
+        # Only groups at the ends of ranges can lie in several: at most two for each range, so few that they are broadcast.
+        ends = ranged.groupBy("__part").agg(F.min(F.struct(*by)).alias("lo"), F.max(F.struct(*by)).alias("hi"))
+        edges = ends.select("lo.*").unionByName(ends.select("hi.*")).distinct()
+        held = ranged.alias("r").join(F.broadcast(edges).alias("e"), _equal(by, "r", "e"), "left_semi")
+    totals = held.groupBy(*by, "__part").agg(F.sum("__n").alias("__sum"))
+    over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    offsets = totals.select(*by, "__part", F.coalesce(F.sum("__sum").over(over.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"), F.sum("__sum").over(over).alias("__whole"))
+    joined = ranged.alias("r").join(F.broadcast(offsets).alias("o"), _equal([*by, "__part"], "r", "o"), "left").select("r.*", "__offset", "__whole")
+    group = Window.partitionBy("__part", *by)
+    before = F.sum("__n").over(group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    out = joined.withColumns({"__before": F.coalesce("__offset", F.lit(0)) + F.coalesce(before, F.lit(0)), "__all": F.coalesce("__whole", F.sum("__n").over(group))})
+    return out.drop("__n", "__part", "__offset", "__whole")
+
+
+def _equal(columns: list[str], left: str, right: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
+
+
 def stride_sample(df: DataFrame, order: list[Column], most: int) -> DataFrame:
     """``most`` rows at equal distances in ``order`` (row ``i * n // most``), or all if there are fewer."""
-    ranked = df.withColumn("__i", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(F.lit(1))))
+    ranked = running(df, [], order).withColumnsRenamed({"__before": "__i", "__all": "__n"})
     i = F.expr(f"(__i * {int(most)} + __n - 1) div __n")  # the only step that can fall on this row
     kept = ranked.filter((F.col("__n") <= most) | (i < most) & (F.floor(i * F.col("__n") / most) == F.col("__i")))
     return kept.drop("__i", "__n")
 
 
+def zipped(a: DataFrame, b: DataFrame, order: str) -> DataFrame:
+    """Row ``i`` of ``a`` beside row ``i`` of ``b`` (as structs ``a`` and ``b``), each by its column ``order``; the longer one's rest goes with nulls."""
+    left = running(a, [], [F.col(order)]).select(F.col("__before").alias("i"), F.struct(*a.columns).alias("a"))
+    right = running(b, [], [F.col(order)]).select(F.col("__before").alias("i"), F.struct(*b.columns).alias("b"))
+    return left.join(right, "i", "full")
+
+
 def hash_sample(df: DataFrame, key: str, one_in: int) -> DataFrame:
     """The same share of rows on every run: those whose key's hash is divisible by ``one_in``."""
     return df.filter(F.pmod(F.xxhash64(key), F.lit(one_in)) == 0)

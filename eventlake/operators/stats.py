@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import bucket, millis
+from .rows import running
 
 # Steps of a histogram, in milliseconds (1 s to 7 days).
 NICE_STEPS = (1_000, 5_000, 10_000, 30_000, 60_000, 300_000, 600_000, 1_800_000, 3_600_000, 10_800_000, 21_600_000, 43_200_000, 86_400_000, 604_800_000)
@@ -84,6 +85,30 @@ def ledger_totals(deltas: DataFrame, source: str, field: str, n: str, fields: li
     return wide.withColumn("in_flight", F.col(received) - ended).withColumn("conserved", F.col(received) == ended)
 
 
+def prefix_sums(deltas: DataFrame, key: str, n: str, prefix: str) -> DataFrame:
+    """(name, n): the sums of counters that are named ``prefix:name``, such as rows dropped by reason or sent by sink."""
+    parts = F.col(key)
+    mine = deltas.filter(F.split_part(parts, F.lit(":"), F.lit(1)) == prefix).filter(F.instr(parts, ":") > 0)
+    return mine.groupBy(F.substring(parts, F.length(F.lit(prefix)) + 2, F.length(parts)).alias("name")).agg(F.sum(n).alias("n"))
+
+
+def bounded_histogram(df: DataFrame, value: str, bounds: tuple[float, ...], by: list[str]) -> DataFrame:
+    """Rows in each of the buckets that end at ``bounds`` (inclusive) and above the last, with their number and sum."""
+    place = F.lit(len(bounds))
+    for i, b in reversed(list(enumerate(bounds))):
+        place = F.when(F.col(value) <= b, F.lit(i)).otherwise(place)
+    return df.filter(F.col(value).isNotNull()).groupBy(*by).agg(*[F.count_if(place == i).alias(f"b{i}") for i in range(len(bounds) + 1)], F.sum(value).alias("sum"), F.count("*").alias("n"))
+
+
+def throughput(samples: DataFrame, time: str, done: str, by: list[str]) -> DataFrame:
+    """Rate between the first samples at which a tenth and nine tenths of all rows are done; null without such a span."""
+    whole = samples.groupBy(*by).agg(F.max(done).alias("__all"))
+    joined = samples.join(whole, by) if by else samples.crossJoin(F.broadcast(whole))
+    first = lambda share: F.min(F.when(F.col(done) >= F.floor(F.col("__all") * share), F.struct(time, done)))
+    ends = joined.groupBy(*by).agg(first(0.1).alias("a"), first(0.9).alias("b"))
+    return ends.select(*by, F.when(F.col(f"b.{time}") > F.col(f"a.{time}"), (F.col(f"b.{done}") - F.col(f"a.{done}")) / (F.col(f"b.{time}") - F.col(f"a.{time}"))).alias("rate"))
+
+
 def precision_recall(df: DataFrame, truth: Column, found: Column, by: str) -> DataFrame:
     """Precision, recall and F1 of a yes/no finding, for each value of ``by`` and for ALL."""
     base = df.select(F.col(by).cast("string").alias("g"), truth.alias("t"), found.alias("f"))
@@ -92,11 +117,25 @@ def precision_recall(df: DataFrame, truth: Column, found: Column, by: str) -> Da
     return sums.select(F.when(F.col("whole") == 1, "ALL").otherwise(F.col("g")).alias("part"), "tp", "fp", "fn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.try_divide(2 * p * r, p + r), 6).alias("f1"))
 
 
-def nearest_rank(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """The values at index ``int(share * n)`` of the sorted column, for each share.
+def value_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, v, before, upto, all): each distinct value of each column, as a double, and how many rows have less, and at most that.
 
-    Ranks come from a count for each distinct value and running sums over those, not from a sort of all rows in one task.
+    Values are counted with partial sums; the ranks are running sums over ranges of values, so no task sees a whole column.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    upto = counts.select("v", F.sum("n").over(Window.orderBy("v")).alias("upto"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("all"))
-    return upto.agg(*[F.min(F.when(F.col("upto") > F.least(F.floor(F.col("all") * s), F.col("all") - 1), F.col("v"))).alias(f"p{round(s * 100)}") for s in shares])
+    pairs = df.select(F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("name", "v")).filter("v IS NOT NULL")
+    counts = pairs.groupBy("name", "v").agg(F.count("*").alias("n"))
+    return running(counts, ["name"], [F.col("v")], F.col("n")).select("name", "v", F.col("__before").alias("before"), (F.col("__before") + F.col("n")).alias("upto"), F.col("__all").alias("all"))
+
+
+def medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, median): the exact median of each column, the mean of the middle two of an even number."""
+    ranks = value_ranks(df, columns)
+    at = lambda i: F.max(F.when((F.col("before") <= i) & (F.col("upto") > i), F.col("v")))
+    return ranks.groupBy("name").agg(((at(F.expr("(all - 1) div 2")) + at(F.expr("all div 2"))) / 2).alias("median"))
+
+
+def nearest_rank(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """The values at index ``int(share * n)`` of the sorted column, for each share."""
+    index = lambda s: F.least(F.floor(F.col("all") * s), F.col("all") - 1)
+    ranks = value_ranks(df, [column])
+    return ranks.agg(*[F.max(F.when((F.col("before") <= index(s)) & (F.col("upto") > index(s)), F.col("v"))).alias(f"p{round(s * 100)}") for s in shares])

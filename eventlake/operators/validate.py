@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.net import IPV4
-from ..schema import CLASSES, STATUSES
+from ..schema import ACTION_IDS, ACTIVITIES, CATEGORIES, CLASSES, DISPOSITION_IDS, LATEST_MS, SEVERITY_IDS, STATUS_IDS, STATUSES
 
 
 def violations(rules: dict[str, Column]) -> Column:
@@ -28,3 +28,46 @@ def lake_rules() -> dict[str, Column]:
         "coverage_range": ~c("coverage").between(0, 1),
         "finding_without_title": (c("class_uid") == 2004) & c("signature").isNull(),
     }
+
+
+#: Paths of the numbers that a valid event has one of.
+_ENUMS = {"action_id": ACTION_IDS, "disposition_id": DISPOSITION_IDS, "severity_id": SEVERITY_IDS, "status_id": STATUS_IDS}
+
+
+def event_rules(event: Column) -> dict[str, Column]:
+    """What the document of an event must meet, by the path that a violation names.
+
+    Class, category and type must agree, numbers must be of their enumeration, times whole milliseconds, addresses and ports
+    valid; a parsed event has a time, and all but base events an activity, findings a title. An event of an unknown class
+    breaks that rule alone. Numbers are told from text by their JSON, so "80" is no port.
+    """
+    get = lambda p: F.get_json_object(event, f"$.{p}")
+
+    def number(p: str) -> Column:
+        """A JSON number that is whole, else null."""
+        name = p.rpartition(".")[2]
+        quoted = event.rlike(rf'"{name}"\s*:\s*"')
+        return F.when(~quoted, get(p).try_cast("long"))
+
+    cls, activity = number("class_uid"), F.coalesce(number("activity_id"), F.when(get("activity_id").isNull(), F.lit(0)))
+    known = F.coalesce(cls.isin(*CATEGORIES), F.lit(False))
+    category, allowed = F.lit(None).cast("int"), F.lit(False)
+    for c in CATEGORIES:
+        category = F.when(cls == c, F.lit(CATEGORIES[c])).otherwise(category)
+        allowed = F.when(cls == c, F.coalesce(activity.isin(*ACTIVITIES[c]), F.lit(False))).otherwise(allowed)
+    parsed = get("lineage.status") == "parsed"
+    rules = {
+        "category_uid": ~number("category_uid").eqNullSafe(category),
+        "activity_id": ~allowed,
+        "type_uid": allowed & ~number("type_uid").eqNullSafe(cls * 100 + activity),
+        "time": ~F.coalesce(number("time").between(0, LATEST_MS), F.lit(False)),
+        "lineage": get("lineage").isNull(),
+        "lineage.status": ~F.coalesce(get("lineage.status").isin(*STATUSES), F.lit(False)),
+        "finding_info.title": (cls == 2004) & parsed & get("finding_info.title").isNull(),
+        **{p: get(p).isNotNull() & ~F.coalesce(number(p).isin(*ids), F.lit(False)) for p, ids in _ENUMS.items()},
+    }
+    for end in ("src_endpoint", "dst_endpoint"):
+        ip, port = get(f"{end}.ip"), get(f"{end}.port")
+        rules[f"{end}.ip"] = ip.isNotNull() & ~(ip.rlike(IPV4) | ip.contains(":"))
+        rules[f"{end}.port"] = port.isNotNull() & ~F.coalesce(port.try_cast("long").between(0, 65535), F.lit(False))
+    return {"class_uid": ~known, **{p: known & F.coalesce(rule, F.lit(False)) for p, rule in rules.items()}}

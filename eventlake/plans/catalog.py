@@ -6,7 +6,7 @@ unmapped JSON, ``documents.text`` for raw lines. Every query reads whole tables;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import net, text, time
@@ -14,6 +14,7 @@ from ..functions.pipes import OPS, apply, lookup
 from ..operators import extract, features, filters, integrity, mining, normalize, rows, stats
 from ..operators.filters import Term
 from ..operators.mapping import Source
+from ..session import spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -42,6 +43,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- search
 
+#: CRC-32 in SQL: the table of the 256 bytes' remainders, and its use on a list of bytes.
+CRC_TABLE = "(SELECT list(t ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t FROM range(256) r(i)))"
+
+
+def crc32_sql(byte_list: str) -> str:
+    """CRC-32 of a list of bytes, where ``crc`` of :data:`CRC_TABLE` is in scope."""
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {byte_list}), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 NEWEST = "SELECT event_id, event_type, user_id, (epoch_us(ts) // 1000) AS ts_ms FROM events {where} ORDER BY ts DESC, event_id DESC LIMIT 101"
 
 
@@ -260,20 +270,18 @@ def compaction(spark, sf_dir):
     return rows.compact([even, third], "o_orderkey", [F.col("part").asc()])
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def anti_join_new(spark, sf_dir):
-    known = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    known = read(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return rows.not_yet(read(spark, sf_dir, "customer"), known, "c_custkey").select("c_custkey", "c_mktsegment")
 
 
-@query("SELECT o_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem) l JOIN orders ON o_orderkey = l_orderkey WHERE n <= 3 AND o_orderpriority = '1-URGENT'")
+@query("SELECT o_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem) l JOIN orders ON o_orderkey = l_orderkey WHERE n <= 3 AND o_orderpriority = '1-URGENT'")
 def evidence_lookup(spark, sf_dir):
     """The first references of each finding, resolved to their rows."""
     urgent = read(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select("o_orderkey")
     lines = read(spark, sf_dir, "lineitem").join(urgent, F.col("l_orderkey") == F.col("o_orderkey"))
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey"))
+    n = F.row_number().over(Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     return lines.withColumn("n", n).filter("n <= 3").select("o_orderkey", "l_linenumber", "l_quantity")
 
 
@@ -296,9 +304,9 @@ def multiset_difference(spark, sf_dir):
     return rows.multiset_difference(d.select("source", "lang"), d.filter("n_chars > 1000").select("source", "lang"))
 
 
-@query()
+@query(f"SELECT p AS partition, count(*) AS n FROM (SELECT {crc32_sql("list_transform(string_split(user_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} % 16 AS p FROM events, {CRC_TABLE}) GROUP BY 1")
 def hash_partition(spark, sf_dir):
-    """Rows of each of 16 partitions by crc32 of the source, which DuckDB lacks."""
+    """Rows of each of 16 partitions by crc32 of the source."""
     return events(spark, sf_dir).groupBy(rows.partition_of(F.col("user_id").cast("string"), 16).alias("partition")).agg(F.count("*").alias("n"))
 
 
@@ -385,7 +393,8 @@ def event_lines(spark, sf_dir) -> DataFrame:
         F.col("user_id") % 4, F.col("user_id"), F.col("event_id"), kind, ms, F.col("src_ip"), 1024 + F.col("event_id") % 60000, F.col("event_id") % 200, 1 + F.col("event_id") % 1000, F.when(F.col("event_id") % 2 == 0, 6).otherwise(17), action, F.col("event_id") % 90, F.floor(F.col("value")).cast("long"),
     )
     junk = F.concat(F.lit("disk "), F.col("user_id").cast("string"), F.lit(" failed at 10.0.0.1 code 0x1f"))
-    return e.select("event_id", ms.alias("recv_ms"), F.when(F.col("event_type") == "error", junk).otherwise(line).alias("line"))
+    made = e.select("event_id", ms.alias("recv_ms"), F.when(F.col("event_type") == "error", junk).otherwise(line).alias("line"))
+    return spread(made)
 
 
 @query(
@@ -554,12 +563,12 @@ _LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM docum
 
 
 def _text_lines(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("text"))
+    return spread(read(spark, sf_dir, "documents")).filter("text IS NOT NULL").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("text"))
 
 
 @query(f"SELECT substr(sha256(template), 1, 16) AS template_id, n, round(n / sum(n) OVER (), 9) AS share, first_key, last_key FROM (SELECT {_MASKED} AS template, count(*) AS n, min(doc_id) AS first_key, max(doc_id) AS last_key FROM {_LINES} GROUP BY 1)")
 def template_counts(spark, sf_dir):
-    found = mining.templates(_text_lines(spark, sf_dir), "text", "doc_id")
+    found = mining.templates(_text_lines(spark, sf_dir), "text", "doc_id", samples=0)
     return found.select("template_id", "n", F.round("share", 9).alias("share"), "first_key", "last_key")
 
 
@@ -618,7 +627,7 @@ def chain_verify(spark, sf_dir):
     return integrity.verify(stored, integrity.chain(integrity.block_hashes(stored, "user_id")), "user_id", "props")
 
 
-@query("SELECT sha256(text) AS sha, count(*) AS n_in, 0 AS n_out FROM documents WHERE lang = 'de' AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang <> 'de') GROUP BY 1")
+@query("SELECT sha, count(*) AS n_in, count(*) FILTER (WHERE lang IS NULL OR lang <> 'de') AS n_out FROM (SELECT sha256(text) AS sha, lang FROM documents) GROUP BY 1 HAVING count(*) <> count(*) FILTER (WHERE lang IS NULL OR lang <> 'de')")
 def conservation_check(spark, sf_dir):
     """Rows that a faulty sink lost (here: all of one language) show up by hash; equal texts elsewhere don't hide them."""
     d = read(spark, sf_dir, "documents").select("lang", F.sha2("text", 256).alias("sha"))

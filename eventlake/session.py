@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "eventlake", **conf: str) -> SparkSession:
@@ -18,3 +21,26 @@ def session(name: str = "eventlake", **conf: str) -> SparkSession:
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a checkpoint in the shared folder of ``spark.checkpoint.dir``.
+
+    Where that is unset and everything runs on one machine, a temporary folder stands in; on a cluster that is an error.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        found = sc.getConf().get("spark.checkpoint.dir", None)
+        if not found and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(found or os.path.join(tempfile.gettempdir(), "eventlake-checkpoints"))
+    return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to at least as many partitions as there are cores, before costly work on each of its rows.
+
+    A table of many files is in more pieces than that and is returned as it is; only small inputs are shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import uuid7_millis
 from ..operators import filters, rows
-from ..schema import GOLD
-
-#: Bytes of one raw event; the rest is cut and the event marked.
-LONGEST = 64 * 1024
+from ..schema import GOLD, LONGEST
 
 
 def partitioned(gold: DataFrame) -> DataFrame:
@@ -26,6 +23,15 @@ def write(gold: DataFrame, path: str, mode: str = "append") -> None:
     partitioned(gold).hint("rebalance", *parts).write.partitionBy(*parts).option("compression", "zstd").mode(mode).parquet(path)
 
 
+def drop_batch(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Removes the folders of one batch from a lake that a stream writes; names of folders are all that is read."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    found = hadoop.Path(f"{path}/class_uid=*/dt=*/hour=*/batch_id={int(batch_id)}")
+    store = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in store.globStatus(found) or []:
+        store.delete(status.getPath(), True)
+
+
 def scan(spark: SparkSession, path: str, start=None, end=None, class_uid: int | None = None) -> DataFrame:
     """Rows of the lake; bounds of time and the class prune partitions before they filter rows."""
     df = spark.read.parquet(path)
@@ -46,7 +52,8 @@ def event(spark: SparkSession, path: str, event_id: str) -> DataFrame:
 
 def recent_files(spark: SparkSession, path: str, most: int = 200) -> DataFrame:
     """The lake's newest files, by time of change."""
-    files = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("changed")).groupBy("file").agg(F.max("changed").alias("changed"))
+    # Only names and times are asked for, so no file is opened.
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), F.col("modificationTime").alias("changed"))
     return files.orderBy(F.col("changed").desc(), "file").limit(most)
 
 
@@ -77,13 +84,37 @@ def replay(spark: SparkSession, path: str) -> DataFrame:
     """
     file = F.col("_metadata.file_path")
     lines = spark.read.text(path, lineSep="\n").select(F.regexp_replace("value", "\r$", "").alias("line"), file.alias("file"), F.unix_millis(F.col("_metadata.file_modification_time")).alias("recv_ms")).filter("line <> ''")
-    again = F.row_number().over(Window.partitionBy("file", "line").orderBy("recv_ms")).cast("string")
+    # Equal lines are alike, so which of them has which number doesn't matter: running sums, and no task for a hot line.
+    digest = F.sha2(F.concat_ws("\n", "file", "line"), 256)
+    lines = rows.running(lines.withColumn("__line", digest), ["__line"], [F.col("recv_ms")]).drop("__line", "__all")
+    again = (F.col("__before") + 1).cast("string")
     long = F.octet_length("line") > LONGEST
     return lines.select(F.sha2(F.concat_ws("\n", "file", "line", again), 256).alias("raw_id"), "recv_ms", F.when(long, F.substring("line", 1, LONGEST)).otherwise(F.col("line")).alias("line"), long.alias("truncated"), "file")
 
 
+def checked_json(lines: DataFrame, line: str) -> DataFrame:
+    """``lines`` with the parsed ``document`` (a variant) and ``ok``: whether the line is JSON. Bad lines stay, to be counted."""
+    parsed = lines.withColumn("document", F.try_parse_json(line))
+    return parsed.withColumn("ok", F.col("document").isNotNull())
+
+
+def dead_letters(refused: DataFrame, path: str, sink: str, reason: str) -> None:
+    """Appends events that a sink refused as JSON lines, with the sink and why, to be sent again from there."""
+    said = F.struct(F.lit(sink).alias("sink"), F.lit(reason).alias("reason"), F.current_timestamp().alias("at"), "event_id", "event")
+    refused.select(F.to_json(said).alias("value")).write.mode("append").text(path)
+
+
+def without_unparsed(gold: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that some source took, and ledger rows (source_id, field, n) that account for those left out."""
+    dropped = gold.filter("status = 'unparsed'").groupBy("source_id").agg(F.count("*").alias("n"))
+    return gold.filter("status <> 'unparsed'"), dropped.select("source_id", F.lit("dropped:unparsed_dropped").alias("field"), "n")
+
+
 def deframed(chunks: DataFrame, key: str, data: str) -> DataFrame:
-    """Syslog messages of whole connection dumps (key, binary): octet counted or one a line, told by the first bytes."""
+    """Syslog messages of whole connection dumps (key, binary): octet counted or one a line, told by the first bytes.
+
+    Messages of more than ``LONGEST`` bytes are cut and marked as truncated, whichever way they are framed.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -95,9 +126,9 @@ def deframed(chunks: DataFrame, key: str, data: str) -> DataFrame:
                     keys.append(k)
                     numbers.append(i)
                     out.append(message)
-            yield pa.record_batch([pa.array(keys, batch.column(0).type), pa.array(numbers, pa.int32()), pa.array(out, pa.binary())], [key, "n", "data"])
+            yield pa.record_batch([pa.array(keys, batch.column(0).type), pa.array(numbers, pa.int32()), pa.array([m[:LONGEST] for m in out], pa.binary()), pa.array([len(m) > LONGEST for m in out], pa.bool_())], [key, "n", "data", "truncated"])
 
-    return chunks.select(key, F.col(data).cast("binary")).mapInArrow(run, f"`{key}` {chunks.schema[key].dataType.simpleString()}, n int, data binary")
+    return chunks.select(key, F.col(data).cast("binary")).mapInArrow(run, f"`{key}` {chunks.schema[key].dataType.simpleString()}, n int, data binary, truncated boolean")
 
 
 def split_frames(raw: bytes) -> list[bytes]:
@@ -115,7 +146,7 @@ def split_frames(raw: bytes) -> list[bytes]:
         end = raw.find(b"\n", at)
         end = len(raw) if end < 0 else end
         if message := raw[at:end].rstrip(b"\r"):
-            out.append(message[:LONGEST])
+            out.append(message)
         at = end + 1
     return out
 
@@ -132,11 +163,12 @@ def hec_lines(df: DataFrame, sourcetype: str) -> DataFrame:
 
 
 def syslog_lines(df: DataFrame, facility: int = 16) -> DataFrame:
-    """Events as RFC 5424 lines, cut at 60,000 characters."""
+    """Events as RFC 5424 lines, cut at 60,000 bytes, between two characters."""
     priority = F.lit(facility * 8 + 6).cast("string")
     stamp = F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     line = F.concat(F.lit("<"), priority, F.lit(">1 "), stamp, F.lit(" "), F.coalesce("device_host", F.lit("-")), F.lit(" eventlake - - - "), "event")
-    return df.select(F.substring(line, 1, 60_000).alias("value"))
+    head = F.regexp_replace(F.make_valid_utf8(F.substring(line.cast("binary"), 1, 60_000).cast("string")), "\ufffd{1,3}$", "")
+    return df.select(F.when(F.octet_length(line) > 60_000, head).otherwise(line).alias("value"))
 
 
 def to_gold(df: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ ASA_ACTIVITY = {"302013": 1, "302015": 1, "302014": 2, "302016": 2, "106023": 5,
 ASA_ACTIONS = {"302013": 1, "302014": 1, "302015": 1, "302016": 1, "106023": 2, "710003": 2}
 ZEEK_CONN = "ts uid id.orig_h id.orig_p id.resp_h id.resp_p proto service duration orig_bytes resp_bytes conn_state local_orig local_resp missed_bytes history orig_pkts orig_ip_bytes resp_pkts resp_ip_bytes tunnel_parents".split()
 
-_forti_time = {"coalesce": [_of("eventtime", "int", "epoch_ns"), {"from": ["date", "time"], "pipe": [("concat", " "), ("strptime", {"fmt": "%Y-%m-%d %H:%M:%S"})]}]}
+_forti_time = {"coalesce": [_of("eventtime", "int", "epoch_ns"), {"from": ["date", "time"], "pipe": [("concat", " "), ("strptime", {"fmt": "%Y-%m-%d %H:%M:%S", "tz_from": "tz"})]}]}
 _forti_severity = _table("level", FORTI_LEVELS, 0)
 FORTIGATE = Source(
     id="fortinet.fortigate",

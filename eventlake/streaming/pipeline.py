@@ -1,7 +1,8 @@
 """The lake as a stream: files of raw lines in, raw and normalised rows out, each event once.
 
-Raw rows are written before anything is derived from them. A batch writes into folders named after it, replacing what a failed
-attempt left there, and its ledger rows last; a replayed batch therefore loses and repeats nothing.
+Raw rows are written before anything is derived from them. A batch writes into folders named after it (those of the lake lie
+below class, day and hour, so that scans prune them), replacing what a failed attempt left there, and its ledger rows last; a
+replayed batch therefore loses and repeats nothing.
 """
 
 from __future__ import annotations
@@ -31,15 +32,21 @@ def write_batch(sources: list[Source], root: str):
         envelope = normalize.envelope(batch.filter("raw_id IS NOT NULL"), "line", "raw_id", "recv_ms")
         envelope.write.mode("overwrite").parquet(f"{root}/raw/{here}")
         raw = spark.read.parquet(f"{root}/raw/{here}")  # what follows comes from what is stored
-        lake.partitioned(normalize.normalize(raw, sources)).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/lake/{here}")
-        stored = spark.read.parquet(f"{root}/lake/{here}")
+        gold = lake.partitioned(normalize.normalize(raw, sources)).withColumn("batch_id", F.lit(batch_id))
+        # A replayed batch replaces its own folders below each hour; those it wrote before in other hours are removed first.
+        lake.drop_batch(spark, f"{root}/lake", batch_id)
+        gold.write.partitionBy("class_uid", "dt", "hour", "batch_id").mode("append").option("compression", "zstd").parquet(f"{root}/lake")
+        stored = spark.read.parquet(f"{root}/lake").filter(F.col("batch_id") == batch_id)
         counts = raw.select(F.lit("received").alias("field")).unionByName(stored.select(F.col("status").alias("field"))).groupBy("field").agg(F.count("*").alias("n"))
         counts.write.mode("overwrite").parquet(f"{root}/ledger/{here}")
 
     return run
 
 
-def start(stream: DataFrame, sources: list[Source], root: str, once: bool = False) -> StreamingQuery:
+def start(stream: DataFrame, sources: list[Source], root: str, once: bool = False, delay: str | None = None) -> StreamingQuery:
+    """Runs the pipeline. With ``delay``, rows that were delivered before, as far back as that, are left out first."""
+    if delay is not None:
+        stream = once_each(stream.withColumn("__at", F.timestamp_millis("recv_ms")), "raw_id", "__at", delay).drop("__at")
     writer = stream.writeStream.foreachBatch(write_batch(sources, root)).option("checkpointLocation", f"{root}/_checkpoint")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
 
