@@ -11,7 +11,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Space and the five ASCII control characters that end a word or a line key.
@@ -46,6 +46,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a counted table for each of its partitions.
+ROWS_A_PART = 50_000
+
+
+def counted(df: DataFrame, **more: Column) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`cut` of narrow rows, in as many partitions as they need, and their number ``n`` (and aggregates ``more``).
+
+    A stage leaves as many files as it has tasks, so small tables in the partitions of the shuffle before them would cost
+    more in files than in rows. The number is observed while they are written.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    seen = Observation()
+    out = df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in more.items()]).checkpoint(eager=True)
+    found = seen.get
+    return out.coalesce(max(1, -(-found["n"] // ROWS_A_PART))), found
+
+
 def id_key(column: str | Column = "doc_id") -> Column:
     """A doc_id without nulls (see ``NULL_ID``)."""
     column = F.col(column) if isinstance(column, str) else column

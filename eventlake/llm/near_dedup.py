@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, cut, id_back, id_key, mix, packed, ragged, row_hash, shingles, slices, table, window_hashes
+from .common import Words, counted, cut, id_back, id_key, mix, packed, ragged, row_hash, shingles, slices, table, window_hashes
 
 #: At similarity 0.8, two sets miss each other in all tables with probability 2 * (1 - 0.8 ** 3) ** 12, about 4 in 10,000.
 COLLECTION, ROWS = 12, 3
@@ -125,9 +125,9 @@ def texts_of(whole: DataFrame, ids: DataFrame) -> DataFrame:
     Up to ``BROADCAST_MOST`` ids go to the texts. Beyond that number the texts are shuffled, once, and those that are
     found are kept by a checkpoint, so that the joins that follow move no others.
     """
-    ids = cut(ids.distinct())
+    ids, seen = counted(ids.distinct())
     found = whole.select("__d", "text")
-    if ids.limit(BROADCAST_MOST + 1).count() <= BROADCAST_MOST:
+    if seen["n"] <= BROADCAST_MOST:
         return found.join(F.broadcast(ids), "__d", "left_semi")
     return cut(found.join(ids, "__d", "left_semi"))
 
@@ -150,6 +150,14 @@ def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return close.filter(may_link(F.col("__gap"), F.col("__na"), F.col("__nb"), percent)).select(*pairs.columns, "__gap")
 
 
+def looked_up(df: DataFrame, n: int) -> DataFrame:
+    """``df``, of ``n`` narrow rows, as the unique side of joins: broadcast up to ``BROADCAST_MOST`` rows.
+
+    Beyond that it is dealt as a shuffle of its own, so that Spark can split a key that very many rows of the other side have.
+    """
+    return df.hint("broadcast") if n <= BROADCAST_MOST else df.hint("rebalance")
+
+
 def grouped_by(nodes: DataFrame, groups: DataFrame | None, key: str = "__d", out: str = "__c") -> DataFrame:
     """``nodes`` with the group ``out`` of ``key``: its own id where no link has reached it."""
     if groups is None:
@@ -163,8 +171,8 @@ def link(pairs: DataFrame, whole: DataFrame, groups: DataFrame | None, n: int, p
     Of the pairs between two groups, the closest by their sketches is confirmed first. Then only pairs are left whose
     groups are still apart, which are mostly none: so texts move about once for each group, however many pairs join it.
     """
-    pairs = cut(pairs)
-    if pairs.isEmpty():
+    pairs, seen = counted(pairs)
+    if not seen["n"]:
         return groups
     ids = pairs.select(F.col("__a").alias("__d")).unionByName(pairs.select(F.col("__b").alias("__d")))
     texts = texts_of(whole, ids)
@@ -173,25 +181,28 @@ def link(pairs: DataFrame, whole: DataFrame, groups: DataFrame | None, n: int, p
     # While nodes are groups of their own, each takes its closest partner: there are no more pairs than nodes then, and
     # each node has one link at most, to a smaller node.
     alone = groups is None
-    best = cut(pairs.groupBy(*(["__b"] if alone else [low.alias("__low"), high.alias("__high")])).agg(first).select("__p.*"))
-    links = cut(confirmed(best, texts, n, percent))
-    if not links.isEmpty():
+    best, seen = counted(pairs.groupBy(*(["__b"] if alone else [low.alias("__low"), high.alias("__high")])).agg(first).select("__p.*"))
+    tried = looked_up(best.select("__a", "__b"), seen["n"])
+    links, seen = counted(confirmed(best, texts, n, percent))
+    if seen["n"]:
         groups = merged(groups, roots(links) if alone else components(links))
-    rest = pairs.join(best, ["__a", "__b"], "left_anti").select("__a", "__b")
-    rest = cut(grouped_by(grouped_by(rest, groups, "__a", "__ca"), groups, "__b", "__cb").filter("__ca != __cb"))
-    if rest.isEmpty():
+    rest = pairs.join(tried, ["__a", "__b"], "left_anti").select("__a", "__b")
+    rest, seen = counted(grouped_by(grouped_by(rest, groups, "__a", "__ca"), groups, "__b", "__cb").filter("__ca != __cb"))
+    if not seen["n"]:
         return groups
-    links = cut(confirmed(rest, texts, n, percent))
-    return groups if links.isEmpty() else merged(groups, components(links))
+    links, seen = counted(confirmed(rest, texts, n, percent))
+    return merged(groups, components(links)) if seen["n"] else groups
 
 
 def merged(groups: DataFrame | None, joined: DataFrame) -> DataFrame:
     """``groups`` (__d, __c) with whole groups joined as ``joined`` (__d, a group, and __c) says."""
-    joined = cut(joined)
+    joined, seen = counted(joined)
+    joined = looked_up(joined, seen["n"])
     if groups is None:
         return joined
     moved = grouped_by(groups.select("__d", F.col("__c").alias("__g")), joined, "__g", "__c").select("__d", "__c")
-    return cut(moved.unionByName(joined.join(groups.select("__d"), "__d", "left_anti")))
+    both, seen = counted(moved.unionByName(joined.join(groups.select("__d"), "__d", "left_anti")))
+    return looked_up(both, seen["n"])
 
 
 def roots(links: DataFrame) -> DataFrame:
@@ -199,12 +210,12 @@ def roots(links: DataFrame) -> DataFrame:
 
     Every round doubles how far each node points, so a tree is done after log2 of its depth.
     """
-    at = cut(links.select(F.col("__cb").alias("__d"), F.col("__ca").alias("__c")))
-    moving = True
-    while moving:
-        up = at.toDF("__c", "__up").hint("rebalance")
-        step = cut(at.join(up, "__c", "left").select("__d", F.coalesce("__up", "__c").alias("__c"), F.col("__up").isNotNull().alias("__moved")))
-        moving = not step.filter("__moved").isEmpty()
+    at, seen = counted(links.select(F.col("__cb").alias("__d"), F.col("__ca").alias("__c")))
+    seen["moved"] = 1
+    while seen["moved"]:
+        up = looked_up(at.toDF("__c", "__up"), seen["n"])
+        step = at.join(up, "__c", "left").select("__d", F.coalesce("__up", "__c").alias("__c"), F.col("__up").isNotNull().alias("__moved"))
+        step, seen = counted(step, moved=F.count_if("__moved"))
         at = step.select("__d", "__c")
     return at.unionByName(at.select(F.col("__c").alias("__d"), "__c").distinct())
 
@@ -216,26 +227,23 @@ def components(links: DataFrame) -> DataFrame:
     Links, not documents, are what moves. Every round is cut by a checkpoint.
     """
 
-    def state(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("__a", "__b").cast("decimal(38,0)"))).first())
+    mark = F.sum(F.xxhash64("__a", "__b").cast("decimal(38,0)"))
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
+    def star(edges: DataFrame, large: bool, n: int) -> DataFrame:
         low, high = F.least("__a", "__b"), F.greatest("__a", "__b")
         flat = edges.select(high.alias("__u"), low.alias("__v"))
         if large:
             flat = flat.unionByName(edges.select(low.alias("__u"), high.alias("__v")))
-        # Dealt anew, the minima are a shuffle of their own beside the links, so Spark can split a node with very many links.
-        least = flat.groupBy("__u").agg(F.min("__v").alias("__m")).withColumn("__m", F.least("__m", "__u")).hint("rebalance")
+        least = looked_up(flat.groupBy("__u").agg(F.min("__v").alias("__m")).withColumn("__m", F.least("__m", "__u")), 2 * n)
         moved = flat.join(least, "__u")
         if large:
             return moved.filter("__v > __u").select(F.col("__v").alias("__a"), F.col("__m").alias("__b")).distinct()
         return moved.select(F.col("__v").alias("__a"), F.col("__m").alias("__b")).union(least.select("__u", "__m")).filter("__a != __b").distinct()
 
-    edges = cut(links.select(F.greatest("__ca", "__cb").alias("__a"), F.least("__ca", "__cb").alias("__b")).distinct())
-    before = state(edges)
-    while before[0]:
-        edges = cut(star(star(edges, True), False))
-        after = state(edges)
+    edges, before = counted(links.select(F.greatest("__ca", "__cb").alias("__a"), F.least("__ca", "__cb").alias("__b")).distinct(), mark=mark)
+    while before["n"]:
+        once = star(edges, True, before["n"])
+        edges, after = counted(star(once, False, before["n"]), mark=mark)
         if after == before:
             break
         before = after
@@ -283,7 +291,7 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, texts: DataFrame, n: int, pe
     prefix = size - F.ceil(size * percent / 100) + 1 - alone
     bits = [f"__s{k}" for k in range(words)]
     heads = listed.filter(prefix > 0).select("__d", "__c", "__n", *bits, alone.alias("__skip"), F.posexplode(F.slice("__list", F.lit(1), prefix.cast("int"))).alias("__i", "__e"))
-    heads = cut(heads.select(F.col("__e.__t").alias("__t"), "__d", "__c", "__n", (size - F.col("__skip") - F.col("__i")).alias("__left"), *bits))
+    heads, _ = counted(heads.select(F.col("__e.__t").alias("__t"), "__d", "__c", "__n", (size - F.col("__skip") - F.col("__i")).alias("__left"), *bits))
     other = heads.toDF(*["__t" if c == "__t" else f"{c}2" for c in heads.columns])
     enough = (100 + percent) * F.least("__left", "__left2") >= percent * (F.col("__n") + F.col("__n2"))
     apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}2"))) for b in bits), F.lit(0))
@@ -333,18 +341,18 @@ def near_groups(docs: DataFrame, n: int, percent: int, collection: int, rows: in
     # Each row becomes ``collection ** 2``: dealt over all partitions first, as the narrow rows lie in few of them.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = classes.repartition(parts, "__d").select("__d", F.explode(table_keys).alias("__k"))
-    least = cut(keys.groupBy("__k").agg(F.min("__d").alias("__a"), F.count("*").alias("__n")).filter("__n > 1").drop("__n"))
-    shared = cut(keys.join(least, "__k"))
+    least, _ = counted(keys.groupBy("__k").agg(F.min("__d").alias("__a"), F.count("*").alias("__n")).filter("__n > 1").drop("__n"))
+    shared, _ = counted(keys.join(least, "__k"))
     stars = shared.filter("__d != __a").select("__a", F.col("__d").alias("__b")).distinct()
     groups = link(bounded(stars, sets, percent).withColumns({"__ca": F.col("__a"), "__cb": F.col("__b")}), whole, None, n, percent)
     # Stars around another node of each key, dealt by a hash, for what the smallest node of a key does not reach.
-    left = cut(mixed_keys(grouped_by(shared.select("__k", "__d"), groups)))
+    left, _ = counted(mixed_keys(grouped_by(shared.select("__k", "__d"), groups)))
     centre = left.groupBy("__k").agg(F.min(F.struct(F.xxhash64("__d", "__k"), "__d", "__c")).alias("__p")).select("__k", F.col("__p.__d").alias("__a"), F.col("__p.__c").alias("__ca")).hint("rebalance")
     again = left.join(centre, "__k").filter("__c != __ca").select("__a", F.col("__d").alias("__b"), "__ca", F.col("__c").alias("__cb")).distinct()
     groups = link(bounded(again, sets, percent), whole, groups, n, percent)
     # Nodes of one key that are apart still: all links that are left between them.
-    nodes = cut(mixed_keys(grouped_by(left.select("__k", "__d"), groups)).select("__d", "__c").distinct())
-    if not nodes.isEmpty():
+    nodes, seen = counted(mixed_keys(grouped_by(left.select("__k", "__d"), groups)).select("__d", "__c").distinct())
+    if seen["n"]:
         met = prefix_pairs(nodes, sets, texts_of(whole, nodes.select("__d")), n, percent)
         groups = link(bounded(met, sets, percent), whole, groups, n, percent)
     of_class = grouped_by(classes.select("__g1", "__g2", "__d"), groups).drop("__d")
