@@ -18,8 +18,10 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_media_columns": sql.OP1,
     "op3_mixing": sql.OP3,
     "op4_line_dedup": sql.OP4,
     "op6_substring_dedup": sql.OP6,
     "op8_chat_format": sql.OP8,
+    "op10_near_dedup": sql.OP10,
 }

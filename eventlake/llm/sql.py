@@ -1,5 +1,28 @@
 """DuckDB SQL for the operators' queries that SQL can express, over the whole tables."""
 
+from ..plans.catalog import CRC_TABLE, crc32_sql
+
+_LE32 = "printf('%02X%02X%02X%02X', {0} & 255, ({0} >> 8) & 255, ({0} >> 16) & 255, ({0} >> 24) & 255)"
+
+OP1 = rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), padded AS (
+  SELECT doc_id, strlen(t)::BIGINT AS n_bytes, t || repeat(' ', (CASE WHEN strlen(t) = 0 THEN 192 ELSE (192 - strlen(t) % 192) % 192 END)::BIGINT) AS payload FROM texts
+), stored AS (
+  SELECT *, strlen(payload)::BIGINT AS size, hex(encode(payload)) AS digits FROM padded
+), files AS (
+  SELECT *, from_hex('52494646' || {_LE32.format("(size + 36)")} || '57415645666D7420' || '10000000' || '0100' || '0100' || '401F0000' || '401F0000' || '0100' || '0800' || '64617461' || {_LE32.format("size")} || digits) AS media,
+         list_transform(range(size), lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::BIGINT) AS b
+  FROM stored
+)
+SELECT doc_id, n_bytes, size AS payload_bytes, sha256(payload) AS payload_sha256, {crc32_sql("b[-16:]")} AS tail_crc32, (size + 44)::BIGINT AS media_bytes, sha256(media) AS media_sha256,
+       printf('rms=%.4f;mean=%.4f;crossings=%d;peak=%d', sqrt(list_avg(list_transform(b, lambda x: (x - 128) * (x - 128)))), list_avg(list_transform(b, lambda x: x - 128)),
+              list_sum(list_transform(list_zip(b[:-2], b[2:]), lambda x: CASE WHEN (x[1] < 128) <> (x[2] < 128) THEN 1 ELSE 0 END))::BIGINT, list_max(list_transform(b, lambda x: abs(x - 128)))) AS feature,
+       1 AS position, 'document ' || doc_id AS caption
+FROM files, {CRC_TABLE}
+"""
+
 OP3 = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -97,3 +120,26 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sum(chars)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+OP10 = r"""
+WITH RECURSIVE listed AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN [words[1]] ELSE list_transform(list_zip(words[:-2], words[2:]), lambda w: w[1] || ' ' || w[2]) END) AS shingle FROM listed
+), sized AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), tokens AS (
+  SELECT doc_id, n, md5_number(shingle) AS shingle FROM sets JOIN sized USING (doc_id)
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT DISTINCT a AS doc_id, a AS root FROM edges UNION SELECT e.b, r.root FROM reached r JOIN edges e ON e.a = r.doc_id WHERE r.root < e.b
+), least AS (
+  SELECT doc_id, min(root) AS component FROM reached GROUP BY doc_id
+)
+SELECT l.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, l.doc_id) AS component_id, coalesce(component, l.doc_id) = l.doc_id AS kept
+FROM listed l LEFT JOIN sized USING (doc_id) LEFT JOIN least c ON c.doc_id = l.doc_id
+"""
