@@ -3,7 +3,7 @@ import os
 
 import pytest
 
-from eventlake.plans import catalog
+from eventlake.plans import catalog, lake_queries  # noqa: F401 - its queries are among those of the catalogue
 
 from .oracle import database, same
 

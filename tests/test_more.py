@@ -35,12 +35,13 @@ def test_running_numbers_hot_groups(spark, by):
     assert got == {i: (n, len(members)) for members in groups.values() for n, i in enumerate(members)}
 
 
-def test_no_window_over_all_rows(spark):
-    """Plans that once numbered the whole table in one task: no exchange to a single partition is left but for tiny totals."""
-    df = spark.range(5000).withColumn("v", F.col("id") % 700)
-    for made in (rows.stride_sample(df, [F.col("id").asc()], 10), integrity.frames(df, "v", [F.col("id")], "id")):
-        plan = made._jdf.queryExecution().executedPlan().toString()
-        assert "Window [row_number()" not in plan and "SinglePartition" not in plan.split("Scan ExistingRDD")[0].split("BroadcastExchange")[0]
+def test_numbering_is_spread_over_tasks(spark):
+    """Rows of one table, and of one hot group, are numbered in several tasks."""
+    df = spark.range(5000).withColumn("g", F.lit("hot"))
+    for by in ([], ["g"]):
+        made = rows.running(df, by, [F.col("id")])
+        assert made.groupBy(F.spark_partition_id().alias("p")).count().filter("count > 0").count() > 1
+        assert [r["__before"] for r in made.orderBy("id").collect()] == list(range(5000))
 
 
 def test_medians_and_ranks(spark):
