@@ -338,7 +338,7 @@ def incidents(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    """SELECT * FROM (VALUES ('203.0.113.9', 0, 1500, 1, 1500, 0.997340425532, 0, 0), ('203.0.113.77', 60000, 0, 1, 1, 0.0, 0, 600), ('10.1.3.30', 120000, 40, 1, 1, 0.0, 600000000, 0)) t(src, began, conn_count, uniq_dst_ip, uniq_dst_port, deny_ratio, bytes_out_sum, auth_fail_count)"""
+    """SELECT * REPLACE (deny_ratio::DOUBLE AS deny_ratio) FROM (VALUES ('203.0.113.9', 0, 1500, 1, 1500, 0.997340425532, 0, 0), ('203.0.113.77', 60000, 0, 1, 1, 0.0, 0, 600), ('10.1.3.30', 120000, 40, 1, 1, 0.0, 600000000, 0)) t(src, began, conn_count, uniq_dst_ip, uniq_dst_port, deny_ratio, bytes_out_sum, auth_fail_count)"""
 )
 def incident_features(spark, sf_dir):
     """Three kinds of incident as the features of their minute."""
