@@ -443,7 +443,8 @@ def _words(batches):
             for b in blocks:
                 mine = slot[b.node.number] if b.node is not None else 0
                 if not b.dropped:
-                    held[mine] = held.get(mine, 0) + b.chars - min(b.linked, b.chars)
+                    solid = b.chars - b.text.count(" ")  # as the lengths of words are counted
+                    held[mine] = held.get(mine, 0) + solid - min(b.linked, solid)
                 if not ends.isdisjoint(end_tokens(b)):
                     # Words of dropped blocks are of no use: they are left out whether template or not.
                     for t, w in zip(word_tokens(b), b.text.split(" "), strict=True) if not b.dropped else ():

@@ -161,14 +161,16 @@ def test_the_template_decides_without_article_elements(spark):
     """The article lies in a plain element that no word list knows, beside longer texts that all pages share."""
     teaser = "<p>All our readers find here what they want to know about the town, its people and what goes on there, every day of the year.</p>" * 3
 
+    line = lambda w, own: f"{w} {own}a {own}b {own}c tells {own}d, {own}e and {own}f."
+
     def page(i, own):
-        told = "".join(f"<p>{w} of page {i} {own} tells something else again.</p>" for w in ("One", "Two"))
+        told = "".join(f"<p>{line(w, own)}</p>" for w in ("One", "Two"))
         return f'<body><div class="x1"><b>Daily</b>{teaser}</div><div class="x2">{told}<p>Shared by {i} readers on the town page today</p></div><div class="x3"><p>Made in town since 1990</p></div></body>'
 
     pages = [page(i, f"v{i * i}") for i in range(8)]
     got = hosted(spark, pages)
     for i, r in got.items():
-        assert r.text == f"One of page {i} v{i * i} tells something else again.\nTwo of page {i} v{i * i} tells something else again."
+        assert r.text == "\n".join(line(w, f"v{i * i}") for w in ("One", "Two"))
         assert r.n_template == len(f"Shared by {i} readers on the town page today")
     alone = hosted(spark, pages, least_pages=100)  # no template: the largest element, whatever it says
     assert all(r.text != got[i].text and r.n_template == 0 for i, r in alone.items())
