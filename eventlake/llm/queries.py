@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, extraction, line_dedup, media, mixing, near_dedup, quality, sharding, sql, substring_dedup
+from . import byte_pairs, chat, decontamination, extraction, line_dedup, media, mixing, near_dedup, quality, sharding, sql, substring_dedup, vector_codes
 
 QUERIES = {
     "op1_media_columns": media.op1,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_chat_format": chat.op8,
     "op9_sharding": sharding.op9,
     "op10_near_dedup": near_dedup.op10,
+    "op11_byte_bpe": byte_pairs.op11,
+    "op12_vector_codes": vector_codes.op12,
 }
 
 ORACLE_SQL = {
@@ -24,4 +26,5 @@ ORACLE_SQL = {
     "op6_substring_dedup": sql.OP6,
     "op8_chat_format": sql.OP8,
     "op10_near_dedup": sql.OP10,
+    "op12_vector_codes": sql.OP12,
 }

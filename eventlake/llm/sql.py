@@ -143,3 +143,37 @@ WITH RECURSIVE listed AS (
 SELECT l.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, l.doc_id) AS component_id, coalesce(component, l.doc_id) = l.doc_id AS kept
 FROM listed l LEFT JOIN sized USING (doc_id) LEFT JOIN least c ON c.doc_id = l.doc_id
 """
+
+OP12 = """
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v, len(embedding) // 16 AS width
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cells AS (
+  SELECT vec_id, i // width AS part, i % width AS pos, v[i + 1] AS x FROM (SELECT *, unnest(range(len(v))) AS i FROM kept)
+), book0 AS (
+  SELECT part, entry, pos, x FROM cells JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64) USING (vec_id)
+), near0 AS (
+  SELECT vec_id, part, arg_min(entry, (away, entry)) AS entry, min(away) AS away FROM (
+    SELECT v.vec_id, v.part, b.entry, sum((v.x - b.x) * (v.x - b.x)) AS away FROM cells v JOIN book0 b ON v.part = b.part AND v.pos = b.pos GROUP BY 1, 2, 3) GROUP BY 1, 2
+), sums0 AS (
+  SELECT v.part, n.entry, v.pos, sum(v.x)::BIGINT AS s, count(*) AS c FROM cells v JOIN near0 n ON v.vec_id = n.vec_id AND v.part = n.part GROUP BY 1, 2, 3
+), book1 AS (
+  SELECT b.part, b.entry, b.pos, CASE WHEN c IS NULL THEN b.x ELSE (s - ((s % c) + c) % c) // c END AS x FROM book0 b LEFT JOIN sums0 t ON b.part = t.part AND b.entry = t.entry AND b.pos = t.pos
+), near1 AS (
+  SELECT vec_id, part, arg_min(entry, (away, entry)) AS entry, min(away) AS away FROM (
+    SELECT v.vec_id, v.part, b.entry, sum((v.x - b.x) * (v.x - b.x)) AS away FROM cells v JOIN book1 b ON v.part = b.part AND v.pos = b.pos GROUP BY 1, 2, 3) GROUP BY 1, 2
+), sums1 AS (
+  SELECT v.part, n.entry, v.pos, sum(v.x)::BIGINT AS s, count(*) AS c FROM cells v JOIN near1 n ON v.vec_id = n.vec_id AND v.part = n.part GROUP BY 1, 2, 3
+), book2 AS (
+  SELECT b.part, b.entry, b.pos, CASE WHEN c IS NULL THEN b.x ELSE (s - ((s % c) + c) % c) // c END AS x FROM book1 b LEFT JOIN sums1 t ON b.part = t.part AND b.entry = t.entry AND b.pos = t.pos
+), near2 AS (
+  SELECT vec_id, part, arg_min(entry, (away, entry)) AS entry, min(away) AS away FROM (
+    SELECT v.vec_id, v.part, b.entry, sum((v.x - b.x) * (v.x - b.x)) AS away FROM cells v JOIN book2 b ON v.part = b.part AND v.pos = b.pos GROUP BY 1, 2, 3) GROUP BY 1, 2
+), coded AS (
+  SELECT k.vec_id, k.label, string_agg(printf('%02x', n.entry), '' ORDER BY n.part) AS code, sum(n.away)::BIGINT AS error
+  FROM kept k JOIN near2 n ON k.vec_id = n.vec_id GROUP BY 1, 2
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) FROM book2) AS codebooks_sha256
+FROM coded
+"""
