@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_pairs, chat, decontamination, extraction, line_dedup, media, mixing, near_dedup, quality, sharding, sql, substring_dedup, vector_codes
+from . import byte_pairs, chat, decontamination, extraction, line_dedup, media, mixing, near_dedup, periodic_runs, quality, sharding, sql, substring_dedup, vector_codes
 
 QUERIES = {
     "op1_media_columns": media.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_near_dedup": near_dedup.op10,
     "op11_byte_bpe": byte_pairs.op11,
     "op12_vector_codes": vector_codes.op12,
+    "op13_periodic_runs": periodic_runs.op13,
 }
 
 ORACLE_SQL = {
@@ -27,4 +28,5 @@ ORACLE_SQL = {
     "op8_chat_format": sql.OP8,
     "op10_near_dedup": sql.OP10,
     "op12_vector_codes": sql.OP12,
+    "op13_periodic_runs": sql.OP13,
 }

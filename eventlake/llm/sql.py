@@ -177,3 +177,42 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
        (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) FROM book2) AS codebooks_sha256
 FROM coded
 """
+
+OP13 = rf"""
+WITH hashed AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {crc32_sql("list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} AS h
+  FROM documents, {CRC_TABLE}
+), placed AS (
+  SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END AS a FROM hashed
+), listed AS (
+  SELECT doc_id, n, list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END + 1]) AS words FROM placed
+), windows AS (
+  SELECT doc_id, n, pos, md5_number(array_to_string(words[pos + 1:pos + 16], ' ')) AS block
+  FROM (SELECT *, unnest(range(n - 15)) AS pos FROM listed WHERE n >= 24)
+), repeated AS (
+  SELECT doc_id, block FROM windows GROUP BY 1, 2 HAVING count(*) > 1
+), twice AS (
+  SELECT w.* FROM windows w JOIN repeated USING (doc_id, block)
+), pairs AS (
+  SELECT x.doc_id, x.pos, y.pos - x.pos AS q FROM twice x JOIN twice y ON x.doc_id = y.doc_id AND x.block = y.block AND y.pos > x.pos AND 3 * (y.pos - x.pos) <= x.n
+), islands AS (
+  SELECT *, pos - row_number() OVER (PARTITION BY doc_id, q ORDER BY pos) AS island FROM pairs
+), stretches AS (
+  SELECT doc_id, min(pos) AS start, max(pos) + 16 - min(pos) + q AS length, q FROM islands GROUP BY doc_id, q, island
+), runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(24, 3 * q) GROUP BY 1, 2, 3
+), told AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said,
+         first({{'start': start, 'length': length, 'period': period}} ORDER BY length::DOUBLE / period DESC, start, period) AS best
+  FROM runs GROUP BY doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS pos FROM runs
+), words AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(n)) AS pos FROM listed
+), kept AS (
+  SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.pos) AS body FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.pos = g.pos WHERE g.pos IS NULL GROUP BY w.doc_id
+)
+SELECT l.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period,
+       (1000 * best.length // best.period)::BIGINT AS exponent_milli, sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM listed l LEFT JOIN told USING (doc_id) LEFT JOIN kept k ON k.doc_id = l.doc_id
+"""
