@@ -13,6 +13,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -183,10 +184,11 @@ def decode(codes: DataFrame, books: Codebooks, code: str = "code", scale: int =
     """``codes`` with ``decoded``, the vector (entries over ``scale``) that each code stands for."""
     width = 4 if books.size > 256 else 2
 
-    def back(strings):
+    @F.pandas_udf("array<double>")
+    def back(strings: pd.Series) -> pd.Series:
         return strings.map(lambda s: np.concatenate([books.entries[p][int(s[p * width : (p + 1) * width], 16)] for p in range(books.parts)]) / scale, na_action="ignore")
 
-    return codes.withColumn("decoded", F.pandas_udf(back, "array<double>", F.PandasUDFType.SCALAR)(code))
+    return codes.withColumn("decoded", back(code))
 
 
 def compress(vectors: DataFrame, parts: int = 16, entries: int = 64, rounds: int = 2, scale: int = 256, vector: str = "embedding", vec_id: str = "vec_id", label: str = "label") -> DataFrame:
