@@ -23,6 +23,8 @@ START, ROLE_END, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 _OPEN, _SHUT = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(r"<\|im_start\|>(.*?)<\|im_sep\|>(.*?)<\|im_end\|>\n", re.S)
 
+_HALVES = re.compile("[\ud800-\udfff]")
+
 #: Most tokens that a placeholder stands for; sizes beyond it are taken for broken.
 MOST_TOKENS = 1 << 30
 
@@ -39,11 +41,17 @@ def unescape(text: str) -> str:
     return _SHUT.sub(r"<\1|", text)
 
 
+def whole(text: str) -> str:
+    """``text`` with U+FFFD for each half of a surrogate pair, which JSON can name but no UTF-8 text can hold."""
+    return _HALVES.sub("\ufffd", text)
+
+
 class Flatten:
     """Visits the parts of one turn; ``text``, ``attachments`` and ``tokens`` (of the placeholders, expanded) result.
 
     ``patch``: pixels a side of an image token. ``audio_rate``: audio tokens a second. ``page_tokens``: tokens a document
-    page. A size that is missing, no number or not above 0 counts as none: the placeholder then stands for one token. A part
+    page. A size that is missing, no number, infinite or not above 0 counts as none: the placeholder then stands for one token;
+    larger sizes count as ``MOST_TOKENS``. Halves of surrogate pairs in texts and references become U+FFFD. A part
     that can't be shown (no object, an unknown type, an attachment without a reference) is recorded among the attachments,
     as kind ``error`` with the reason as reference, no tokens and no placeholder; the other parts stay.
     """
@@ -64,16 +72,19 @@ class Flatten:
         method(part)
 
     def say(self, text: str) -> None:
+        text = whole(text)
         self.out.append(text)
         self.length += len(text)
 
     def error(self, reason: str) -> None:
-        self.attachments.append({"kind": "error", "reference": reason, "place": self.length, "tokens": 0})
+        self.attachments.append({"kind": "error", "reference": whole(reason), "place": self.length, "tokens": 0})
 
     @staticmethod
     def size(part: dict, name: str) -> float:
         found = part.get(name)
-        return found if isinstance(found, (int, float)) and not isinstance(found, bool) and math.isfinite(found) and found > 0 else 0
+        if not isinstance(found, (int, float)) or isinstance(found, bool) or not 0 < found or found == math.inf:
+            return 0
+        return min(found, MOST_TOKENS)  # before any arithmetic: whole numbers may have any length
 
     def visit_text(self, part: dict) -> None:
         said = part.get("text")
@@ -94,7 +105,7 @@ class Flatten:
     def attach(self, kind: str, part: dict, tokens: int) -> None:
         if not isinstance(part.get("reference"), str):
             return self.error(f"{kind} without a reference")
-        self.attachments.append({"kind": kind, "reference": part["reference"], "place": self.length, "tokens": min(max(1, tokens), MOST_TOKENS)})
+        self.attachments.append({"kind": kind, "reference": whole(part["reference"]), "place": self.length, "tokens": min(max(1, tokens), MOST_TOKENS)})
         self.say(f"<|{kind}|>")
 
     def visit_content(self, content: str | None) -> None:

@@ -157,8 +157,8 @@ def settle(blocks: list[Block], nodes: list[Node]) -> None:
         b.dropped = top is not None and (top.drop or top.in_header and not b.heading)
 
 
-def pieces(page: str):
-    """(text, None, "") and (name, closing, attributes) in page order, in time linear in the page.
+def pieces(page: str, raw: dict[str, re.Pattern] = _RAW_ENDS):
+    """(text, None, "") and (name, closing, attributes) in page order, in time linear in the page; ``raw`` elements are left out.
 
     Comments, declarations and elements without text are left out. A tag without end ends the page, as in browsers; a quote
     without end is read as if it were none. Any other "<" is text.
@@ -193,9 +193,9 @@ def pieces(page: str):
         said = said.lstrip("/")
         attributes = page[name.end() : end - 1]
         begin = at = end
-        if said in _RAW_ENDS:
+        if said in raw:
             if not closing and not attributes.endswith("/"):
-                close = _RAW_ENDS[said].search(page, end)
+                close = raw[said].search(page, end)
                 if close is None:
                     return
                 begin = at = close.end()

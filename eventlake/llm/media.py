@@ -8,9 +8,11 @@ positions throughout. Payloads are stored as WAV files of unsigned 8-bit samples
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
-from html.parser import HTMLParser
+from collections import Counter
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_back, id_key, table
+from .extraction import _ATTRIBUTE, pieces
 
 #: Bytes that a payload is a multiple of, and the sample rate written in the files.
 FRAME, RATE = 192, 8000
@@ -26,72 +29,126 @@ _PART = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.
 _PART_DDL = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
 _BLOCKS = frozenset("address article aside blockquote dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 _MEDIA = frozenset(["img", "audio", "video", "source"])
-_SKIP = frozenset(["script", "style", "template", "noscript"])
+_SKIP = frozenset(["template", "noscript"])
+#: Elements whose end also ends the figures, captions and skipped elements left open inside them.
+_HOLDERS = frozenset("html body main article section aside header footer nav div blockquote form fieldset ul ol li dl dt dd table tr td th figure figcaption template noscript".split())
+_CODE = {name: re.compile(rf"</{name}\s*+>", re.I) for name in ("script", "style")}
 
 
-class _Sequence(HTMLParser):
-    """Collects parts in page order. A caption belongs to the media of its figure; alt text stands in where there is none."""
+def _attributes(said: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name; of one that is repeated, the first."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(said):
+        if m[1]:
+            found.setdefault(m[1].lower(), unescape(next(v for v in (m[2], m[3], m[4]) if v is not None)))
+    return found
+
+
+class _Sequence:
+    """Collects parts in page order. A caption belongs to the media of its own figure; alt text stands in where there is none."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.parts: list[dict] = []
         self.text: list[str] = []
-        self.figure: list[int] = []
-        self.caption: list[str] | None = None
-        self.skip = 0
+        self.holders: list[str] = []
+        self.open: Counter[str] = Counter()
+        #: Open figures, each with its media's positions and its caption; and texts of the captions that are open.
+        self.figures: list[dict] = []
+        self.captions: list[list[str]] = []
+
+    def add(self, kind: str, text: str | None, digest: str | None = None, caption: str | None = None) -> None:
+        self.parts.append({"position": len(self.parts), "kind": kind, "text": text, "digest": digest, "caption": caption})
 
     def flush(self) -> None:
-        if said := " ".join("".join(self.text).split()):
-            self.parts.append({"position": len(self.parts), "kind": "text", "text": said, "digest": None, "caption": None})
-        self.text = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in _SKIP:
-            self.skip += 1
-        elif tag == "figcaption":
-            self.flush()
-            self.caption = []
-        elif tag in _BLOCKS:
+        if self.captions:
+            self.captions[-1].append(" ")
+        elif said := " ".join("".join(self.text).split()):
+            self.add("text", said)
+        if not self.captions:
+            self.text = []
+
+    def start(self, tag: str, attributes: str) -> None:
+        if tag in _BLOCKS:
             self.flush()
+        if tag in _HOLDERS:
+            self.holders.append(tag)
+            self.open[tag] += 1
             if tag == "figure":
-                self.figure = []
-        elif tag in _MEDIA and (src := dict(attrs).get("src")):
+                self.figures.append({"media": [], "caption": None})
+            elif tag == "figcaption" and self.figures:
+                self.captions.append([])
+            elif tag == "figcaption":
+                self.holders[-1] = "caption"  # of no figure: a block like others
+                self.open["caption"] += 1
+                self.open[tag] -= 1
+        elif tag in _MEDIA and not self.skips and (src := (said := _attributes(attributes)).get("src")):
+            if not self.captions:
+                self.flush()
+            if self.figures:
+                self.figures[-1]["media"].append(len(self.parts))
+            self.add({"img": "image"}.get(tag, tag), None, src.removeprefix("media:"), said.get("alt"))
+
+    def end(self, tag: str) -> None:
+        if tag == "figcaption" and not self.open[tag]:
+            tag = "caption"
+        if tag in _BLOCKS:
             self.flush()
-            self.figure.append(len(self.parts))
-            kind = {"img": "image"}.get(tag, tag)
-            self.parts.append({"position": len(self.parts), "kind": kind, "text": None, "digest": src.removeprefix("media:"), "caption": dict(attrs).get("alt")})
-
-    def handle_endtag(self, tag):
-        if tag in _SKIP:
-            self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            for at in self.figure:
-                self.parts[at]["caption"] = said
-            self.caption = None
-        elif tag in _BLOCKS:
+        if self.open[tag]:
+            while self.close() != tag:
+                pass
+
+    def close(self) -> str:
+        """Ends the innermost open element."""
+        tag = self.holders.pop()
+        self.open[tag] -= 1
+        if tag == "figcaption":
+            said = " ".join("".join(self.captions.pop()).split())
+            if self.figures[-1]["caption"] is None:
+                self.figures[-1]["caption"] = said
+        elif tag == "figure":
             self.flush()
-            if tag == "figure":
-                self.figure = []
+            figure = self.figures.pop()
+            if figure["caption"] is not None:
+                for at in figure["media"]:
+                    self.parts[at]["caption"] = figure["caption"]
+        return tag
 
-    def handle_data(self, data):
-        if not self.skip:
-            (self.text if self.caption is None else self.caption).append(data)
+    @property
+    def skips(self) -> int:
+        return self.open["template"] + self.open["noscript"]
+
+    def say(self, text: str) -> None:
+        if not self.skips:
+            (self.captions[-1] if self.captions else self.text).append(unescape(text))
 
 
 def parse_parts(html: str | None) -> list[dict]:
-    """The ordered parts of one page."""
-    parser = _Sequence()
-    parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    return parser.parts
+    """The ordered parts of one page, in time linear in it.
+
+    Broken markup: an element that is left open ends with the element around it, at the latest with the page, so an open
+    caption or ``template`` takes no more text than that. Scripts and styles without end hide the rest of the page, and a
+    tag without ``>`` ends it, as in browsers. A figure's first caption is that of all its media, but of none of a figure
+    inside it. A caption outside figures is text. Null html has no parts.
+    """
+    found = _Sequence()
+    for said, closing, attributes in pieces(html or "", _CODE):
+        if closing is None:
+            found.say(said)
+        elif closing:
+            found.end(said)
+        else:
+            found.start(said, attributes)
+    while found.holders:
+        found.close()
+    found.flush()
+    return found.parts
 
 
 def interleave(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
     """``keep`` columns and parts: every page as an ordered array of text and media-reference structs.
 
-    Null html has no parts. Text outside figures becomes text parts, one for each run between blocks or media.
+    Null html has no parts. Text outside captions becomes text parts, one for each run between blocks or media. Repeated rows
+    are repeated, an empty table gives no rows, and columns not in ``keep`` are not read. See :func:`parse_parts`.
     """
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
 
@@ -112,6 +169,8 @@ def exploded(sequences: DataFrame) -> DataFrame:
 def resolve(parts: DataFrame, media: DataFrame) -> DataFrame:
     """``parts``, media parts with the columns of ``media`` (digest and others), or nulls where no such medium is stored.
 
+    Parts without digest, and all parts if ``media`` is empty, get nulls; repeated parts are each resolved.
+
     ``media`` holds a digest once. It is dealt as a shuffle of its own, so that Spark can split a digest that very many
     parts name, or broadcast the media if they prove small.
     """

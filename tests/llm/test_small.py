@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -486,8 +487,36 @@ def test_typed_parts(spark):
     row = chat.format_chats(spark.createDataFrame([(1, 0, "user", content)], "conv_id long, turn long, role string, parts string"), "parts", typed=True).first()
     assert [(a.kind, a.reference, a.tokens) for a in row.attachments] == [("image", "i1", 4), ("audio", "a1", 25), ("document", "d1", 768)] and row.attachment_tokens == 797
     assert all(row.formatted[a.place :].startswith(f"<|{a.kind}|>") for a in row.attachments)
-    with pytest.raises(ValueError):
-        chat.Flatten().visit({"type": "video", "reference": "v"})
+    visitor = chat.Flatten()
+    visitor.visit({"type": "video", "reference": "v"})
+    assert visitor.attachments == [{"kind": "error", "reference": "unknown part type: video", "place": 0, "tokens": 0}] and visitor.text == ""
+
+
+def test_typed_parts_with_broken_values(spark):
+    half, long = chr(92) + "ud800", "9" * 400
+    contents = [
+        f'[{{"text": "a{half}b"}}, {{"type": "image", "reference": "r{half}"}}, {{"type": "{half}"}}]', f'[{{"type": "image", "reference": "i", "width": {long}, "height": {long}}}]',
+        '[{"type": "audio", "reference": "a", "seconds": 1.7e308}, {"type": "document", "reference": "d", "pages": 1e308}]', '[{"type": "audio", "reference": "a", "seconds": Infinity}, {"type": "audio", "reference": "b", "seconds": NaN}]',
+        '[{"type": "image", "reference": "i", "width": ' + "9" * 5000 + "}]",
+    ]
+    rows = [(k, 0, "user", c) for k, c in enumerate(contents)]
+    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), typed=True).collect()}
+    assert chat.read_turns(got[0].formatted)[0][1] == "a\ufffdb<|image|>" and [a.reference for a in got[0].attachments] == ["r\ufffd", "unknown part type: \ufffd"]
+    assert [a.tokens for k in (1, 2, 3) for a in got[k].attachments] == [chat.MOST_TOKENS] * 3 + [1, 1]
+    assert got[4].attachments[0].kind == "error" and "999" in got[4].formatted
+
+
+def test_broken_pages():
+    short = lambda page: [(p["kind"], p["text"] or p["digest"], p["caption"]) for p in media.parse_parts(page)]
+    assert short('<figure><img src="d1"><figcaption>cap</figure><p>Text</p>') == [("image", "d1", "cap"), ("text", "Text", None)]
+    assert short('<figure><img src="a"><figure><img src="b"><figcaption>in</figcaption></figure><figcaption>out<p>er</figcaption><img src=c></figure>x') == [("image", "a", "out er"), ("image", "b", "in"), ("image", "c", "out er"), ("text", "x", None)]
+    assert short("<div><template>no<b></div>yes") == [("text", "yes", None)] and short("<noscript>no</noscript>yes<noscript>no") == [("text", "yes", None)]
+    assert short("a<script>no") == [("text", "a", None)] and short("<figcaption>free &amp; easy</figcaption></figure></div>t") == [("text", "free & easy", None), ("text", "t", None)]
+    assert short("<div><figure><img src=x alt='&lt;'></div>after<figcaption>own") == [("image", "x", "<"), ("text", "after", None), ("text", "own", None)]
+    began = time.perf_counter()
+    for page in ("<a " * 200_000, "<div>" * 200_000, "<figure><figcaption>" * 50_000, "</div>" * 200_000, "<img src=" * 100_000, "<" * 500_000, "<figure>" * 50_000 + "</div>" * 50_000):
+        media.parse_parts(page)
+    assert time.perf_counter() - began < 10
 
 
 # ---------------------------------------------------------------- 9 shards
