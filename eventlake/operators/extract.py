@@ -151,16 +151,28 @@ def leef(line: Column) -> Column:
     return F.when(line.rlike(one) | second, to_map(F.concat(F.array(*[F.lit(n) for n in LEEF_HEADER]), names), F.concat(head, values)))
 
 
-def tsv(line: Column, fields: Column | list[str], unset: str = "-", empty: str = "(empty)") -> Column:
-    """Tab-separated cells named by ``fields``; unset and empty cells are absent, further cells are ``_extra``."""
+def tsv(line: Column, fields: Column | list[str], unset: Column | str = "-", empty: Column | str = "(empty)", sep: Column | str = "\t") -> Column:
+    """Cells named by ``fields``, divided by ``sep``; unset and empty cells are absent, further cells are ``_extra``.
+
+    Names, marks and separator may be columns, as headers give them. A name that occurs again is numbered.
+    """
     line = cut(line)
+    unset, empty, sep = (F.lit(x) if isinstance(x, str) else x for x in (unset, empty, sep))
     names = F.array(*[F.lit(f) for f in fields]) if isinstance(fields, list) else fields
-    cells = F.split(line, "\t", -1)
+    cells = F.split(line, F.concat(F.lit("\\Q"), sep, F.lit("\\E")), -1)
     n = F.size(names)
-    extra = F.array_join(F.slice(cells, n + 1, F.greatest(F.size(cells) - n, F.lit(0))), "\t")
+    extra = F.call_function("array_join", F.slice(cells, n + 1, F.greatest(F.size(cells) - n, F.lit(0))), sep)
     padded = F.concat(F.slice(cells, F.lit(1), n), F.array_repeat(F.lit(None).cast("string"), F.greatest(n - F.size(cells), F.lit(0)).cast("int")))
-    found = F.map_from_arrays(F.concat(names, F.array(F.lit("_extra"))), F.concat(padded, F.array(extra)))
-    return F.when(line.contains("\t") & ~line.startswith("#"), F.map_filter(found, lambda k, v: v.isNotNull() & ~v.isin(unset, empty, "")))
+    found = to_map(F.concat(names, F.array(F.lit("_extra"))), F.concat(padded, F.array(extra)))
+    return F.when(line.contains(sep) & ~line.startswith("#"), F.map_filter(found, lambda k, v: (v != unset) & (v != empty) & (v != "")))
+
+
+def tsv_with_header(line: Column, header: Column, fields: list[str] | None = None, unset: str = "-", empty: str = "(empty)") -> Column:
+    """:func:`tsv` by a ``header`` (struct of fields, unset, empty and sep), or by what is given where it has no fields."""
+    known = header["fields"].isNotNull()
+    pick = lambda name, value: F.when(known, header[name]).otherwise(F.lit(value))
+    names = F.when(known, header["fields"]).otherwise(F.array(*[F.lit(f) for f in fields or []]).cast("array<string>"))
+    return tsv(line, names, pick("unset", unset), pick("empty", empty), pick("sep", "\t"))
 
 
 def _flat(value, path: str, out: dict) -> None:

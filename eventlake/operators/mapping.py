@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import pipes
 from ..functions.text import java_pattern, literal
 from ..schema import CATEGORIES, CLASSES
-from .extract import EXTRACTORS
+from .extract import EXTRACTORS, tsv_with_header
 
 
 def _field(fields: Column, name: str) -> Column:
@@ -118,10 +118,13 @@ class Source:
         held = [_held(p, line, fields) for p in self.match if _of_fields(p)]
         return reduce(lambda a, b: a & b, held) if held else None
 
-    def extract(self, line: Column, head: Column) -> Column:
+    def extract(self, line: Column, head: Column, header: Column | None = None) -> Column:
         """Fields of the line. With ``framing="syslog"`` those of the message after its header, and ``syslog.host`` and
         ``syslog.time_ms``, which count neither for coverage nor as unmapped. ``head`` is the line's header as
-        :func:`.extract.syslog` reads it, once for all sources."""
+        :func:`.extract.syslog` reads it, once for all sources. ``header``: names and marks that hold for a line of
+        separated cells (see :mod:`..streaming.headers`)."""
+        if self.kind == "tsv" and header is not None:
+            return tsv_with_header(line, header, **self.options)
         if self.framing != "syslog":
             return EXTRACTORS[self.kind](line, **self.options)
         found = EXTRACTORS[self.kind](head["message"], **self.options)

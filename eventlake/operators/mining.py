@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import net, time
 from ..functions.text import mask
+from . import template_tree
 
 
 def templates(lines: DataFrame, text: str, key: str, samples: int = 5, peer: str | None = None) -> DataFrame:
@@ -29,43 +29,9 @@ def templates(lines: DataFrame, text: str, key: str, samples: int = 5, peer: str
     return out.join(shown, "template").select("template_id", "template", *[c for c in out.columns if c not in ("template_id", "template")], "samples")
 
 
-def merged_templates(counts: DataFrame, similarity: float = 0.5, most: int = 20_000) -> DataFrame:
-    """Masked templates joined to wider ones: (template, n, parts), words that differ within a group being ``<*>``.
-
-    Templates of one number of words meet, commonest first (then by text): each joins the wide template that it agrees
-    with most, in at least ``similarity`` of its words, or starts one of its own; ties go to the older one.
-
-    This order is what the result depends on, so it is fixed. Only templates are compared, never lines, and only those
-    with the same number of words and the same first word that holds no mark: such a group is one task, with at most
-    ``most`` templates; the rarer templates of a larger group stay as they are.
-    """
-    words = F.split("template", " ")
-    fixed = F.coalesce(F.try_element_at(F.filter(words, lambda w: ~w.contains("<")), F.lit(1)), F.lit(""))
-    rows = counts.groupBy("template").agg(F.sum("n").alias("n")).select("template", "n", F.size(words).alias("len"), fixed.alias("first"))
-    ranked = rows.withColumn("__i", F.row_number().over(Window.partitionBy("len", "first").orderBy(F.col("n").desc(), "template")))
-
-    def merge(batches):
-        wide: dict[tuple, list[list]] = {}
-        for batch in batches:
-            for template, n, size, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mine = template.split(" ")
-                best, share = None, 0.0
-                for known in wide.setdefault((size, first), []):
-                    same = sum(a == b for a, b in zip(known[0], mine, strict=True)) / len(mine)
-                    if same > share:
-                        best, share = known, same
-                if best is None or share < similarity:
-                    wide[size, first].append([mine, n, 1])
-                else:
-                    best[0] = [a if a == b else "<*>" for a, b in zip(best[0], mine, strict=True)]
-                    best[1] += n
-                    best[2] += 1
-        found = [x for group in wide.values() for x in group]
-        yield pa.record_batch([pa.array([" ".join(w) for w, _, _ in found], pa.string()), pa.array([n for _, n, _ in found], pa.int64()), pa.array([k for _, _, k in found], pa.int64())], ["template", "n", "parts"])
-
-    near = ranked.filter(F.col("__i") <= most).repartition("len", "first").sortWithinPartitions("len", "first", "__i").select("template", "n", "len", "first")
-    made = near.mapInArrow(merge, "template string, n long, parts long")
-    return made.unionByName(ranked.filter(F.col("__i") > most).select("template", "n", F.lit(1).cast("long").alias("parts")))
+def merged_templates(counts: DataFrame, similarity: float = 0.5) -> DataFrame:
+    """Masked templates (template, n) joined to wider ones: (template, n, parts), words that differ being ``<*>``. See :mod:`.template_tree`."""
+    return template_tree.merge(counts, similarity)
 
 
 def field_types(fields: DataFrame, name: str = "name", value: str = "value") -> DataFrame:

@@ -57,12 +57,7 @@ def running(df: DataFrame, by: list[str], order: list[Column], n: Column | None
     marked = df.select("*", n.alias("__n"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(marked.repartitionByRange(parts, *by, *order).withColumn("__part", F.spark_partition_id()))
-    held = ranged
-    if by:
-        # Only groups at the ends of ranges can lie in several: at most two for each range, so few that they are broadcast.
-        ends = ranged.groupBy("__part").agg(F.min(F.struct(*by)).alias("lo"), F.max(F.struct(*by)).alias("hi"))
-        edges = ends.select("lo.*").unionByName(ends.select("hi.*")).distinct()
-        held = ranged.alias("r").join(F.broadcast(edges).alias("e"), _equal(by, "r", "e"), "left_semi")
+    held = _spanning(ranged, by) if by else ranged
     totals = held.groupBy(*by, "__part").agg(F.sum("__n").alias("__sum"))
     over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     offsets = totals.select(*by, "__part", F.coalesce(F.sum("__sum").over(over.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"), F.sum("__sum").over(over).alias("__whole"))
@@ -73,6 +68,30 @@ def running(df: DataFrame, by: list[str], order: list[Column], n: Column | None
     return out.drop("__n", "__part", "__offset", "__whole")
 
 
+def _spanning(ranged: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of the groups that can lie in several ranges: those at their ends, two a range, so few that they are broadcast."""
+    ends = ranged.groupBy("__part").agg(F.min(F.struct(*by)).alias("lo"), F.max(F.struct(*by)).alias("hi"))
+    edges = ends.select("lo.*").unionByName(ends.select("hi.*")).distinct()
+    return ranged.alias("r").join(F.broadcast(edges).alias("e"), _equal(by, "r", "e"), "left_semi")
+
+
+def carried(df: DataFrame, by: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """``df`` with columns ``values``, each the last value that isn't null at or before the row, among rows of the same ``by``.
+
+    Like :func:`running` it works by ranges: rows of a group that begins in an earlier range take what was last there, so no
+    task holds more than one range, however large a group is. Of rows with equal ``order`` any may come first.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.withColumns(values).repartitionByRange(parts, *by, *order).withColumn("__part", F.spark_partition_id()))
+    place = F.struct(*order)
+    ends = _spanning(ranged, by).groupBy(*by, "__part").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in values])
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    known = ends.select(*by, "__part", *[F.last(c, ignorenulls=True).over(before).alias(f"__was_{c}") for c in values])
+    joined = ranged.alias("r").join(F.broadcast(known).alias("k"), _equal([*by, "__part"], "r", "k"), "left").select("r.*", *[f"__was_{c}" for c in values])
+    own = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return joined.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(own), f"__was_{c}") for c in values}).drop("__part", *[f"__was_{c}" for c in values])
+
+
 def _equal(columns: list[str], left: str, right: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
 

@@ -572,10 +572,25 @@ def template_counts(spark, sf_dir):
     return found.select("template_id", "n", F.round("share", 9).alias("share"), "first_key", "last_key")
 
 
-@query()
+def _fold_sql(source: str, level: int) -> str:
+    """The nodes of a level as one sequential fold each: a list of clusters that every member joins or adds to."""
+    branch = ", ".join(["len(w)", *[f"CASE WHEN contains(w[{k}], '<') THEN '' ELSE coalesce(w[{k}], '') END" for k in range(1, level + 1)]])
+    same = "list_transform(acc, lambda c: list_sum(list_transform(list_zip(c.w, x[1].w), lambda z: CASE WHEN z[1] = z[2] OR z[1] = '<*>' THEN 1 ELSE 0 END)))"
+    wider = "{'w': list_transform(list_zip(acc[p].w, x[1].w), lambda z: CASE WHEN z[1] = z[2] THEN z[1] ELSE '<*>' END), 'n': acc[p].n + x[1].n, 'parts': acc[p].parts + x[1].parts}"
+    joined = f"list_transform([list_position(s, list_max(s))], lambda p: list_concat(acc[:p - 1], [{wider}], acc[p + 1:]))[1]"
+    step = f"list_transform([{same}], lambda s: CASE WHEN 2 * list_max(s) >= len(x[1].w) THEN {joined} ELSE list_concat(acc, x) END)[1]"
+    return f"SELECT c.w AS w, c.n AS n, c.parts AS parts FROM (SELECT unnest(list_reduce(list([{{'w': w, 'n': n, 'parts': parts}}] ORDER BY n DESC, array_to_string(w, ' ')), lambda acc, x: {step})) AS c FROM {source} GROUP BY {branch})"
+
+
+@query(
+    f"""WITH once AS (SELECT list_filter(regexp_split_to_array(template, '[ \t]+'), lambda w: w <> '') AS w, count(*)::BIGINT AS n, 1::BIGINT AS parts FROM (SELECT {_MASKED} AS template FROM {_LINES}) GROUP BY 1),
+ leaves AS (SELECT CASE WHEN len(w) = 0 THEN [''] ELSE w END AS w, n, parts FROM once),
+ two AS ({_fold_sql("leaves", 2)}), one AS ({_fold_sql("two", 1)}), root AS ({_fold_sql("one", 0)})
+ SELECT array_to_string(w, ' ') AS template, n, parts FROM root"""
+)
 def merged_templates(spark, sf_dir):
-    """Masked templates joined to wider ones."""
-    counts = event_lines(spark, sf_dir).groupBy(text.mask(F.col("line")).alias("template")).agg(F.count("*").alias("n"))
+    """Wide templates of all lines of the documents."""
+    counts = _text_lines(spark, sf_dir).groupBy(text.mask(F.col("text")).alias("template")).agg(F.count("*").alias("n"))
     return mining.merged_templates(counts)
 
 

@@ -73,12 +73,6 @@ def test_stream_replays_without_loss(spark, tmp_path):
     assert ledger["received"] == ledger["parsed"] + ledger["unparsed"] and ledger["received"] >= 12
 
 
-def test_header_state(spark):
-    rows = [("s", 1, "#fields\ta\tb"), ("s", 2, "1\t2"), ("s", 3, "#fields\tc"), ("s", 4, "9\t8"), ("t", 1, "5\t6")]
-    df = pipeline.with_header(spark.createDataFrame(rows, "source string, n int, line string"), "source", "n")
-    assert {(r.source, r.n): r.fields for r in df.collect()} == {("s", 2): ["a", "b"], ("s", 4): ["c"], ("t", 1): None}
-
-
 def test_tampering_is_found_in_its_block(spark):
     raw = spark.createDataFrame([("s", i, f"line {i}") for i in range(25)], "shard string, n int, data string")
     stored = integrity.frames(raw, "shard", [F.col("n")], "data", 10).cache()

@@ -192,29 +192,6 @@ def test_missing_ends_are_found(spark):
 # ---------------------------------------------------------------- mining and forests
 
 
-def plain_merge(counts, similarity=0.5):
-    groups = {}
-    for t, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
-        w = t.split(" ")
-        known = groups.setdefault((len(w), next((x for x in w if "<" not in x), "")), [])
-        best = max(known, key=lambda k: sum(a == b for a, b in zip(k[0], w)), default=None)
-        if best is None or sum(a == b for a, b in zip(best[0], w)) / len(w) < similarity:
-            known.append([w, n, 1])
-        else:
-            best[0] = [a if a == b else "<*>" for a, b in zip(best[0], w)]
-            best[1] += n
-            best[2] += 1
-    return Counter((" ".join(w), n, k) for g in groups.values() for w, n, k in g)
-
-
-def test_templates_merge_by_best_similarity(spark):
-    rng = np.random.default_rng(1)
-    made = Counter(" ".join(["user", rng.choice(["ann", "bob", "eve"]), rng.choice(["opens", "closes"]), rng.choice(["a", "b"]), "<NUM>"][: int(rng.integers(3, 6))]) for _ in range(300))
-    made["odd one out here now"] = 1
-    df = spark.createDataFrame(list(made.items()), "template string, n long")
-    assert Counter((r.template, r.n, r.parts) for r in mining.merged_templates(df).collect()) == plain_merge(made)
-
-
 def test_forest_against_a_plain_walk():
     rng = np.random.default_rng(3)
     points = np.concatenate([rng.normal(size=(300, 3)), [[9.0, 9.0, 9.0]]])
