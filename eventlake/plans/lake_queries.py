@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import accuracy as scores
-from ..operators import explain, integrity, mining, normalize, reads, rows, stats, validate
+from ..operators import explain, inference, integrity, mining, normalize, reads, rows, spans, stats, validate
 from ..operators.filters import Term, search
 from ..session import cut, spread
 from ..sources import lake, vendors
@@ -354,3 +354,77 @@ def json_lines_checked(spark, sf_dir):
     e = events(spark, sf_dir)
     lines = e.select(F.col("props").alias("line")).unionByName(e.filter("event_id % 5 = 0").select(F.concat(F.lit("broken "), "props").alias("line")))
     return lake.checked_json(lines, "line").select("line", "ok")
+
+
+# ---------------------------------------------------------------- what is known of unknown sources
+
+_MIXED = {
+    "at_s": "(epoch_us(ts) // 1000000)::VARCHAR", "at_ms": "(epoch_us(ts) // 1000)::VARCHAR", "nanos": "(epoch_us(ts) // 1000)::VARCHAR || '000000'", "count_s": "(epoch_us(ts) // 1000000)::VARCHAR", "seconds": "(epoch_us(ts) // 1000000)::VARCHAR",
+    "ts_float": "(epoch_us(ts) // 1000000)::VARCHAR || '.5'", "src_ip": IP, "peer": "CASE WHEN event_id % 50 = 0 THEN 'fe80::' || (event_id % 9) WHEN event_id % 30 = 1 THEN 'none' ELSE " + IP + " END",
+    "hw": "printf('00:1b:%02x:00:00:%02x', event_id % 256, user_id % 256)", "dport": "(event_id % 65536)::VARCHAR", "bytes": "(event_id * 100000)::VARCHAR", "ratio": "(event_id % 7)::VARCHAR || '.' || (event_id % 10)", "ok": "CASE WHEN event_id % 3 = 0 THEN 'True' ELSE 'no' END",
+    "link": "CASE WHEN event_id % 11 = 0 THEN '-' ELSE 'https://h' || user_id || '/x' END", "kind": "event_type", "note": "CASE WHEN event_id % 4 = 0 THEN '' WHEN event_id % 4 = 1 THEN NULL ELSE event_type || event_id END", "day": "strftime(ts, '%Y-%m-%d')", "clock": "strftime(ts, '%H:%M:%S')", "iso": "strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z'",
+}
+_TESTS_SQL = {
+    "ip": r"regexp_matches(value, '^[0-9]+(\.[0-9]+){3}$') OR value LIKE 'fe80::%'", "mac": r"regexp_matches(value, '^([0-9a-f]{2}:){5}[0-9a-f]{2}$')", "iso8601": "value LIKE '____-__-__T%'", "date": r"regexp_matches(value, '^\d{4}-\d\d-\d\d$')", "time": r"regexp_matches(value, '^\d\d:\d\d:\d\d$')",
+    "int": r"regexp_matches(value, '^-?\d+$')", "float": r"regexp_matches(value, '^-?\d+(\.\d+)?$')", "bool": "lower(value) IN ('true', 'false', 'yes', 'no')", "url": "value LIKE 'https://%'",
+}
+
+
+def _range(low: int, name: str = "") -> str:
+    return f"low >= {low} AND high < {4 * low}" + (f" AND regexp_matches(name, '{name}')" if name else "")
+
+
+@query(
+    f"""WITH v AS ({" UNION ALL ".join(f"SELECT event_id, '{n}' AS name, {e} AS value FROM events" for n, e in _MIXED.items())}), c AS (SELECT name, value, count(*) AS n, min(event_id) AS first FROM v WHERE value <> '' GROUP BY 1, 2),
+ e AS (SELECT name, sum(n)::BIGINT AS seen, count(*) AS distinct_values, min(try_cast(value AS DECIMAL(38,9))) AS low, max(try_cast(value AS DECIMAL(38,9))) AS high, {", ".join(f'coalesce(sum(n) FILTER ({t}), 0) / sum(n) >= {0.9 if k == "url" else 0.95} AS is_{k}' for k, t in _TESTS_SQL.items())} FROM c GROUP BY 1),
+ x AS (SELECT name, list(value ORDER BY first, value)[:5] AS examples FROM c GROUP BY 1),
+ t AS (SELECT *, CASE WHEN is_ip THEN 'ip' WHEN is_mac THEN 'mac' WHEN is_iso8601 THEN 'timestamp iso8601' WHEN is_date THEN 'timestamp date' WHEN is_time THEN 'timestamp time' WHEN is_int AND {_range(10**9, "time|ts|stamp|date|epoch|created|start|end")} THEN 'timestamp epoch_s'
+  WHEN is_int AND {_range(10**12)} THEN 'timestamp epoch_ms' WHEN is_int AND {_range(10**18)} THEN 'timestamp epoch_ns' WHEN is_int AND name LIKE '%port%' AND low >= 0 AND high < 65536 THEN 'port' WHEN is_int THEN 'int' WHEN is_float AND {_range(10**9, "time|ts|stamp|date|epoch")} THEN 'timestamp epoch_s' WHEN is_float THEN 'float' WHEN is_bool THEN 'bool' WHEN is_url THEN 'url'
+  WHEN distinct_values <= 12 AND (seen < 20 OR distinct_values <= seen * 0.25) THEN 'enum' ELSE 'text' END AS said FROM e)
+ SELECT t.name, split_part(said, ' ', 1) AS type, nullif(split_part(said, ' ', 2), '') AS unit, round(seen / (SELECT count(*) FROM events), 6) AS support, seen, distinct_values AS "distinct", array_to_string(examples, '|') AS examples FROM t JOIN x ON t.name = x.name"""
+)
+def field_inference(spark, sf_dir):
+    """All types and units of fields made from the events, with support and the values that came first."""
+    e = _with_ip(spark, sf_dir)
+    n, us, text = F.col("event_id"), F.unix_micros(F.col("ts").cast("timestamp")), lambda c: c.cast("string")
+    s, ms = text(F.floor(us / 1_000_000)), text(F.floor(us / 1000))
+    values = {
+        "at_s": s, "at_ms": ms, "nanos": F.concat(ms, F.lit("000000")), "count_s": s, "seconds": s, "ts_float": F.concat(s, F.lit(".5")), "src_ip": F.col("src_ip"), "peer": F.when(n % 50 == 0, F.concat(F.lit("fe80::"), text(n % 9))).when(n % 30 == 1, "none").otherwise(F.col("src_ip")),
+        "hw": F.format_string("00:1b:%02x:00:00:%02x", n % 256, F.col("user_id") % 256), "dport": text(n % 65536), "bytes": text(n * 100000), "ratio": F.concat(text(n % 7), F.lit("."), text(n % 10)), "ok": F.when(n % 3 == 0, "True").otherwise("no"), "link": F.when(n % 11 == 0, "-").otherwise(F.concat(F.lit("https://h"), text(F.col("user_id")), F.lit("/x"))),
+        "kind": F.col("event_type"), "note": F.when(n % 4 == 0, "").when(n % 4 == 1, F.lit(None)).otherwise(F.concat("event_type", text(n))), "day": F.date_format("ts", "yyyy-MM-dd"), "clock": F.date_format("ts", "HH:mm:ss"), "iso": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+    }
+    fields = e.select("event_id", F.explode(F.create_map(*[x for k, c in values.items() for x in (F.lit(k), c)])).alias("name", "value"))
+    found = inference.infer_types(inference.value_counts(fields, "event_id"), e.count())
+    return found.withColumn("examples", F.array_join("examples", "|"))
+
+
+#: A field of each vendor's lines, what stands before its value, and the value.
+_SPOTS = [
+    (0, "date", "date=", "strftime(ts, '%Y-%m-%d')"), (0, "srcip", "srcip=", IP), (0, "dstport", "dstport=", "1 + event_id % 1000"), (1, "dip", "inside:", IP), (1, "ts", "<166>", "strftime(ts, '%b %d %Y %H:%M:%S')"), (2, "src_ip", '"src_ip":"', IP), (2, "dest_port", '"dest_port":', "1 + event_id % 1000"), (2, "alert.signature", '"signature":"', "'SCAN ' || user_id"),
+    (3, "client", "145 ", IP), (3, "url", "CONNECT ", "'host:' || (1 + event_id % 1000)"), (4, "ts", "", "(epoch_us(ts) // 1000000) || '.5'"), (4, "id.orig_h", "Cabcdefghij1\t", IP), (5, "EventData.TargetUserName", '"TargetUserName">', "'u' || user_id"), (5, "EventData.IpAddress", '"IpAddress">', IP), (5, "System.TimeCreated.@SystemTime", 'SystemTime="', "strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z'"),
+    (6, "name", "query[AAAA] ", "'WWW' || user_id || '.example.com'"), (6, "client", "com from ", IP), (7, "devTime", "devTime=", "epoch_us(ts) // 1000"), (7, "src", "^src=", IP), (7, "dstPort", "dstPort=", "1 + event_id % 1000"), (8, "rt", "rt=", "epoch_us(ts) // 1000"), (8, "src", " src=", IP), (8, "dpt", "dpt=", "1 + event_id % 1000"), (9, "src", ",udp,60,", IP),
+]
+_OLD = "strftime(ts, '%b ') || lpad(day(ts)::VARCHAR, 2, ' ') || strftime(ts, ' %H:%M:%S')"
+_LINE = f"""CASE event_id % 10 WHEN 0 THEN printf('<189>date=%s time=%s tz="+0200" devname="F1" logid="2" type="traffic" level="alert" action="deny" srcip=%s srcport=%d dstip=10.0.0.8 dstport=%d', strftime(ts, '%Y-%m-%d'), strftime(ts, '%H:%M:%S'), {IP}, 1024 + event_id % 60000, 1 + event_id % 1000)
+ WHEN 1 THEN printf('<166>%s EDGE : %%ASA-6-302013: Built outbound TCP connection 12 for outside:192.0.2.5/443 (192.0.2.5/443) to inside:%s/%d (%s/%d)', strftime(ts, '%b %d %Y %H:%M:%S'), {IP}, 1024 + event_id % 60000, {IP}, 1024 + event_id % 60000)
+ WHEN 2 THEN printf('{{"timestamp":"%s.000000+0000","event_type":"alert","src_ip":"%s","src_port":4,"dest_ip":"10.1.2.2","dest_port":%d,"proto":"TCP","alert":{{"action":"blocked","signature_id":9,"signature":"SCAN %d","severity":2}},"host":"s1"}}', strftime(ts, '%Y-%m-%dT%H:%M:%S'), {IP}, 1 + event_id % 1000, user_id)
+ WHEN 3 THEN printf('%d.250    145 %s TCP_DENIED/403 120 CONNECT host:%d - HIER_NONE/- text/html', epoch_us(ts) // 1000000, {IP}, 1 + event_id % 1000)
+ WHEN 4 THEN (epoch_us(ts) // 1000000) || '.5' || chr(9) || 'Cabcdefghij1' || chr(9) || {IP} || chr(9)
+ WHEN 5 THEN printf('<Event xmlns="w"><System><Provider Name="Microsoft-Windows-Security-Auditing"/><EventID>4625</EventID><TimeCreated SystemTime="%sZ"/><Computer>DC</Computer></System><EventData><Data Name="TargetUserName">u%d</Data><Data Name="IpAddress">%s</Data></EventData></Event>', strftime(ts, '%Y-%m-%dT%H:%M:%S'), user_id, {IP})
+ WHEN 6 THEN printf('<30>%s gw dnsmasq[12]: query[AAAA] WWW%d.example.com from %s', {_OLD}, user_id, {IP}) WHEN 7 THEN printf('<134>%s L1 LEEF:2.0|Acme|Net|2|X|^|devTime=%d^devName=L1^src=%s^dst=10.1.1.6^dstPort=%d^action=DROP^sev=9', {_OLD}, epoch_us(ts) // 1000, {IP}, 1 + event_id % 1000)
+ WHEN 8 THEN printf('<134>%s C1 CEF:0|Acme|Net|2|100|Allowed|3|rt=%d src=%s spt=7 dst=10.1.1.6 dpt=%d act=allow in=14 out=31 dvchost=C1', {_OLD}, epoch_us(ts) // 1000, {IP}, 1 + event_id % 1000)
+ ELSE printf('<134>1 %s+00:00 pf.local filterlog 85 - - 5,,,100,igb0,match,block,in,4,0x0,,64,12,0,none,17,udp,60,%s,10.0.0.5,444,53,20', strftime(ts, '%Y-%m-%dT%H:%M:%S'), {IP}) END"""
+
+
+@query(
+    f"""WITH l AS (SELECT *, {_LINE} AS line FROM events), w AS ({" UNION ALL ".join(f"SELECT event_id, line, '{_NAMES[v]}' AS source_id, '{f}' AS field, replace('{p}', '~', chr(9)) AS prefix, ({e})::VARCHAR AS value FROM l WHERE event_id % 10 = {v}".replace(chr(92) + "t", "~") for v, f, p, e in _SPOTS)}),
+ s AS (SELECT *, instr(line, prefix || value) - 1 + length(prefix) AS place FROM w)
+ SELECT event_id, source_id, field, value, place AS start, place + length(value) AS "end", place AS byte_start, place + length(value) AS byte_end, true AS exact, value AS said FROM s"""
+)
+def field_spans(spark, sf_dir):
+    """Where the values of all vendors' lines stand, of those fields that SQL can tell by what is before them."""
+    raw = normalize.envelope(vendor_lines(spark, sf_dir), "line", "event_id", "recv_ms")
+    found = spans.field_spans(raw, vendors.ALL)
+    shown = [f"{_NAMES[v]}|{f}" for v, f, _, _ in _SPOTS]
+    said = F.substring(F.col("line"), F.col("start") + 1, F.col("end") - F.col("start"))
+    return found.filter(F.concat_ws("|", "source_id", "field").isin(shown)).select(F.col("raw_id").cast("long").alias("event_id"), "source_id", "field", "value", "start", "end", "byte_start", "byte_end", "exact", said.alias("said"))
