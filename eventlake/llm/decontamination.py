@@ -21,9 +21,9 @@ from .common import _LOWER, Words, id_back, id_key, packed, row_hash, slices, ta
 #: Words that are a unit when they follow a number.
 UNITS = "% percent s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years mm cm m km metre metres meter meters inch inches in ft foot feet yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ton tons l ml litre litres liter liters gallon gallons $ usd eur dollar dollars euro euros cent cents mph kmh km/h degree degrees celsius fahrenheit w kw mw watt watts j joule joules v volt volts a amp amps hz khz mhz ghz byte bytes kb mb gb tb".split()
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x4E554D, 0x4E414D45, 0x554E4954))
-#: Words in a window, and how many of them must be no placeholders: a template of fewer words would be shared by unrelated
-#: questions, so such windows are compared by their values alone. An item is missed if most of it is such windows and changed.
-WINDOW, LITERALS = 5, 3
+#: Words in a window. Templates of few words or none besides placeholders are shared by unrelated questions; that is left to
+#: coverage and the consistency of slots, so that items full of names and numbers are found too.
+WINDOW = 5
 #: Item windows up to which their hashes go to every task as a filter (8 bytes each); beyond it, all windows are joined.
 FILTER_MOST = 2_000_000
 
@@ -85,7 +85,7 @@ class Tokens:
         slots = slots[n:] - slots[:-n]
         ends = np.repeat(self.first[1:], np.diff(self.first))
         inside = np.arange(len(slots)) + n <= ends[: len(slots)]
-        plain, typed = np.flatnonzero(inside), np.flatnonzero(inside & (slots > 0) & (n - slots >= min(LITERALS, n)))
+        plain, typed = np.flatnonzero(inside), np.flatnonzero(inside & (slots > 0))
         return np.concatenate([window_hashes(self.values, n)[plain], window_hashes(self.codes, n)[typed]]), np.concatenate([plain, typed])
 
     def texts(self, at: int, n: int) -> list[str]:

@@ -1,4 +1,4 @@
-"""Operators 11 to 13 on small rows, against the tiktoken library, plain loops and brute force."""
+"""Operators 11 to 13 on small rows, against the tiktoken library, plain loops and brute force; recall of operator 7."""
 
 import hashlib
 import random
@@ -11,7 +11,7 @@ import regex
 import tiktoken
 from pyspark.sql import functions as F
 
-from eventlake.llm import byte_pairs, periodic_runs, queries, vector_codes
+from eventlake.llm import byte_pairs, decontamination, periodic_runs, queries, vector_codes
 
 FOLDER = "/root/testdata/sf0.001"
 SPACED = " \t\n\x0b\x0c\r"
@@ -228,3 +228,34 @@ def test_repeating_documents(spark):
         else:
             assert (r.made or "") == (r.text or "")
     assert changed > 3
+
+
+# ---------------------------------------------------------------- 7 recall of re-parameterised items
+
+FORMS = (
+    "When {n} gave {n} {d} apples and {n} {d} pears on {n} {d} how many has {n} left",
+    "A train leaves {n} at {d} km and reaches {n} after {d} hours while {n} drives {d} km to {n}",
+    "Let {n} have {d} coins {n} {d} coins and {n} {d} coins then {n} sells {d} to {n}",
+    "Code {d} {d} {d} {n} {n} {d} {d} {n} {d} {n} {n} {d} closes the ledger of {n}",
+)
+PEOPLE = "Mara Jonas Peter Lena Oskar Ines Tomas Rita Zorvan Kelmire Tashko Bryndal Ovelle Quistan Hamdor Ylvane".split()
+
+
+def test_items_full_of_slots_are_found(spark):
+    rng = random.Random(8)
+    items, docs = [], []
+    for k in range(80):
+        names, numbers = rng.sample(PEOPLE, 8), rng.sample(range(2, 9999), 8)
+        other, changed = rng.sample(PEOPLE, 8), rng.sample(range(2, 9999), 8)
+        marks = [rng.randrange(8) for _ in range(20)]
+        made = []
+        for who, what in ((names, numbers), (other, changed)):
+            slots = iter(marks)
+            made.append(regex.sub(r"\{(.)\}", lambda m, who=who, what=what, slots=slots: str((who if m[1] == "n" else what)[next(slots)]), FORMS[k % 4]))
+        filler = " ".join(f"w{rng.randrange(500)}" for _ in range(60))
+        items.append((k, made[0]))
+        docs.append((k, f"{filler}\n{made[1]}\n{filler}"))
+        docs.append((1000 + k, f"{filler}\n{filler} {rng.randrange(99)} {rng.choice(PEOPLE)} {rng.randrange(99)}"))
+    found = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["__d"], r.item_id) for r in found.collect()}
+    assert sum((k, k) in got for k in range(80)) >= 0.9 * 80 and not any(d >= 1000 for d, _ in got)
