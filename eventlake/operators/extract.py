@@ -2,7 +2,7 @@
 
 Each returns ``map<string, string>``, or null where the line is not of the format. Repeated names get a suffix (``k``,
 ``k_2``, ``k_3``). Everything is extracted; what becomes of the fields is decided by the mapping. Lines longer than 64 Ki
-characters are cut first; JSON and XML of that length are null, since a part of a document is none. Only nested documents (JSON flattening, XML) leave the JVM, in Arrow batches.
+characters are cut first, but for JSON and XML, whose documents are read whole, since a part of one is none. Only nested documents (JSON flattening, XML) leave the JVM, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import java_pattern
 
-#: Characters of a line that are read; JSON and XML documents are of no use cut, so longer ones are not of their format.
+#: Characters of a line that are read, but for JSON and XML.
 LONGEST = 1 << 16
 _MAP = "map<string,string>"
 _MAP_TYPE = T.MapType(T.StringType(), T.StringType())
@@ -163,8 +163,10 @@ def tsv(line: Column, fields: Column | list[str], unset: Column | str = "-", emp
     n = F.size(names)
     extra = F.call_function("array_join", F.slice(cells, n + 1, F.greatest(F.size(cells) - n, F.lit(0))), sep)
     padded = F.concat(F.slice(cells, F.lit(1), n), F.array_repeat(F.lit(None).cast("string"), F.greatest(n - F.size(cells), F.lit(0)).cast("int")))
-    found = to_map(F.concat(names, F.array(F.lit("_extra"))), F.concat(padded, F.array(extra)))
-    return F.when(line.contains(sep) & ~line.startswith("#"), F.map_filter(found, lambda k, v: (v != unset) & (v != empty) & (v != "")))
+    # Names given as a list differ; only those of headers may have to be numbered.
+    mapped = F.map_from_arrays if isinstance(fields, list) else to_map
+    found = mapped(F.concat(names, F.array(F.lit("_extra"))), F.concat(padded, F.array(extra)))
+    return F.when(line.contains(sep) & ~line.startswith("#"), F.map_filter(found, lambda k, v: v.isNotNull() & (v != unset) & (v != empty) & (v != "")))
 
 
 def tsv_with_header(line: Column, header: Column, fields: list[str] | None = None, unset: str = "-", empty: str = "(empty)") -> Column:
@@ -200,8 +202,8 @@ def _json_map(lines: pd.Series) -> pd.Series:
 
 
 def json_fields(line: Column) -> Column:
-    """The leaves of a JSON object by dotted path; lists stay as JSON text and empty objects vanish."""
-    return _json_map(F.when(F.ltrim(line).startswith("{") & (F.length(line) <= LONGEST), line))
+    """The leaves of a JSON object by dotted path; lists stay as JSON text and empty objects vanish. Lines are read whole."""
+    return _json_map(F.when(F.ltrim(line).startswith("{"), line))
 
 
 @F.pandas_udf(_MAP_TYPE)
@@ -239,7 +241,7 @@ def _xml_map(lines: pd.Series) -> pd.Series:
 
 def xml(line: Column) -> Column:
     """Leaf elements and attributes by path below the root. Documents with a DOCTYPE or entities are refused unread."""
-    return _xml_map(F.when(F.ltrim(line).startswith("<") & (F.length(line) <= LONGEST), line))
+    return _xml_map(F.when(F.ltrim(line).startswith("<"), line))
 
 
 _RFC5424 = r"(?s)^<(\d{1,3})>1 (\S+) (\S+) (\S+) (\S+) (\S+) (-|(?:\[(?:[^\]\\]|\\.)*\])+) ?(.*)$"

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import bucket, millis
+from ..session import cut
 from .stats import medians, nearest_rank
 
 # Features and the least scale of each, in their order.
@@ -53,18 +54,32 @@ def vector(df: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
     return df.select("*", *[(F.col(f) if f in RATIOS else F.log1p(f)).cast("double").alias(f"v_{f}") for f in features])
 
 
-def robust_z(df: DataFrame, columns: list[str], floors: list[float]) -> DataFrame:
+def centres(df: DataFrame, columns: list[str]) -> dict[str, tuple[float | None, float | None]]:
+    """The exact median of each column and that of the distances from it; two numbers a column (see :func:`.stats.medians`)."""
+    med = {r.name: r.median for r in medians(df, columns).collect()}
+    away = df.select(*[F.abs(F.col(c) - F.lit(med[c]).cast("double")).alias(c) for c in columns])
+    dev = {r.name: r.median for r in medians(away, columns).collect()}
+    return {c: (med[c], dev[c]) for c in columns}
+
+
+def robust_z(df: DataFrame, columns: list[str], floors: list[float], known: dict[str, tuple[float | None, float | None]] | None = None) -> DataFrame:
     """``z_<column>``: distance from the median over 1.4826 times the median deviation (or the floor, if larger).
 
-    Medians are exact and one row for the whole table, joined to each row (see :func:`.stats.medians`).
+    Medians are exact and of the whole table, or ``known`` from :func:`centres`. Null values and columns without any value
+    have null scores.
     """
-    wide = lambda rows, mark: rows.agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(f"__{mark}_{c}") for c in columns])
-    med = wide(medians(df, columns), "m")
-    away = df.crossJoin(F.broadcast(med)).select(*[F.abs(F.col(c) - F.col(f"__m_{c}")).alias(c) for c in columns])
-    both = med.crossJoin(wide(medians(away, columns), "d"))  # one row each
-    joined = df.crossJoin(F.broadcast(both))
-    scaled = [((F.col(c) - F.col(f"__m_{c}")) / F.greatest(F.col(f"__d_{c}") * 1.4826, F.lit(float(fl)))).alias(f"z_{c}") for c, fl in zip(columns, floors, strict=True)]
-    return joined.select(*df.columns, *scaled)
+    known = known or centres(df, columns)
+    scaled = []
+    for c, floor in zip(columns, floors, strict=True):
+        med, dev = (F.lit(x).cast("double") for x in known[c])
+        scaled.append(((F.col(c) - med) / F.greatest(dev * 1.4826, F.lit(float(floor)))).alias(f"z_{c}"))
+    return df.select("*", *scaled)
+
+
+def baselines(known: dict[str, tuple[float | None, float | None]], features: tuple[str, ...] = FEATURES) -> dict[str, float | None]:
+    """What is usual for each feature, on its own scale: the median of ``v_<feature>`` carried back from the logarithm."""
+    found = {f: known[f"v_{f}"][0] for f in features}
+    return {f: m if m is None or f in RATIOS else math.expm1(m) for f, m in found.items()}
 
 
 def c_factor(m: int) -> float:
@@ -150,21 +165,28 @@ def order_statistic(df: DataFrame, column: str, share: float) -> float:
     return nearest_rank(df, column, [share]).first()[0]
 
 
-def findings(scored: DataFrame, model: str) -> DataFrame:
-    """Flagged windows as findings: a stable id, a severity, reasons and references to evidence."""
+def findings(scored: DataFrame, model: str, usual: dict[str, float | None] | None = None) -> DataFrame:
+    """Flagged windows as findings: a stable id, a severity, reasons, references to evidence and, of each feature, what is ``usual``."""
     uid = F.substring(F.sha2(F.concat_ws("|", "src", F.col("window_start").cast("string"), F.lit(model)), 256), 1, 20)
     reasons = F.transform(F.filter("top", lambda t: t["z"] > 0), lambda t: F.format_string("%s z=%.1f", t["feature"], t["z"]))
-    return scored.filter("flagged").select(uid.alias("event_id"), F.lit(2004).alias("class_uid"), F.timestamp_millis("window_start").alias("time"), F.col("src").alias("src_ip"), F.when(F.col("score") > 0.7, 4).otherwise(3).alias("severity_id"), "score", reasons.alias("reasons"), "refs")
+    held = {f: round(m, 3) for f, m in (usual or {}).items() if m is not None}
+    usual_map = F.create_map(*[F.lit(x) for pair in held.items() for x in pair]).cast("map<string,double>") if held else F.lit(None).cast("map<string,double>")
+    return scored.filter("flagged").select(uid.alias("event_id"), F.lit(2004).alias("class_uid"), F.timestamp_millis("window_start").alias("time"), F.col("src").alias("src_ip"), F.when(F.col("score") > 0.7, 4).otherwise(3).alias("severity_id"), "score", reasons.alias("reasons"), "refs", usual_map.alias("baselines"))
 
 
 def analyze(gold: DataFrame, known: DataFrame | None = None, model: str = "iforest-1", step: int = 60_000, contamination: float = 0.02, least_windows: int = 30) -> DataFrame:
-    """New findings of a lake: windows, forest, robust scores, flags, without those already ``known`` by event_id."""
-    made = vector(windows(project(gold), step))
+    """New findings of a lake: windows, forest, robust scores, flags, without those already ``known`` by event_id.
+
+    Windows are made once and so are their scores; each is kept at a checkpoint. Fewer than ``least_windows`` give no findings.
+    """
+    made = cut(vector(windows(project(gold), step)))
     columns = [f"v_{f}" for f in FEATURES]
-    forest = fit_forest(made, columns)
-    scored = robust_z(score_forest(made, forest, columns), columns, list(FLOORS))
+    zs = [f"z_{c}" for c in columns]
     if made.limit(least_windows).count() < least_windows:
-        return findings(flag(scored.limit(0), 1.0, [f"z_{c}" for c in columns]), model)
+        empty = made.limit(0).select("*", *[F.lit(0.0).alias(z) for z in zs], F.lit(0.0).alias("score"))
+        return findings(flag(empty, 1.0, zs), model)
+    centre = centres(made, columns)
+    scored = cut(robust_z(score_forest(made, fit_forest(made, columns), columns), columns, list(FLOORS), centre))
     threshold = order_statistic(scored.select("score"), "score", 1 - contamination)
-    out = findings(flag(scored, threshold, [f"z_{c}" for c in columns]), model)
+    out = findings(flag(scored, threshold, zs), model, baselines(centre))
     return out if known is None else out.join(known.select("event_id"), "event_id", "left_anti")

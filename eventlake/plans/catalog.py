@@ -14,7 +14,7 @@ from ..functions.pipes import OPS, apply, lookup
 from ..operators import extract, features, filters, integrity, mining, normalize, rows, stats
 from ..operators.filters import Term
 from ..operators.mapping import Source
-from ..session import spread
+from ..session import cut, spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -546,10 +546,27 @@ def robust_zscore(spark, sf_dir):
     return features.robust_z(events(spark, sf_dir).select("event_id", "value"), ["value"], [0.5]).select("event_id", F.round("z_value", 6).alias("z"))
 
 
+_CENTRES = [f"v_{f}" for f in features.FEATURES]
+
+
+@query(
+    f"""WITH f AS (SELECT count(*) FILTER (WHERE cls = 4001) AS conn_count, count(DISTINCT dst) AS uniq_dst_ip, count(DISTINCT dport) AS uniq_dst_port, count(*) FILTER (WHERE deny) / (count(*) FILTER (WHERE cls = 4001) + 4) AS deny_ratio, sum(bytes_out) AS bytes_out_sum, count(*) FILTER (WHERE auth_fail) AS auth_fail_count, count(DISTINCT source) AS uniq_sources FROM {_FEATURE_BASE} GROUP BY src, window_start),
+ v AS ({" UNION ALL ".join(f"SELECT '{x}' AS feature, {x if x in features.RATIOS else f'ln(1 + {x})'}::DOUBLE AS v FROM f" for x in features.FEATURES)}), m AS (SELECT feature, median(v) AS m FROM v GROUP BY 1), d AS (SELECT feature, median(abs(v - m)) AS d FROM v JOIN m USING (feature) GROUP BY 1)
+ SELECT feature, round(m, 6) AS median, round(d, 6) AS deviation, round(CASE WHEN feature IN ({", ".join(f"'{x}'" for x in sorted(features.RATIOS))}) THEN m ELSE exp(m) - 1 END, 6) AS baseline FROM m JOIN d USING (feature)"""
+)
+def feature_baselines(spark, sf_dir):
+    """What is usual for each feature of a window, as findings show it: medians, deviations, and the former on the feature's scale."""
+    known = features.centres(features.vector(features.windows(_feature_rows(spark, sf_dir), 3_600_000, evidence=0)), _CENTRES)
+    usual = features.baselines(known)
+    rows = [(f, known[f"v_{f}"][0], known[f"v_{f}"][1], usual[f]) for f in features.FEATURES]
+    out = spark.createDataFrame(rows, "feature string, median double, deviation double, baseline double")
+    return out.select("feature", *[F.round(c, 6).alias(c) for c in ("median", "deviation", "baseline")])
+
+
 @query()
 def anomaly_findings(spark, sf_dir):
     """Windows, forest, robust scores and flags: the windows' scores, with whether they are findings."""
-    made = features.vector(features.windows(_feature_rows(spark, sf_dir), 3_600_000, evidence=0))
+    made = cut(features.vector(features.windows(_feature_rows(spark, sf_dir), 3_600_000, evidence=0)))
     columns = [f"v_{f}" for f in features.FEATURES]
     scored = features.robust_z(features.score_forest(made, features.fit_forest(made, columns), columns), columns, list(features.FLOORS))
     flagged = features.flag(scored, 0.6, [f"z_{c}" for c in columns])

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import accuracy as scores
-from ..operators import explain, inference, integrity, mining, normalize, reads, rows, spans, stats, validate
+from ..operators import explain, extract, inference, integrity, mining, normalize, reads, rows, spans, stats, validate
 from ..operators.filters import Term, search
 from ..session import cut, spread
 from ..sources import lake, vendors
+from ..streaming import headers
 from .catalog import IP, STATUS, _with_ip, events, query
 
 _CLASS = "CASE event_type WHEN 'signup' THEN 3002 WHEN 'error' THEN 2004 ELSE 4001 END"
@@ -428,3 +429,24 @@ def field_spans(spark, sf_dir):
     shown = [f"{_NAMES[v]}|{f}" for v, f, _, _ in _SPOTS]
     said = F.substring(F.col("line"), F.col("start") + 1, F.col("end") - F.col("start"))
     return found.filter(F.concat_ws("|", "source_id", "field").isin(shown)).select(F.col("raw_id").cast("long").alias("event_id"), "source_id", "field", "value", "start", "end", "byte_start", "byte_end", "exact", said.alias("said"))
+
+
+_TABBED = """SELECT *, CASE WHEN event_id % 40 = 0 THEN CASE (event_id // 40) % 3 WHEN 0 THEN '#fields' || chr(9) || 'who' || chr(9) || 'kind' || chr(9) || 'sum' WHEN 1 THEN '#fields' || chr(9) || 'kind' || chr(9) || 'who' ELSE '#unset_field' || chr(9) || 'view' END
+ ELSE event_type || chr(9) || user_id || chr(9) || floor(value)::BIGINT END AS line, 's' || (event_id % 7) AS source FROM events"""
+
+
+@query(
+    f"""WITH l AS ({_TABBED}), h AS (SELECT *, last_value(CASE WHEN line LIKE '#fields%' THEN line END IGNORE NULLS) OVER w AS header, coalesce(last_value(CASE WHEN line LIKE '#unset%' THEN split_part(line, chr(9), 2) END IGNORE NULLS) OVER w, '-') AS unset FROM l WINDOW w AS (PARTITION BY source ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+ c AS (SELECT *, CASE WHEN line LIKE '#%' THEN NULL WHEN header IS NULL THEN NULL ELSE list_position(string_split(header, chr(9))[2:], 'who') END AS who, CASE WHEN line LIKE '#%' THEN NULL WHEN header IS NULL THEN NULL ELSE list_position(string_split(header, chr(9))[2:], 'kind') END AS kind, string_split(line, chr(9)) AS cells FROM h)
+ SELECT event_id, line LIKE '#%' AS control, nullif(cells[who], unset) AS who, nullif(cells[kind], unset) AS kind, CASE WHEN NOT line LIKE '#%' AND len(string_split(header, chr(9))) = 3 THEN nullif(cells[3], unset) END AS extra FROM c"""
+)
+def headed_lines(spark, sf_dir):
+    """Tab-separated lines of seven sources, read by the header that holds for each; control lines stay."""
+    e = events(spark, sf_dir)
+    n, tab = F.col("event_id"), lambda *c: F.concat_ws("\t", *c)
+    header = F.when(F.floor(n / 40) % 3 == 0, tab(*map(F.lit, ("#fields", "who", "kind", "sum")))).when(F.floor(n / 40) % 3 == 1, tab(*map(F.lit, ("#fields", "kind", "who")))).otherwise(tab(F.lit("#unset_field"), F.lit("view")))
+    line = F.when(n % 40 == 0, header).otherwise(tab(F.col("event_type"), F.col("user_id").cast("string"), F.floor("value").cast("string")))
+    lines = e.select("event_id", line.alias("line"), F.concat(F.lit("s"), (n % 7).cast("string")).alias("source"))
+    made = headers.with_header(lines, "source", "event_id").withColumn("f", extract.tsv_with_header(F.col("line"), F.col("header")))
+    shown = lambda name: F.when(F.col("header.fields").isNotNull(), F.col("f")[name])
+    return made.select("event_id", "control", shown("who").alias("who"), shown("kind").alias("kind"), shown("_extra").alias("extra"))

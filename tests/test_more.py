@@ -214,3 +214,38 @@ def test_vendor_lines_split_over_the_cores(spark):
 
     if os.path.isdir("/root/testdata/sf0.001"):
         assert lake_queries.vendor_lines(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+# ---------------------------------------------------------------- medians and findings
+
+
+def test_medians_of_odd_columns(spark):
+    import statistics
+
+    rng = np.random.default_rng(5)
+    made = [(float(rng.normal()), float(rng.integers(0, 3)), None, 7.0 if i % 3 else float(i), None if i % 2 else float(i)) for i in range(5001)]
+    columns = list("abcde")
+    for n in (0, 1, 2, 3, 10, 5000, 5001):
+        df = spark.createDataFrame(made[:n], "a double, b double, c double, d double, e double").repartition(3)
+        got = {r.name: r.median for r in stats.medians(df, columns).collect()}
+        for k, c in enumerate(columns):
+            held = [r[k] for r in made[:n] if r[k] is not None]
+            assert got[c] == (statistics.median(held) if held else None)
+
+
+def test_findings_show_what_is_usual(spark):
+    calm = [(m * 60_000 + s, f"10.0.0.{s}", f"d{m % 3}", 443, 4001, 1, 10 * s, "a", f"{m}-{s}", "{}") for m in range(40) for s in range(3)]
+    scan = [(20 * 60_000 + i, "10.0.0.99", f"d{i}", i, 4001, 2, 0, "a", f"x{i}", "{}") for i in range(500)]
+    gold = spark.createDataFrame(calm + scan, "t long, src_ip string, dst_ip string, dst_port int, class_uid int, action_id int, bytes_out long, source_id string, raw_ref string, event string").withColumn("time", F.timestamp_millis("t"))
+    found = features.analyze(gold).collect()
+    assert [r.src_ip for r in found] == ["10.0.0.99"]
+    assert found[0].baselines == {"conn_count": 1.0, "uniq_dst_ip": 1.0, "uniq_dst_port": 1.0, "deny_ratio": 0.0, "bytes_out_sum": 10.0, "auth_fail_count": 0.0, "uniq_sources": 1.0}
+    known = spark.createDataFrame([(found[0].event_id,)], "event_id string")
+    assert features.analyze(gold, known).count() == 0 and features.analyze(gold.limit(5)).count() == 0
+
+
+def test_long_documents_are_read_whole(spark):
+    long = "x" * 200_000
+    df = spark.createDataFrame([('{"a": "' + long + '", "b": 1}', f"<E><A>{long}</A><B>1</B></E>")], "j string, x string")
+    row = df.select(extract.json_fields(F.col("j")).alias("j"), extract.xml(F.col("x")).alias("x")).first()
+    assert row.j == {"a": long, "b": "1"} and row.x == {"A": long, "B": "1"}
