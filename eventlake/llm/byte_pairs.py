@@ -25,6 +25,8 @@ from .common import buffers, id_back, id_key, mix, ragged, table
 
 #: Cells of one padded matrix, and pieces of one text that are held as strings at a time.
 CELLS, PIECES = 1 << 18, 1 << 18
+#: Pieces whose ids a process remembers, some 200 bytes each.
+MEMO = 1 << 16
 #: Bytes of a piece from which a round over its whole row for each merge would cost too much.
 LONG = 256
 # Letters and numbers of Unicode versions after 16, which the module ``regex`` knows and the tiktoken library
@@ -108,15 +110,19 @@ class Vocabulary:
             self._pairs = dict(zip(self.keys[held].tolist(), self.values[held].tolist(), strict=True))
         return self._pairs.get(left << 32 | right, int(_NONE))
 
-    def whole(self) -> dict[bytes, int]:
-        """Rank by token. Made once in a process; it isn't part of what is sent to tasks."""
-        if "_whole" not in self.__dict__:
-            data, ends = self.data.tobytes(), self.first.tolist()
-            self._whole = {data[a:b]: rank for rank, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a}
-        return self._whole
+    def encoded(self) -> dict[bytes, np.ndarray]:
+        """The ids of pieces: of all tokens, and of the first pieces that this process has met beside them.
+
+        Made anew in each process; it isn't part of what is sent to tasks, and it stops growing at ``most_encoded``.
+        """
+        if "_encoded" not in self.__dict__:
+            data, ends, ranks = self.data.tobytes(), self.first.tolist(), np.arange(len(self.first) - 1, dtype=np.int32)
+            self._encoded = {data[a:b]: ranks[i : i + 1] for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a}
+            self.most_encoded = len(self._encoded) + MEMO
+        return self._encoded
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_whole", "_pairs")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_encoded", "_pairs", "most_encoded")}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -191,17 +197,15 @@ def _merge_long(piece: bytes, vocabulary: Vocabulary) -> np.ndarray:
 
 def encode_pieces(pieces: list[bytes], vocabulary: Vocabulary) -> list[np.ndarray]:
     """The ids of each piece of at least one byte, merged by itself."""
-    known = vocabulary.whole()
-    out: list = [None] * len(pieces)
+    known = vocabulary.encoded()
+    out: list = [known.get(piece) for piece in pieces]
     rest: dict[int, list[int]] = {}
     for i, piece in enumerate(pieces):
-        rank = known.get(piece)
-        if rank is not None:
-            out[i] = np.array([rank], np.int32)
-        elif len(piece) > LONG:
-            out[i] = _merge_long(piece, vocabulary)
-        else:
-            rest.setdefault(len(piece).bit_length(), []).append(i)
+        if out[i] is None:
+            if len(piece) > LONG:
+                out[i] = _merge_long(piece, vocabulary)
+            else:
+                rest.setdefault(len(piece).bit_length(), []).append(i)
     for bits, members in rest.items():
         step = max(1, CELLS >> bits)
         for at in range(0, len(members), step):
@@ -213,6 +217,8 @@ def encode_pieces(pieces: list[bytes], vocabulary: Vocabulary) -> list[np.ndarra
             ids[r, c] = vocabulary.bytes[np.frombuffer(b"".join([pieces[i] for i in mine]), np.uint8)]
             for i, found in zip(mine, _merge(ids, length, vocabulary), strict=True):
                 out[i] = found
+                if len(known) < vocabulary.most_encoded:
+                    known[pieces[i]] = found
     return out
 
 
@@ -228,7 +234,12 @@ def _gather(number: np.ndarray, encoded: list[np.ndarray]) -> tuple[np.ndarray,
 
 def split(text: str, pattern) -> Iterator[str]:
     """The matches of ``pattern``, by the classes of Unicode 16."""
-    if not text.isascii() and _NEWER.search(text):
+    try:
+        text.encode("latin-1")  # the quickest way to see that there are none
+        newer = False
+    except UnicodeEncodeError:
+        newer = _NEWER.search(text) is not None
+    if newer:
         return (text[m.start() : m.end()] for m in pattern.finditer(_NEWER.sub("\u0378", text)))  # an unassigned one
     return (m[0] for m in pattern.finditer(text)) if len(text) > PIECES else iter(pattern.findall(text))
 
@@ -296,7 +307,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     def run(batches):
         vocabulary, split = shared.value, regex.compile(pattern)
         for batch in batches:
-            for part in _parts(batch, np.diff(buffers(batch.column(1))[1]), 1 << 21):
+            for part in _parts(batch, np.diff(buffers(batch.column(1))[1]), 1 << 20):
                 ids, count = encode_texts([t or "" for t in part.column(1).to_pylist()], vocabulary, split)
                 yield pa.record_batch([part.column(0), ragged(ids, np.concatenate([[0], np.cumsum(count)]), pa.int32())], ["__d", "ids"])
 
