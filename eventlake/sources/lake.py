@@ -23,6 +23,13 @@ def write(gold: DataFrame, path: str, mode: str = "append") -> None:
     partitioned(gold).hint("rebalance", *parts).write.partitionBy(*parts).option("compression", "zstd").mode(mode).parquet(path)
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths of files and folders that meet a pattern of names; nothing is opened."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    store = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().toString() for s in store.globStatus(found) or []]
+
+
 def drop_batch(spark: SparkSession, path: str, batch_id: int) -> None:
     """Removes the folders of one batch from a lake that a stream writes; names of folders are all that is read."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
