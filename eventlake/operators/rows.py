@@ -23,6 +23,13 @@ def newest_by_key(df: DataFrame, key: str, time: str, tie: str) -> DataFrame:
     return best.select(key, *[F.col(f"__row.{c}").alias(c) for c in other])
 
 
+def earliest_by_key(df: DataFrame, key: str, place: Column) -> DataFrame:
+    """The row of each key with the smallest ``place``, by a partial aggregate like :func:`newest_by_key`; rows without a key all stay."""
+    other = [c for c in df.columns if c != key]
+    best = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*other), place).alias("__row"))
+    return best.select(key, *[F.col(f"__row.{c}").alias(c) for c in other]).select(df.columns).unionByName(df.filter(F.col(key).isNull()))
+
+
 def compact(parts: list[DataFrame], key: str, order: list[Column]) -> DataFrame:
     """Several files' rows as one set: columns missing in some are null, and a key that was written twice stays once."""
     whole = parts[0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,9 +66,16 @@ def recent_files(spark: SparkSession, path: str, most: int = 200) -> DataFrame:
     return files.orderBy(F.col("changed").desc(), "file").limit(most)
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """Rows of a scan with ``__place``, their file and their number in it."""
+    return df.withColumn("__place", F.struct("_metadata.file_path", "_metadata.row_index"))
+
+
 def compacted(df: DataFrame, key: str = "event_id") -> DataFrame:
-    """The rows of some partitions, each event once (its first file wins), newest first within each file."""
-    first = rows.first_by_key(df.withColumn("__file", F.col("_metadata.file_path")), key, [F.col("__file").asc()]).drop("__file")
+    """The rows of some partitions' files, each event once (its first row in the first file by name wins), newest first
+    within each file; rows without id all stay. Hours keep their two digits, which a scan reads as a number."""
+    first = rows.earliest_by_key(df if "__place" in df.columns else placed(df), key, F.col("__place")).drop("__place")
+    first = first.withColumn("hour", F.lpad(F.col("hour").cast("string"), 2, "0"))
     return first.hint("rebalance", "class_uid", "dt", "hour").sortWithinPartitions("class_uid", "dt", "hour", F.col("time").desc_nulls_last())
 
 
@@ -76,6 +85,82 @@ def compact(spark: SparkSession, path: str, to: str, where: Column | None = None
     compacted(df if where is None else df.filter(where)).write.partitionBy("class_uid", "dt", "hour").mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").parquet(to)
 
 
+#: Hours that one pass of :func:`compact_settled` takes; passes go on until no hour is left.
+HOURS_A_PASS = 500
+#: Names of files that a compaction made begin with this.
+_MERGED = "merged-"
+_HOUR, _BELOW = r"^(.*/class_uid=[^/]*/dt=[^/]*/hour=[^/]*)/", r"(class_uid=[^/]*/dt=[^/]*/hour=[^/]*/.*)$"
+
+
+def settled_files(spark: SparkSession, path: str, least: int = 4, settle_ms: int = 30_000, now_ms: int | None = None) -> DataFrame:
+    """(hour, file, bytes) of the files that a compaction takes: those not changed for ``settle_ms``, of hours with ``least`` or
+    more such files, where all that earlier compactions made of an hour counts as one (a large hour is several files, and
+    would else be written again each time). ``hour`` is a partition's folder and ``file`` a path below the lake. Only names,
+    times and sizes are read."""
+    now = int(time.time() * 1000) if now_ms is None else now_ms
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")
+    files = listed.filter(F.unix_millis("modificationTime") <= now - settle_ms).select(F.regexp_extract("path", _HOUR, 1).alias("hour"), F.regexp_extract("path", _BELOW, 1).alias("file"), F.col("length").alias("bytes")).filter("hour <> ''")
+    merged = F.element_at(F.split("file", "/"), -1).startswith(_MERGED)
+    many = files.groupBy("hour").agg((F.count_if(~merged) + F.max(merged.cast("int"))).alias("__n")).filter(F.col("__n") >= least).select("hour")
+    return files.join(many, "hour", "left_semi")
+
+
+def compact_settled(spark: SparkSession, path: str, least: int = 4, settle_ms: int = 30_000, now_ms: int | None = None) -> int:
+    """Merges the settled files of every hour that has ``least`` of them or more, in place, and returns how many it replaced.
+
+    Other hours, and files still fresh, are neither read nor touched. Works on lakes that :func:`write` made and on those of
+    a stream, whose merged rows lie in ``batch_id=-1``: no batch that is settled for so long is replayed. Of an event that was
+    written twice the first row stays; rows without id all stay.
+
+    Merged rows are written whole beside the lake (``_compaction``, which scans pass over), with the list of the files that
+    they replace. Then they are moved in and those files removed. A run that was broken off is finished by the next one, or,
+    if its rows weren't whole yet, forgotten; so nothing is lost, and nothing stays twice. Between the two steps a reader may
+    see an event twice, as after any redelivery. One compaction at a time may work on a lake.
+    """
+    replaced, now_ms = _finish(spark, path), int(time.time() * 1000) if now_ms is None else now_ms
+    work = f"{path}/_compaction"
+    while True:
+        hours = [r.hour for r in settled_files(spark, path, least, settle_ms, now_ms).select("hour").distinct().orderBy("hour").limit(HOURS_A_PASS).collect()]
+        if not hours:
+            return replaced
+        chosen = settled_files(spark, path, least, settle_ms, now_ms).filter(F.col("hour").isin(hours))
+        chosen.write.mode("overwrite").parquet(f"{work}/files")
+        files = spark.read.parquet(f"{work}/files")
+        df = spark.read.option("basePath", path).option("mergeSchema", "true").parquet(*hours)
+        # A row's place is noted before the join, behind which there is no metadata.
+        own = placed(df).withColumn("__file", F.regexp_extract("__place.file_path", _BELOW, 1)).join(files.select(F.col("file").alias("__file")), "__file", "left_semi").drop("__file")
+        parts = ["class_uid", "dt", "hour"]
+        merged = compacted(own)
+        if "batch_id" in df.columns:
+            merged, parts = merged.withColumn("batch_id", F.lit(-1)), [*parts, "batch_id"]
+        merged.write.partitionBy(*parts).mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd").parquet(f"{work}/rows")
+        replaced += _finish(spark, path)
+
+
+def _finish(spark: SparkSession, path: str) -> int:
+    """Moves a compaction's rows into the lake and removes the files they stand for; drops what isn't whole."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    work = hadoop.Path(f"{path}/_compaction")
+    store = work.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(work):
+        return 0
+    gone = 0
+    if all(store.exists(hadoop.Path(f"{path}/_compaction/{x}/_SUCCESS")) for x in ("files", "rows")):
+        for found in matching(spark, f"{path}/_compaction/rows/class_uid=*/dt=*/hour=*/*") + matching(spark, f"{path}/_compaction/rows/class_uid=*/dt=*/hour=*/batch_id=*/*"):
+            if found.endswith(".parquet"):
+                folder, name = found.split("/_compaction/rows/", 1)[1].rsplit("/", 1)
+                to = hadoop.Path(f"{path}/{folder}/{_MERGED}{name}")
+                store.mkdirs(to.getParent())
+                if not store.rename(hadoop.Path(found), to):
+                    raise OSError(f"{found} can't be moved to {to}")
+        for row in spark.read.parquet(f"{path}/_compaction/files").select("file").toLocalIterator():
+            gone += bool(store.delete(hadoop.Path(f"{path}/{row.file}"), False))
+    # Without its rows a run counts as broken off, so they go first.
+    store.delete(hadoop.Path(f"{path}/_compaction/rows"), True)
+    store.delete(work, True)
+    return gone
+
+
 def export(df: DataFrame, path: str, fmt: str, most: int = 1_000_000) -> None:
     """The newest rows as csv (nulls are empty cells), json or parquet."""
     out = df.orderBy(F.col("time").desc_nulls_last(), F.col("event_id").desc_nulls_last()).limit(most)

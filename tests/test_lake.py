@@ -49,6 +49,8 @@ def test_written_and_pruned(spark, tmp_path):
     lake.write(gold(spark, LINE), str(tmp_path / "lake"))
     lake.compact(spark, str(tmp_path / "lake"), str(tmp_path / "compacted"))
     assert spark.read.parquet(str(tmp_path / "compacted")).count() == 2
+    hours = [{p.name for p in (tmp_path / x).glob("class_uid=*/dt=*/hour=*")} for x in ("lake", "compacted")]
+    assert hours[0] == hours[1]
     lake.export(spark.read.parquet(str(tmp_path / "compacted")), str(tmp_path / "out"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 2
 
