@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import accuracy as scores
-from ..operators import explain, extract, inference, integrity, mining, normalize, reads, rows, spans, stats, validate
+from ..operators import explain, extract, inference, integrity, mining, normalize, reads, rows, spans, stats, structure, validate
 from ..operators.filters import Term, search
-from ..session import cut, spread
+from ..session import cut, scratch, spread
 from ..sources import lake, vendors
-from ..streaming import headers
+from ..streaming import headers, rate
 from .catalog import IP, STATUS, _with_ip, events, query
 
 _CLASS = "CASE event_type WHEN 'signup' THEN 3002 WHEN 'error' THEN 2004 ELSE 4001 END"
@@ -450,3 +450,89 @@ def headed_lines(spark, sf_dir):
     made = headers.with_header(lines, "source", "event_id").withColumn("f", extract.tsv_with_header(F.col("line"), F.col("header")))
     shown = lambda name: F.when(F.col("header.fields").isNotNull(), F.col("f")[name])
     return made.select("event_id", "control", shown("who").alias("who"), shown("kind").alias("kind"), shown("_extra").alias("extra"))
+
+
+@query(
+    """WITH l AS (SELECT event_id, CASE WHEN event_id % 20 = 0 THEN ', NAT <IP>:<NUM>' WHEN event_id % 20 = 1 THEN ', <WORD> <IP>' ELSE '' END AS clause FROM events)
+ SELECT 'fw <WORD> in:<WORD>, proto <WORD>, <IP>:<NUM>-><IP>:<NUM>' || clause || ' len <NUM>' AS skeleton, count(*) AS n, round(count(*) / (SELECT count(*) FROM events), 6)::DOUBLE AS share, min(event_id) AS first_key FROM l GROUP BY clause"""
+)
+def structure_groups(spark, sf_dir):
+    """Shapes of a firewall's lines: words all share are structure, so is the keyword of a rare clause; two that take turns are not."""
+    n, text = F.col("event_id"), lambda c: c.cast("string")
+    clause = F.when(n % 20 == 0, ", NAT 10.0.0.1:7").when(n % 40 == 1, ", VIA 10.0.0.2").when(n % 20 == 1, ", MAP 10.0.0.2").otherwise("")
+    line = F.concat(F.lit("fw "), "event_type", F.lit(" in:eth"), text(F.col("user_id") % 3), F.lit(", proto "), F.when(n % 3 == 0, "TCP").otherwise("UDP"), F.lit(", 10.0.0."), text(n % 250), F.lit(":80->192.0.2.1:"), text(n % 1000), clause, F.lit(" len "), text(n % 1400))
+    found = structure.groups(events(spark, sf_dir).select("event_id", line.alias("line")), "line", "event_id")
+    return found.select("skeleton", "n", F.round("share", 6).alias("share"), "first_key")
+
+
+_DAY = 86_400_000
+
+
+@query(
+    f"""WITH RECURSIVE d AS (SELECT event_type, (epoch_us(ts) // 1000) // {_DAY} * {_DAY} AS "at", count(*) AS n, row_number() OVER (PARTITION BY event_type ORDER BY "at") AS i FROM events GROUP BY 1, 2),
+ b AS (SELECT event_type, "at", n, i, least(n, 30) AS taken, (30 - least(n, 30)) * {_DAY}::BIGINT AS held FROM d WHERE i = 1
+ UNION ALL SELECT d.event_type, d."at", d.n, d.i, least(d.n, least(30 * {_DAY}::BIGINT, b.held + (d."at" - b."at") * 20) // {_DAY}), least(30 * {_DAY}::BIGINT, b.held + (d."at" - b."at") * 20) - least(d.n, least(30 * {_DAY}::BIGINT, b.held + (d."at" - b."at") * 20) // {_DAY}) * {_DAY} FROM b JOIN d ON d.event_type = b.event_type AND d.i = b.i + 1),
+ p AS (SELECT event_type, "at", unnest(range(taken)) * n // taken AS r FROM b WHERE taken > 0),
+ e AS (SELECT *, row_number() OVER (PARTITION BY event_type, "at" ORDER BY event_id) - 1 AS r FROM (SELECT event_id, event_type, (epoch_us(ts) // 1000) // {_DAY} * {_DAY} AS "at" FROM events))
+ SELECT e.event_id, e.event_type, e."at" FROM e JOIN p USING (event_type, "at", r)"""
+)
+def rate_capped(spark, sf_dir):
+    """Each type's events, twenty a day by a bucket that holds thirty, at equal distances where a day has more."""
+    e = events(spark, sf_dir).select("event_id", "event_type", F.expr(f"unix_millis(ts) div {_DAY} * {_DAY}").alias("at"))
+    counts = e.groupBy("event_type", "at").agg(F.count("*").alias("n"))
+    return rate.let_through(e, ["event_type", "at"], [F.col("event_id")], rate.allowed_over(counts, "event_type", rate.Cap(20, _DAY, 30)))
+
+
+@query(f"SELECT class_uid, CASE WHEN class_uid = 3002 THEN count(*) ELSE count(DISTINCT eid) END AS n, count(DISTINCT eid) AS events FROM {_GOLD} GROUP BY 1")
+def incremental_compaction(spark, sf_dir):
+    """A lake written in five pieces is compacted in place, so each event stays once; what was written since is left as it is."""
+    gold = lake_of_events(spark, sf_dir).withColumn("time", F.timestamp_millis(F.lit(1_704_067_200_000)))
+    with scratch(spark, "lake") as path:
+        for k in range(5):
+            lake.write(gold.filter((F.col("class_uid") != 3002) & (F.pmod(F.crc32("raw_ref"), F.lit(5)) == k)), path)
+        last = lake.recent_files(spark, path, 1).select(F.unix_millis("changed")).first()
+        lake.write(gold.filter("class_uid = 3002"), path)
+        if last is not None:
+            lake.compact_settled(spark, path, settle_ms=0, now_ms=last[0])
+        found = spark.read.schema(lake.partitioned(gold).schema).parquet(path)
+        return cut(found.groupBy("class_uid").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("events")))
+
+
+#: What is put in place of a right value, and the rules that it breaks, by event_id modulo their number.
+_BREAKS = [
+    (None, ""), ("class_uid", "class_uid"), ("category_uid", "category_uid"), ("activity_id", "activity_id"), ("type_uid", "type_uid"), ("time", "time"), ("lineage", "lineage,lineage.status"), ("status", "lineage.status"),
+    ("title", "finding_info.title"), ("action_id", "action_id"), ("severity_id", "severity_id"), ("ip", "src_endpoint.ip"), ("port", "dst_endpoint.port"), ("quoted", "category_uid"),
+]
+
+
+@query("SELECT event_id, " + "CASE event_id % " + str(len(_BREAKS)) + "".join(f" WHEN {i} THEN '{v}'" for i, (_, v) in enumerate(_BREAKS)) + " END AS violations FROM events")
+def broken_events(spark, sf_dir):
+    """Event documents of which each breaks one rule of the schema, or none; a rule says which by its path."""
+    n = F.col("event_id")
+    case = lambda what: n % len(_BREAKS) == [b for b, _ in _BREAKS].index(what)
+    finding = case("title")
+    num = lambda right, what, wrong: F.when(case(what), wrong).otherwise(right)
+    cls = F.when(finding, 2004).otherwise(4001)
+    category = F.when(case("quoted"), F.lit('"4"')).otherwise(num(F.when(finding, 2).otherwise(4), "category_uid", 3).cast("string"))
+    lineage = F.when(case("lineage"), F.lit("")).otherwise(F.concat(F.lit(',"lineage":{"status":"'), F.when(case("status"), "broken").otherwise("parsed"), F.lit('"}')))
+    parts = [
+        F.lit('{"class_uid":'), num(cls, "class_uid", 7).cast("string"), F.lit(',"category_uid":'), category, F.lit(',"activity_id":'), num(F.when(finding, 1).otherwise(6), "activity_id", 44).cast("string"),
+        F.lit(',"type_uid":'), num(cls * 100 + F.when(finding, 1).otherwise(6), "type_uid", 400107).cast("string"), F.lit(',"time":'), F.when(case("time"), F.lit('"noon"')).otherwise(F.unix_millis("ts").cast("string")),
+        F.lit(',"action_id":'), num(F.lit(1), "action_id", 17).cast("string"), F.lit(',"severity_id":'), num(F.lit(4), "severity_id", 8).cast("string"), F.lit(',"src_endpoint":{"ip":"'), F.when(case("ip"), F.lit("10.0.0.256")).otherwise(F.lit("10.0.0.7")),
+        F.lit('"},"dst_endpoint":{"port":'), num((n % 65536).cast("int"), "port", 65536).cast("string"), F.lit("}"), lineage, F.lit("}"),
+    ]
+    return events(spark, sf_dir).select("event_id", F.array_join(validate.violations(validate.event_rules(F.concat(*parts))), ",").alias("violations"))
+
+
+@query(
+    f"""WITH w AS (SELECT event_id || ':0' AS event_id, {IP} AS ip, 1 + event_id % 1000 AS port FROM events), c AS (SELECT source_id, coalesce(src_ip = ip, false)::INT + coalesce(dst_port = port, false)::INT AS tp, (src_ip IS NOT NULL)::INT + (dst_port IS NOT NULL)::INT AS made FROM ({VENDOR_ROWS}) JOIN w USING (event_id)),
+ s AS (SELECT source_id, sum(tp) / nullif(sum(made), 0) AS p, sum(tp) / (2 * count(*)) AS r, count(*) AS lines, count(*) FILTER (WHERE tp = 2 AND made = 2) AS perfect FROM c GROUP BY 1)
+ SELECT source_id AS part, round(coalesce(p, 1), 6)::DOUBLE AS precision, round(r, 6)::DOUBLE AS recall, round(coalesce(2 * coalesce(p, 1) * r / nullif(coalesce(p, 1) + r, 0), 0), 6)::DOUBLE AS f1, lines, perfect AS perfect_lines FROM s"""
+)
+def vendor_truth(spark, sf_dir):
+    """Sources' events against the events that their lines were made from: the address and the port that each line was given."""
+    truth = _with_ip(spark, sf_dir).select(F.concat(F.col("event_id").cast("string"), F.lit(":0")).alias("__id"), F.create_map(F.lit("src_endpoint.ip"), F.concat(F.lit('"'), "src_ip", F.lit('"')), F.lit("dst_endpoint.port"), (1 + F.col("event_id") % 1000).cast("string")).alias("want"))
+    gold = vendor_gold(spark, sf_dir).select("event_id", "source_id", "event")
+    got = F.map_filter(scores.comparable(scores.leaves(F.col("event"))), lambda k, v: k.isin("src_endpoint.ip", "dst_endpoint.port"))
+    pairs = gold.join(truth, gold["event_id"] == truth["__id"]).select("source_id", "want", got.alias("got"))
+    return scores.accuracy(pairs, "source_id", "want", "got").filter("part <> 'ALL'")
