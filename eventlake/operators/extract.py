@@ -105,17 +105,21 @@ def csv(line: Column, columns: list[str], sep: str = ",", branch: dict | None =
     line = cut(line)
     layouts = list(_layouts(columns, branch, []))
     width = max(len(c) for c, _ in layouts) + 32
-    cells = F.from_csv(line, ", ".join(f"c{i} string" for i in range(width)), {"sep": sep, "mode": "PERMISSIVE"})
-    out = F.lit(None).cast(_MAP)
-    for names, held in reversed(layouts):
-        extra = F.concat_ws(sep, *[cells[f"c{i}"] for i in range(len(names), width)])
-        values = F.array(*[cells[f"c{i}"] for i in range(len(names))], F.nullif(extra, F.lit("")))
-        named = F.map_from_arrays(F.array(*[F.lit(c) for c in [*names, "_extra"]]), values)
-        fits = F.lit(True)
-        for at, value in held:
-            fits = fits & (F.lower(cells[f"c{at}"]) == value.lower())
-        out = F.when(fits, named).otherwise(out)
-    return F.when(line.contains(sep) & ~line.contains("\r"), F.map_filter(out, lambda k, v: v.isNotNull() & (v != "")))
+    parsed = F.from_csv(line, ", ".join(f"c{i} string" for i in range(width)), {"sep": sep, "mode": "PERMISSIVE"})
+
+    def named(cells: Column) -> Column:
+        out = F.lit(None).cast(_MAP)
+        for names, held in reversed(layouts):
+            extra = F.concat_ws(sep, *[cells[f"c{i}"] for i in range(len(names), width)])
+            values = F.array(*[cells[f"c{i}"] for i in range(len(names))], F.nullif(extra, F.lit("")))
+            fits = F.lit(True)
+            for at, value in held:
+                fits = fits & (F.lower(cells[f"c{at}"]) == value.lower())
+            out = F.when(fits, F.map_from_arrays(F.array(*[F.lit(c) for c in [*names, "_extra"]]), values)).otherwise(out)
+        return out
+
+    # Bound, as the optimiser would make a parser of each cell that is named: hundreds, with a buffer of 2 MB each.
+    return F.when(line.contains(sep) & ~line.contains("\r"), F.map_filter(bound(parsed, named), lambda k, v: v.isNotNull() & (v != "")))
 
 
 # Names of the header fields of the two formats.

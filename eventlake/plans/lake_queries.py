@@ -532,7 +532,7 @@ def broken_events(spark, sf_dir):
 def vendor_truth(spark, sf_dir):
     """Sources' events against the events that their lines were made from: the address and the port that each line was given."""
     truth = _with_ip(spark, sf_dir).select(F.concat(F.col("event_id").cast("string"), F.lit(":0")).alias("__id"), F.create_map(F.lit("src_endpoint.ip"), F.concat(F.lit('"'), "src_ip", F.lit('"')), F.lit("dst_endpoint.port"), (1 + F.col("event_id") % 1000).cast("string")).alias("want"))
-    gold = vendor_gold(spark, sf_dir).select("event_id", "source_id", "event")
+    gold = cut(vendor_gold(spark, sf_dir).select("event_id", "source_id", "event"))
     got = F.map_filter(scores.comparable(scores.leaves(F.col("event"))), lambda k, v: k.isin("src_endpoint.ip", "dst_endpoint.port"))
     pairs = gold.join(truth, gold["event_id"] == truth["__id"]).select("source_id", "want", got.alias("got"))
     return scores.accuracy(pairs, "source_id", "want", "got").filter("part <> 'ALL'")
