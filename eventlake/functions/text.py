@@ -34,6 +34,22 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def bound(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once, however often ``then`` names it: an array of one binds it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def matched(line: Column, java: str, groups: int) -> Column:
+    """The text before the first match of a Java pattern and then its groups, as an array; null without a match.
+
+    One pass for all groups: they are put between marks and split. Text that holds the mark is searched group by group.
+    """
+    mark = "\x00"
+    marked = F.regexp_replace(line, F.lit(java), F.lit(mark + mark.join(f"${i}" for i in range(1, groups + 1)) + mark))
+    apart = F.when(line.rlike(java), F.array(F.lit(""), *[F.regexp_extract(line, java, i) for i in range(1, groups + 1)]))
+    return F.when(line.contains(mark), apart).otherwise(bound(F.split(marked, mark, -1), lambda found: F.when(F.size(found) > 1, found)))
+
+
 def like_pattern(wildcard: str) -> str:
     """A LIKE pattern (escape character backslash) in which only ``*`` is a wildcard."""
     return re.sub(r"([\\%_])", r"\\\1", wildcard).replace("*", "%")

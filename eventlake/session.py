@@ -57,10 +57,14 @@ def scratch(spark: SparkSession, name: str) -> Iterator[str]:
         gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt to at least as many partitions as there are cores, before costly work on each of its rows.
+def spread(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """``df`` dealt to at least as many partitions as there are cores, and at most ``most`` rows or so to each, before costly
+    work on each of its rows.
 
-    A table of many files is in more pieces than that and is returned as it is; only small inputs are shuffled.
+    What the scan makes of a table's files is no guide: a piece of a file holds as many rows as its largest row group, or none.
+    A table that is in small enough pieces is returned as it is, but for one of few files, whose pieces may be empty.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    wanted = max(cores, -(-df.count() // most))
+    files = len(df.inputFiles())
+    return df if files >= wanted else df.repartition(wanted)

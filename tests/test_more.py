@@ -249,3 +249,10 @@ def test_long_documents_are_read_whole(spark):
     df = spark.createDataFrame([('{"a": "' + long + '", "b": 1}', f"<E><A>{long}</A><B>1</B></E>")], "j string, x string")
     row = df.select(extract.json_fields(F.col("j")).alias("j"), extract.xml(F.col("x")).alias("x")).first()
     assert row.j == {"a": long, "b": "1"} and row.x == {"A": long, "B": "1"}
+
+
+def test_rules_read_a_document_once(spark):
+    plan = spark.range(1).select(F.lit("{}").alias("v"), "id").select(validate.event_violations(F.concat("v", F.col("id").cast("string"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") == 1 and "get_json_object" not in plan
+    for said, broken in (('{"class_uid":"4001"}', ["class_uid"]), ("[]", ["class_uid"]), ("no json", ["class_uid"])):
+        assert one(spark, validate.event_violations(F.col("v")), said) == broken
