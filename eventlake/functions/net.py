@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import bound
+
 _OCTET = r"(?:0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 
@@ -48,7 +50,7 @@ def ip(value: Column, v6: bool = True) -> Column:
 def port(value: Column) -> Column:
     """A whole number from 0 to 65535, else null. Text is no number, whatever it says: it goes through ``int`` first."""
     whole = F.typeof(value).isin("tinyint", "smallint", "int", "bigint")
-    return F.when(whole & value.try_cast("long").between(0, 65535), value.try_cast("int"))
+    return F.when(whole, bound(value.try_cast("int"), lambda number: F.when(number.between(0, 65535), number)))
 
 
 def mac(value: Column) -> Column:

@@ -18,8 +18,7 @@ from . import net, text, time
 
 def to_int(value: Column) -> Column:
     """Whole numbers in base 10; a fraction as text is no number."""
-    trimmed = text.strip(value.cast("string"))
-    return F.when(trimmed.rlike(r"^[+-]?[0-9]+$"), trimmed.try_cast("long"))
+    return F.regexp_extract(value.cast("string"), r"(?U)\A\s*([+-]?[0-9]+)\s*\z", 1).try_cast("long")
 
 
 def lookup(value: Column, table: dict, default=None) -> Column:

@@ -8,6 +8,8 @@ import zoneinfo
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound, matched
+
 _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 ISO = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d{1,9})?(?:Z|[+-]\d{2}:?\d{2})?$"
 
@@ -72,20 +74,25 @@ def strptime(text: Column, fmt: str, zone: str | Column = "UTC") -> Column:
             pattern += re.escape(fmt[at])
             at += 1
     pattern = f"^{pattern}$"
-    part = {d: F.regexp_extract(text, pattern, i + 1) for i, d in enumerate(order)}
-    number = {d: c.try_cast("int") for d, c in part.items() if d != "b"}
-    year = number.get("Y", F.when(number["y"] < 69, number["y"] + 2000).otherwise(number["y"] + 1900) if "y" in number else F.lit(1900))
-    month = number.get("m", F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.lower(part["b"])).cast("int") if "b" in part else F.lit(1))
-    second = number.get("S", F.lit(0))
-    made = F.try_make_timestamp(year, month, number.get("d", F.lit(1)), number.get("H", F.lit(0)), number.get("M", F.lit(0)), second, F.lit("UTC"))
-    found = made
-    if not (isinstance(zone, str) and zone == "UTC"):
-        zone = F.lit(zone) if isinstance(zone, str) else zone
-        # One text of all names, as a list of some hundred literals would make every plan large.
-        places = " ".join(["", *sorted(z for z in zoneinfo.available_timezones() if re.fullmatch(r"[A-Z][A-Za-z_]+/[A-Za-z_/+-]+", z)), ""])
+    zoned = not (isinstance(zone, str) and zone == "UTC")
+    zone = F.lit(zone) if isinstance(zone, str) else zone
+    # One text of all names, as a list of some hundred literals would make every plan large.
+    places = " ".join(["", *sorted(z for z in zoneinfo.available_timezones() if re.fullmatch(r"[A-Z][A-Za-z_]+/[A-Za-z_/+-]+", z)), ""])
+
+    def read(found: Column) -> Column:
+        part = {d: found[i + 1] for i, d in enumerate(order)}
+        number = {d: c.try_cast("int") for d, c in part.items() if d != "b"}
+        year = number.get("Y", F.when(number["y"] < 69, number["y"] + 2000).otherwise(number["y"] + 1900) if "y" in number else F.lit(1900))
+        month = number.get("m", F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.lower(part["b"])).cast("int") if "b" in part else F.lit(1))
+        second = number.get("S", F.lit(0))
+        made = F.try_make_timestamp(year, month, number.get("d", F.lit(1)), number.get("H", F.lit(0)), number.get("M", F.lit(0)), second, F.lit("UTC"))
+        return F.when(second < 60, bound(zone, lambda z: elsewhere(made, z)) if zoned else made)
+
+    def elsewhere(made: Column, zone: Column) -> Column:
         named = zone.rlike(r"^(?:UTC|GMT|Z|[+-](?:0\d|1[0-7]):?[0-5]\d)$") | (zone.contains("/") & F.lit(places).contains(F.concat(F.lit(" "), zone, F.lit(" "))))
-        found = F.when(named, F.to_utc_timestamp(made, F.when(named, F.regexp_replace(zone, r"^([+-]\d{2})(\d{2})$", "$1:$2")).otherwise("UTC")))
-    return F.when(text.rlike(pattern) & (second < 60), F.unix_millis(found))
+        return F.when(named, F.to_utc_timestamp(made, F.when(named, F.regexp_replace(zone, r"^([+-]\d{2})(\d{2})$", "$1:$2")).otherwise("UTC")))
+
+    return F.unix_millis(bound(bound(text, lambda said: matched(said, pattern, len(order))), read))
 
 
 def uuid7_millis(event_id: Column) -> Column:

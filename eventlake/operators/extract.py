@@ -8,6 +8,7 @@ characters are cut first, but for JSON and XML, whose documents are read whole,
 from __future__ import annotations
 
 import json
+import re
 import xml.etree.ElementTree as ET
 
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import java_pattern
+from ..functions.text import bound, java_pattern, matched
 
 #: Characters of a line that are read, but for JSON and XML.
 LONGEST = 1 << 16
@@ -42,9 +43,8 @@ def to_map(names: Column, values: Column) -> Column:
     return F.map_filter(bound(F.struct(names.alias("n"), values.alias("v")), mapped), lambda k, v: v.isNotNull())
 
 
-def bound(value: Column, then) -> Column:
-    """``then(value)`` with ``value`` computed once, however often ``then`` names it: an array of one binds it."""
-    return F.transform(F.array(value), then)[0]
+def _after(pair: Column) -> Column:
+    return F.substring(pair, F.instr(pair, "=") + 1, F.lit(LONGEST))
 
 
 def kv(line: Column) -> Column:
@@ -59,7 +59,7 @@ def kv(line: Column) -> Column:
 
     def mapped(pairs: Column) -> Column:
         names = F.transform(pairs, lambda p: F.substring_index(p, "=", 1))
-        raw = F.transform(pairs, lambda p: F.substring(p, F.instr(p, "=") + 1, F.lit(LONGEST)))
+        raw = F.transform(pairs, _after)
         return F.when(F.size(pairs) > 0, to_map(names, F.transform(raw, value)))
 
     return bound(F.regexp_extract_all(cut(line), F.lit(pattern), F.lit(0)), mapped)
@@ -69,19 +69,28 @@ def regex(line: Column, pattern: str, anchored: bool = True) -> Column:
     """The named groups of a Python pattern. A group that took no part, or is empty, is absent."""
     java, names = java_pattern(pattern)
     java = java if not anchored or java.startswith("(?d)^") else java.replace("(?d)", "(?d)^", 1)
-    line = cut(line)
-    found = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.nullif(F.regexp_extract(line, java, i), F.lit("")) for i in names.values()]))
-    return F.when(line.rlike(java), F.map_filter(found, lambda k, v: v.isNotNull()))
+
+    def mapped(found: Column) -> Column:
+        fields = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[found[i] for i in names.values()]))
+        return F.when(found.isNotNull(), F.map_filter(fields, lambda k, v: v != ""))
+
+    return bound(bound(cut(line), lambda text: matched(text, java, re.compile(pattern).groups)), mapped)
 
 
 def dispatch(line: Column, anchor: str, on: str, text: str, patterns: dict[str, str]) -> Column:
     """Fields of ``anchor``, and of the pattern that its field ``on`` selects, applied to its field ``text``."""
-    head = regex(line, anchor)
-    rest = F.lit(None).cast(_MAP)
-    for key, pattern in reversed(list(patterns.items())):
-        rest = F.when(head[on] == key, regex(head[text], pattern)).otherwise(rest)
-    fresh = F.map_filter(F.coalesce(rest, F.create_map().cast(_MAP)), lambda k, v: ~F.map_contains_key(head, k))
-    return F.when(head.isNotNull(), F.map_concat(head, fresh))
+    keys: dict[str, list[str]] = {}
+    for key, pattern in patterns.items():
+        keys.setdefault(pattern, []).append(key)
+
+    def joined(head: Column) -> Column:
+        rest = F.create_map().cast(_MAP)
+        for pattern, own in keys.items():
+            rest = F.when(head[on].isin(*own), F.coalesce(regex(head[text], pattern), F.create_map().cast(_MAP))).otherwise(rest)
+        return F.when(head.isNotNull(), F.map_concat(head, F.map_filter(rest, lambda k, v: ~F.map_contains_key(head, k))))
+
+    # Bound, as each field that is named would match the line anew.
+    return bound(regex(line, anchor), joined)
 
 
 def _layouts(columns: list[str], branch: dict | None, held: list[tuple[int, str]]):
@@ -107,14 +116,19 @@ def csv(line: Column, columns: list[str], sep: str = ",", branch: dict | None =
     width = max(len(c) for c, _ in layouts) + 32
     parsed = F.from_csv(line, ", ".join(f"c{i} string" for i in range(width)), {"sep": sep, "mode": "PERMISSIVE"})
 
+    asked = sorted({at for _, held in layouts for at, _ in held})
+
     def named(cells: Column) -> Column:
+        return bound(F.array(*[F.lower(cells[f"c{at}"]) for at in asked]).cast("array<string>"), lambda low: laid(cells, low))
+
+    def laid(cells: Column, low: Column) -> Column:
         out = F.lit(None).cast(_MAP)
         for names, held in reversed(layouts):
             extra = F.concat_ws(sep, *[cells[f"c{i}"] for i in range(len(names), width)])
             values = F.array(*[cells[f"c{i}"] for i in range(len(names))], F.nullif(extra, F.lit("")))
             fits = F.lit(True)
             for at, value in held:
-                fits = fits & (F.lower(cells[f"c{at}"]) == value.lower())
+                fits = fits & (low[asked.index(at)] == value.lower())
             out = F.when(fits, F.map_from_arrays(F.array(*[F.lit(c) for c in [*names, "_extra"]]), values)).otherwise(out)
         return out
 
@@ -129,30 +143,45 @@ LEEF_HEADER = ("leef.version", "leef.vendor", "leef.product", "leef.product_vers
 
 def cef(line: Column) -> Column:
     """ArcSight's common event format: seven header fields divided by bars, then ``key=value`` with spaces in values."""
-    line = cut(line)
     cell = r"((?:[^|\\]|\\.)*)"
     pattern = r"(?s)CEF:(\d+)" + (r"\|" + cell) * 6 + r"\|(.*)$"
-    head = [F.regexp_replace(F.regexp_extract(line, pattern, i + 1), r"\\(.)", "$1") for i in range(7)]
-    pairs = F.filter(F.split(F.regexp_extract(line, pattern, 8), r"\s+(?=[\w.\-\[\]]+=)"), lambda p: p.contains("="))
-    names = F.transform(pairs, lambda p: F.trim(F.regexp_extract(p, r"(?s)^\s*([^=]+)=", 1)))
-    values = F.transform(pairs, lambda p: F.regexp_replace(F.regexp_replace(F.regexp_extract(p, r"(?s)=(.*)$", 1), r"\\([=|\\])", "$1"), r"\\n", "\n"))
-    return F.when(line.rlike(pattern), to_map(F.concat(F.array(*[F.lit(n) for n in CEF_HEADER]), names), F.concat(F.array(*head), values)))
+
+    def value(raw: Column) -> Column:
+        # Only values with a backslash pay for undoing it.
+        return F.when(raw.contains("\\"), F.regexp_replace(F.regexp_replace(raw, r"\\([=|\\])", "$1"), r"\\n", "\n")).otherwise(raw)
+
+    def mapped(found: Column) -> Column:
+        head = F.transform(F.slice(found, 2, 7), lambda x: F.regexp_replace(x, r"\\(.)", "$1"))
+        pairs = F.filter(F.split(found[8], r"\s+(?=[\w.\-\[\]]+=)"), lambda p: p.contains("="))
+        return bound(pairs, lambda each: named(head, each))
+
+    def named(head: Column, pairs: Column) -> Column:
+        names = F.transform(pairs, lambda p: F.trim(F.regexp_extract(p, r"(?s)^\s*([^=]+)=", 1)))
+        return to_map(F.concat(F.array(*[F.lit(n) for n in CEF_HEADER]), names), F.concat(head, F.transform(pairs, lambda p: value(_after(p)))))
+
+    return bound(bound(cut(line), lambda text: matched(text, pattern, 8)), lambda found: F.when(found.isNotNull(), mapped(found)))
 
 
 def leef(line: Column) -> Column:
     """IBM's format: version 1 has tabs between pairs, version 2 names its separator, as a character or in hex."""
-    line = cut(line)
     one, two = r"(?s)LEEF:(1[^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$", r"(?s)LEEF:(2[^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$"
-    second = line.rlike(two)
-    head = F.array(*[F.when(second, F.regexp_extract(line, two, i)).otherwise(F.regexp_extract(line, one, i)) for i in range(1, 6)])
-    said = F.regexp_extract(line, two, 6)
-    hexed = F.char(F.conv(F.regexp_extract(said, r"^(?:0x|x)([0-9A-Fa-f]{1,2})$", 1), 16, 10).try_cast("int"))
-    sep = F.when(~second | (said == ""), F.lit("\t")).when(said.rlike(r"^(?:0x|x)[0-9A-Fa-f]{1,2}$"), hexed).otherwise(said)
-    body = F.when(second, F.regexp_extract(line, two, 7)).otherwise(F.regexp_extract(line, one, 6))
-    pairs = F.filter(F.split(F.replace(body, sep, F.lit("\x00")), "\x00", -1), lambda p: p.contains("="))
-    names = F.transform(pairs, lambda p: F.trim(F.regexp_extract(p, r"(?s)^([^=]*)=", 1)))
-    values = F.transform(pairs, lambda p: F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1))
-    return F.when(line.rlike(one) | second, to_map(F.concat(F.array(*[F.lit(n) for n in LEEF_HEADER]), names), F.concat(head, values)))
+
+    def mapped(found: Column, said: Column, body: Column) -> Column:
+        hexed = F.char(F.conv(F.regexp_extract(said, r"^(?:0x|x)([0-9A-Fa-f]{1,2})$", 1), 16, 10).try_cast("int"))
+        sep = F.when(said == "", F.lit("\t")).when(said.rlike(r"^(?:0x|x)[0-9A-Fa-f]{1,2}$"), hexed).otherwise(said)
+        pairs = F.filter(F.split(F.replace(body, sep, F.lit("\x00")), "\x00", -1), lambda p: p.contains("="))
+        return bound(pairs, lambda each: named(F.slice(found, 2, 5), each))
+
+    def named(head: Column, pairs: Column) -> Column:
+        names = F.transform(pairs, lambda p: F.trim(F.substring_index(p, "=", 1)))
+        return to_map(F.concat(F.array(*[F.lit(n) for n in LEEF_HEADER]), names), F.concat(head, F.transform(pairs, _after)))
+
+    def either(text: Column) -> Column:
+        first = lambda found: F.when(found.isNotNull(), mapped(found, F.lit(""), found[6]))
+        second = lambda found: F.when(found.isNotNull(), mapped(found, found[6], found[7])).otherwise(bound(matched(text, one, 6), first))
+        return bound(matched(text, two, 7), second)
+
+    return bound(cut(line), either)
 
 
 def tsv(line: Column, fields: Column | list[str], unset: Column | str = "-", empty: Column | str = "(empty)", sep: Column | str = "\t") -> Column:
@@ -163,13 +192,16 @@ def tsv(line: Column, fields: Column | list[str], unset: Column | str = "-", emp
     line = cut(line)
     unset, empty, sep = (F.lit(x) if isinstance(x, str) else x for x in (unset, empty, sep))
     names = F.array(*[F.lit(f) for f in fields]) if isinstance(fields, list) else fields
-    cells = F.split(line, F.concat(F.lit("\\Q"), sep, F.lit("\\E")), -1)
     n = F.size(names)
-    extra = F.call_function("array_join", F.slice(cells, n + 1, F.greatest(F.size(cells) - n, F.lit(0))), sep)
-    padded = F.concat(F.slice(cells, F.lit(1), n), F.array_repeat(F.lit(None).cast("string"), F.greatest(n - F.size(cells), F.lit(0)).cast("int")))
-    # Names given as a list differ; only those of headers may have to be numbered.
-    mapped = F.map_from_arrays if isinstance(fields, list) else to_map
-    found = mapped(F.concat(names, F.array(F.lit("_extra"))), F.concat(padded, F.array(extra)))
+
+    def named(cells: Column) -> Column:
+        extra = F.call_function("array_join", F.slice(cells, n + 1, F.greatest(F.size(cells) - n, F.lit(0))), sep)
+        padded = F.concat(F.slice(cells, F.lit(1), n), F.array_repeat(F.lit(None).cast("string"), F.greatest(n - F.size(cells), F.lit(0)).cast("int")))
+        # Names given as a list differ; only those of headers may have to be numbered.
+        mapped = F.map_from_arrays if isinstance(fields, list) else to_map
+        return mapped(F.concat(names, F.array(F.lit("_extra"))), F.concat(padded, F.array(extra)))
+
+    found = bound(F.split(line, F.concat(F.lit("\\Q"), sep, F.lit("\\E")), -1), named)
     return F.when(line.contains(sep) & ~line.startswith("#"), F.map_filter(found, lambda k, v: v.isNotNull() & (v != unset) & (v != empty) & (v != "")))
 
 
@@ -257,20 +289,25 @@ def syslog(line: Column, received_ms: Column) -> Column:
 
     An RFC 3164 time has no year: it takes that of ``received_ms``, one less if it were more than two days after it.
     """
-    new, old = line.rlike(_RFC5424), line.rlike(_RFC3164)
-    priority = F.regexp_extract(line, r"^<(\d{1,3})>", 1).try_cast("int")
-    stamp = F.unix_millis(F.try_to_timestamp(F.regexp_extract(line, _RFC5424, 2)))
+    both = lambda text: F.struct(text.alias("line"), matched(text, _RFC5424, 8).alias("new"), matched(text, _RFC3164, 4).alias("old"))
+    return bound(bound(line, both), lambda x: _header(x["line"], x["new"], x["old"], received_ms))
+
+
+def _header(line: Column, new: Column, old: Column, received_ms: Column) -> Column:
+    """The struct of :func:`syslog` from a line and its groups under either pattern, null where it doesn't match."""
+    priority = F.when(line.startswith("<"), F.regexp_extract(line, r"^<(\d{1,3})>", 1).try_cast("int"))
+    stamp = F.unix_millis(F.try_to_timestamp(new[2]))
     year = F.year(F.timestamp_millis(received_ms))
-    said = F.regexp_extract(line, _RFC3164, 2)
+    said = old[2]
     month = F.array_position(F.array(*[F.lit(m) for m in "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()]), F.substring(said, 1, 3)).cast("int")
     clock = [F.substring(said, i, 2).try_cast("int") for i in (8, 11, 14)]
     made = lambda y: F.unix_millis(F.try_make_timestamp(y, month, F.trim(F.substring(said, 5, 2)).try_cast("int"), *clock, F.lit("UTC")))
-    guess = F.when(made(year) > received_ms + 2 * 86_400_000, made(year - 1)).otherwise(made(year))
-    data = F.regexp_extract(line, _RFC5424, 7)
-    message = F.when(new, F.concat(F.when(data != "-", F.concat(data, F.lit(" "))).otherwise(""), F.regexp_extract(line, _RFC5424, 8))).when(old, F.regexp_extract(line, _RFC3164, 4)).otherwise(F.regexp_replace(line, r"^<\d{1,3}>", ""))
-    message = F.when(old, F.regexp_replace(message, r"^[\w./-]+(?:\[\d+\])?: ", "")).otherwise(message)  # the program's tag
-    host = F.when(new, F.nullif(F.regexp_extract(line, _RFC5424, 3), F.lit("-"))).when(old, F.regexp_extract(line, _RFC3164, 3))
-    return F.struct(message.alias("message"), F.when(line.rlike(r"^<\d{1,3}>"), priority).alias("priority"), host.alias("host"), F.when(new, stamp).when(old, guess).alias("time_ms"), old.alias("assumed"))
+    guess = bound(made(year), lambda t: F.when(t > received_ms + 2 * 86_400_000, made(year - 1)).otherwise(t))
+    plain = F.when(line.startswith("<"), F.regexp_replace(line, r"^<\d{1,3}>", "")).otherwise(line)
+    message = F.when(new.isNotNull(), F.concat(F.when(new[7] != "-", F.concat(new[7], F.lit(" "))).otherwise(""), new[8])).when(old.isNotNull(), old[4]).otherwise(plain)
+    message = F.when(new.isNull() & old.isNotNull(), F.regexp_replace(message, r"^[\w./-]+(?:\[\d+\])?: ", "")).otherwise(message)  # the program's tag
+    host = F.when(new.isNotNull(), F.nullif(new[3], F.lit("-"))).when(old.isNotNull(), old[3])
+    return F.struct(message.alias("message"), priority.alias("priority"), host.alias("host"), F.when(new.isNotNull(), stamp).when(old.isNotNull(), guess).alias("time_ms"), F.when(line.isNotNull(), old.isNotNull()).alias("assumed"))
 
 
 def sniff(line: Column) -> Column:

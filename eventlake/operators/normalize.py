@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pipes import choose
-from ..functions.text import mask
+from ..functions.text import bound, mask
 from ..schema import GOLD, LONGEST
-from .extract import bound, syslog
+from .extract import syslog
 from .mapping import PACK, Source, map_events, once
 
 

@@ -106,3 +106,21 @@ def test_counted_frames_come_back(messages):
 
 def test_line_frames():
     assert split_frames(b"one\r\ntwo\n\n9999 short\nlast") == [b"one", b"two", b"9999 short", b"last"]
+
+
+def test_patterns_are_matched_once(spark):
+    from eventlake.sources import vendors
+
+    line = spark.range(1).select(F.concat(F.lit("<166>"), F.col("id").cast("string")).alias("v"))
+    for source, most in ((vendors.ASA, 200), (vendors.DNSMASQ, 60)):
+        plan = line.select(extract.EXTRACTORS[source.kind](F.col("v"), **source.options))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("regexp_extract(") + plan.count("regexp_replace(") + plan.count("RLIKE") < most
+    said = spark.createDataFrame([("a\x00b=1",), ("ab=2",), ("none",)], "v string").select(extract.regex(F.col("v"), r"(?P<k>[^=]+)=(?P<n>\d)(?P<no>x)?").alias("f")).collect()
+    assert [r.f for r in said] == [{"k": "a\x00b", "n": "1"}, {"k": "ab", "n": "2"}, None]
+
+
+def test_spread_deals_by_rows(spark, tmp_path):
+    from eventlake.session import spread
+
+    spark.range(250_000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    assert spread(spark.read.parquet(str(tmp_path / "t"))).rdd.getNumPartitions() == 5
