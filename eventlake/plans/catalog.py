@@ -384,7 +384,8 @@ FIREWALL = Source(
 
 def event_lines(spark, sf_dir) -> DataFrame:
     """``events`` as firewall lines: event_id, recv_ms and line. Errors become lines that no source knows."""
-    e = _with_ip(spark, sf_dir)
+    # Dealt before the lines are made, as events are the shorter rows.
+    e = spread(_with_ip(spark, sf_dir).drop("props"))
     ms = F.unix_millis("ts")
     kind = F.when(F.col("event_type").isin("click", "view", "purchase"), "traffic").otherwise("utm")
     action = F.when(F.col("event_type") == "purchase", "deny").otherwise("accept")
@@ -393,8 +394,7 @@ def event_lines(spark, sf_dir) -> DataFrame:
         F.col("user_id") % 4, F.col("user_id"), F.col("event_id"), kind, ms, F.col("src_ip"), 1024 + F.col("event_id") % 60000, F.col("event_id") % 200, 1 + F.col("event_id") % 1000, F.when(F.col("event_id") % 2 == 0, 6).otherwise(17), action, F.col("event_id") % 90, F.floor(F.col("value")).cast("long"),
     )
     junk = F.concat(F.lit("disk "), F.col("user_id").cast("string"), F.lit(" failed at 10.0.0.1 code 0x1f"))
-    made = e.select("event_id", ms.alias("recv_ms"), F.when(F.col("event_type") == "error", junk).otherwise(line).alias("line"))
-    return spread(made)
+    return e.select("event_id", ms.alias("recv_ms"), F.when(F.col("event_type") == "error", junk).otherwise(line).alias("line"))
 
 
 @query(
