@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 # Kinds of atoms and their patterns, in the order in which they are tried at each place of a line.
 KINDS = (
     ("TS", r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:?\d\d)?"),
@@ -38,7 +40,15 @@ def atoms(line: Column) -> Column:
             found = F.when(text.rlike(rf"(?U)\A(?:{pattern})\z"), name).otherwise(found)
         return found
 
-    return F.transform(F.regexp_extract_all(line, F.lit(_ATOM), F.lit(0)), lambda x: F.struct(kind(x).alias("kind"), x.alias("text")))
+    # One pass finds all atoms with their kinds: a pattern for each kind puts its atom behind as many marks as its number.
+    cut, mark = "\x01", "\x02"
+    each = "(?U)" + "|".join(f"({pattern})" for _, pattern in KINDS)
+    marked = F.regexp_replace(line, each, cut + mark.join(f"${i}" for i in range(1, len(KINDS) + 1)))
+    pieces = F.filter(F.split(marked, cut, -1), lambda x: x != "")
+    names = F.array(*[F.lit(name) for name, _ in KINDS])
+    read = F.transform(pieces, lambda x: bound(F.ltrim(x, F.lit(mark)), lambda left: F.struct(names[F.length(x) - F.length(left)].alias("kind"), F.rtrim(left, F.lit(mark)).alias("text"))))
+    apart = F.transform(F.regexp_extract_all(line, F.lit(_ATOM), F.lit(0)), lambda x: F.struct(kind(x).alias("kind"), x.alias("text")))
+    return F.when(line.contains(cut) | line.contains(mark), apart).otherwise(read)
 
 
 def _texts(found: Column) -> Column:
@@ -80,11 +90,14 @@ def groups(lines: DataFrame, text: str, key: str, share: float = 0.9) -> DataFra
     steady = words.filter(~F.col("valued")).crossJoin(F.broadcast(total)).filter(F.col("n") >= F.col("__all") * share).agg(F.collect_list("word").alias("__steady"))
     held = lambda x: x["kind"].isin(*FIXED) | (x["kind"] == "WORD") & F.array_contains(F.col("__steady"), x["text"])
     shaped = rows.crossJoin(F.broadcast(steady)).withColumn("shape", F.transform("atoms", lambda x: F.struct(x["kind"].alias("kind"), F.when(held(x), x["text"]).alias("text"))))
-    shaped = shaped.withColumn("shape_id", F.sha2(F.to_json("shape"), 256))
-    counts = shaped.groupBy("shape_id").agg(F.any_value("shape").alias("shape"), F.count("*").alias("n"), F.min("key").alias("first_key"))
+    shape_id = F.sha2(F.to_json("shape"), 256).alias("shape_id")
+    # Shapes are the groups themselves, and words are told apart before they are compared: both are sums in hash tables, while
+    # to keep an array or a text for each group would sort all lines.
+    counts = shaped.groupBy("shape").agg(F.count("*").alias("n"), F.min("key").alias("first_key")).select("*", shape_id)
     # Only words that aren't constants can be keywords; of each place only the least and the greatest word matter.
     open_words = F.filter(F.transform("atoms", lambda x, i: F.when((x["kind"] == "WORD") & ~F.array_contains(F.col("__steady"), x["text"]), F.struct(i.alias("place"), x["text"].alias("word")))), lambda x: x.isNotNull())
-    places = shaped.select("shape_id", F.explode(open_words).alias("x")).groupBy("shape_id", "x.place").agg(F.min("x.word").alias("word"), F.max("x.word").alias("__last"))
+    seen = shaped.select(shape_id, F.explode(open_words).alias("x")).groupBy("shape_id", "x.place", "x.word").agg(F.count("*").alias("__n"))
+    places = seen.groupBy("shape_id", "place").agg(F.min("word").alias("word"), F.max("word").alias("__last"))
     able = words.filter((F.col("n") >= 2) & F.col("clause") & ~F.col("valued") & F.col("word").rlike(r"\A\p{L}+\z")).select("word")
     keywords = places.filter(F.col("word") == F.col("__last")).join(able, "word").groupBy("shape_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "word"))).alias("__keywords"))
     joined = counts.join(keywords, "shape_id", "left").crossJoin(F.broadcast(total))
