@@ -2,23 +2,30 @@
 
 A node holds the templates of one number of words and the same first words, ``DEPTH`` of them at the leaves. Every node folds
 its templates into clusters, and only those go up to its parent, so a level is a partial aggregate of the next. A node with
-more members than fit in a task is dealt to several by a hash of their text, folded there, and dealt anew by another hash
-while that makes it smaller; what is left then meets bucket by bucket, each with each other once. All decisions depend on the
-templates and their counts alone, never on how Spark has spread the rows.
+more members than fit in a task is folded in turns, in the order of the one fold: the members of a turn first meet the
+clusters of earlier turns, block against block, and one task then settles the turn with what each of them agreed with most. A
+word that became ``<*>`` stays so, hence a cluster agrees with a member at least as well as any earlier state of it, and the
+best over all states is the best over the present ones. So the result is that of one fold over the whole node.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, scratch
+from .rows import running
 
 #: Stands for words that differ within a cluster. Levels of words above the leaves.
 WILD, DEPTH = "<*>", 2
-_SCHEMA = "template string, len int, n long, parts long, bucket int"
+#: Words that the members of one turn have at most, and rows that meet a block of clusters at once.
+WORDS, SLICE = 1_000_000, 256
+_SCHEMA = "template string, len int, n long, parts long"
+_FOUND = "node string, age long, score long, older long, seen int, wide string"
+_TURN = "node string, age array<long>, template array<string>, n array<long>, parts array<long>"
 
 
 def words_of(template: Column) -> Column:
@@ -27,35 +34,69 @@ def words_of(template: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
 
 
-def fold(rows: list[tuple[list[str], int, int]], similarity: float) -> list[tuple[list[str], int, int, int]]:
-    """Clusters (words, n, parts, index of the first member) of ``rows`` (words, n, parts), all of one number of words.
+def fold(rows: list[tuple[list[str], int, int, int]], similarity: float, found: dict[int, tuple[int, int, list[str]]] | None = None) -> list[tuple[list[str], int, int, int]]:
+    """Clusters (words, n, parts, age) of ``rows`` (words, n, parts, age), all of one number of words.
 
     In the given order each row joins the cluster that it agrees with most, if that is in at least ``similarity`` of its
-    words, or starts one; the older one wins a tie. A cluster's ``<*>`` agrees with any word.
+    words, or starts one of its own age; the older one wins a tie. A cluster's ``<*>`` agrees with any word. ``found`` has by
+    age (score, age, words) of the best among clusters made before; those that rows join come out with what they gained.
     """
     if not rows:
         return []
     number = {WILD: 0}
-    ids = np.array([[number.setdefault(w, len(number)) for w in words] for words, _, _ in rows], np.int64)
-    wide = np.empty_like(ids)  # clusters so far, in its first rows
-    members: list[list[int]] = []
-    for i, row in enumerate(ids):
-        if members:
-            known = wide[: len(members)]
-            same = ((known == row) | (known == 0)).sum(1)
-            best = int(same.argmax())
-            if same[best] >= similarity * ids.shape[1]:
-                known[best][known[best] != row] = 0
-                members[best].append(i)
-                continue
-        wide[len(members)] = row
-        members.append([i])
-    name = {i: w for w, i in number.items()}
-    return [([name[x] for x in wide[k].tolist()], sum(rows[i][1] for i in m), sum(rows[i][2] for i in m), m[0]) for k, m in enumerate(members)]
-
-
-def _folded(clusters: DataFrame, by: list[str], similarity: float) -> DataFrame:
-    """The clusters of each group of ``by``. A cluster keeps the bucket of its first member."""
+
+    def coded(words: list[str]) -> list[int]:
+        return [number.setdefault(w, len(number)) for w in words]
+
+    ids = np.array([coded(words) for words, *_ in rows], np.int32)
+    earlier = {age: (score, older, coded(words)) for age, (score, older, words) in (found or {}).items()}
+    wide, ages = np.empty_like(ids), np.empty(len(ids), np.int64)  # clusters so far, in the first rows
+    gained: list[list[int]] = []
+    for row, (_, n, parts, age) in zip(ids, rows, strict=True):
+        many = len(gained)
+        best, score, older, words = many, -1, age, row
+        if many:
+            same = ((wide[:many] == row) | (wide[:many] == 0)).sum(1)
+            score = int(same.max())
+            best = int(np.where(same == score, ages[:many], np.iinfo(np.int64).max).argmin())
+            older = int(ages[best])
+        if age in earlier and (earlier[age][0], -earlier[age][1]) > (score, -older):
+            best, (score, older, words) = many, earlier[age]
+        if score < similarity * ids.shape[1]:
+            best, older, words = many, age, row
+        if best == many:
+            wide[many], ages[many] = words, older
+            gained.append([0, 0])
+        wide[best][wide[best] != row] = 0
+        gained[best][0] += n
+        gained[best][1] += parts
+    name = list(number)
+    return [([name[x] for x in wide[k].tolist()], n, parts, int(ages[k])) for k, (n, parts) in enumerate(gained)]
+
+
+def agreed(known: pa.Array, asked: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``asked`` the number of words in which it agrees with a cluster of ``known`` at most, and the first such cluster."""
+    words = pa.concat_arrays([pc.split_pattern(a, " ").flatten() for a in (known, asked)]).dictionary_encode()
+    codes = words.indices.to_numpy().reshape(len(known) + len(asked), -1)
+    codes = codes.astype(np.int16 if len(words.dictionary) < 2**15 else np.int32)
+    wild = pc.index(words.dictionary, WILD).as_py()
+    many, length = len(known), codes.shape[1]
+    clusters, rows = np.where(codes[:many] == wild, -1, codes[:many]).T.copy(), codes[many:]
+    free = (clusters == -1).sum(0).astype(np.uint8 if length < 2**8 else np.int32)
+    scores, firsts = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
+    for at in range(0, len(rows), SLICE):
+        some = rows[at : at + SLICE]
+        same, equal = np.repeat(free[None], len(some), 0), np.empty((len(some), many), bool)
+        for k in range(length):
+            np.equal(some[:, k, None], clusters[k], out=equal)
+            np.add(same, equal.view(np.uint8), out=same)
+        firsts[at : at + SLICE] = same.argmax(1)
+        scores[at : at + SLICE] = same.max(1)
+    return scores, firsts
+
+
+def _folded(clusters: DataFrame, similarity: float) -> DataFrame:
+    """The clusters of each node, each node in one task."""
 
     def run(batches):
         key, rows = None, []
@@ -63,45 +104,99 @@ def _folded(clusters: DataFrame, by: list[str], similarity: float) -> DataFrame:
         def folded() -> list[tuple]:
             if len(rows) == 1:
                 return [(rows[0][0], len(rows[0][0].split(" ")), *rows[0][1:])]
-            found = fold([(t.split(" "), n, parts) for t, n, parts, _ in rows], similarity)
-            return [(" ".join(w), len(w), n, parts, rows[i][3]) for w, n, parts, i in found]
+            found = fold([(t.split(" "), n, parts, i) for i, (t, n, parts) in enumerate(rows)], similarity)
+            return [(" ".join(w), len(w), n, parts) for w, n, parts, _ in found]
 
         for batch in batches:
             made = []
-            for *row, group in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if group != key:
+            for *row, node in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if node != key:
                     made += folded() if rows else []
-                    key, rows = group, []
+                    key, rows = node, []
                 rows.append(row)
             yield _table(made)
         yield _table(folded() if rows else [])
 
-    group = F.struct(*by)
-    near = clusters.repartition(*by).sortWithinPartitions(*by, F.col("n").desc(), "template")
-    return near.select("template", "n", "parts", "bucket", F.to_json(group).alias("group")).mapInArrow(run, _SCHEMA)
+    near = clusters.repartition("node").sortWithinPartitions("node", F.col("n").desc(), "template")
+    return near.select("template", "n", "parts", "node").mapInArrow(run, _SCHEMA)
 
 
 def _table(found: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-    columns = list(zip(*found, strict=True)) or [()] * 5
-    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["template", "len", "n", "parts", "bucket"])
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64()]
+    columns = list(zip(*found, strict=True)) or [()] * 4
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["template", "len", "n", "parts"])
 
 
-def _dealt(clusters: DataFrame, by: list[str], most: int, seed: int) -> DataFrame:
-    """``clusters`` with ``bucket``, one for each ``most`` members of a group of ``by``, chosen by a hash of the template."""
-    sizes = clusters.groupBy(*by).agg(F.ceil(F.count("*") / most).cast("int").alias("__k"))
-    joined = clusters.drop("bucket").join(sizes, by)
-    return joined.withColumn("bucket", F.pmod(F.xxhash64("template", F.lit(seed)), F.col("__k")).cast("int")).drop("__k")
+def _level(clusters: DataFrame, depth: int, most: int, similarity: float) -> DataFrame:
+    """The nodes of one level, folded. Words with a mark are no branch of the tree, as in other positions they differ."""
+    words = [F.get(F.split("template", " "), F.lit(k)) for k in range(depth)]
+    node = F.concat_ws(" ", "len", *[F.when(w.contains("<"), "").otherwise(F.coalesce(w, F.lit(""))) for w in words])
+    clusters = clusters.withColumn("node", node)
+    fits = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.lit(WORDS) / F.col("len")))).cast("int")
+    large = cut(clusters.groupBy("node", fits.alias("fits")).count().filter("count > fits").select("node", "fits"))
+    if not large.limit(1).count():
+        return _folded(clusters, similarity)
+    # Names of large nodes, one for thousands of members, are broadcast: after a shuffle join by node, Spark would take the
+    # repartition by node for done, and then may read that join's shuffle in other pieces.
+    large = F.broadcast(large)
+    return _folded(clusters.join(large, "node", "left_anti"), similarity).unionByName(_in_turns(clusters.join(large, "node"), similarity))
+
+
+def _in_turns(members: DataFrame, similarity: float) -> DataFrame:
+    """The clusters of nodes that are folded ``fits`` members at a time."""
+    spark, columns = members.sparkSession, ("age", "template", "n", "parts")
+    placed = running(members, ["node"], [F.col("n").desc(), F.col("template")]).withColumnRenamed("__before", "age")
+    turns = placed.groupBy("node", F.expr("cast(age div fits as int)").alias("turn")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("m"))
+    with scratch(spark, "turns") as here:
+        turns.select("node", "turn", *[F.col(f"m.{c}").alias(c) for c in columns]).write.partitionBy("turn").parquet(f"{here}/members")
+        last = spark.read.parquet(f"{here}/members").agg(F.max("turn")).first()[0]
+        for turn in range(last + 1):
+            members = spark.read.schema(_TURN).parquet(f"{here}/members/turn={turn}")
+            if turn:
+                known = spark.read.schema(f"{_TURN}, turn int").parquet(f"{here}/clusters").select("node", F.col("turn").alias("seen"), *[F.col(c).alias(f"known_{c}") for c in ("age", "template")])
+                met = members.select("node", F.explode(F.sequence(F.lit(0), F.lit(turn - 1))).alias("seen"), "age", "template").join(known, ["node", "seen"])
+                best = met.mapInArrow(_meeting(similarity), _FOUND).groupBy("node", "age").agg(F.max(F.struct("score", -F.col("older"), "seen", "wide")).alias("b"))
+                found = best.groupBy("node").agg(F.collect_list(F.struct("age", "b.score", (-F.col("b.col2")).alias("older"), "b.wide")).alias("found"))
+                members = members.join(found, "node", "left")
+            else:
+                members = members.withColumn("found", F.lit(None).cast("array<struct<age: long, score: long, older: long, wide: string>>"))
+            members.repartition("node").mapInArrow(_settling(similarity), _TURN).write.parquet(f"{here}/clusters/turn={turn}")
+        states = spark.read.schema(f"{_TURN}, turn int").parquet(f"{here}/clusters").select("node", "turn", F.inline(F.arrays_zip(*columns)))
+        whole = states.groupBy("node", "age").agg(F.max_by("template", "turn").alias("template"), F.sum("n").alias("n"), F.sum("parts").alias("parts"))
+        return cut(whole.select("template", F.size(F.split("template", " ")).alias("len"), "n", "parts"))
+
+
+def _meeting(similarity: float):
+    """For members of a turn, what they agree with most among the clusters that an earlier turn left in its last state."""
 
+    def run(batches):
+        for batch in batches:
+            for node, seen, ages, asked, known_ages, known in zip(*[batch.column(c) for c in ("node", "seen", "age", "template", "known_age", "known_template")], strict=True):
+                scores, firsts = agreed(known.values, asked.values)
+                enough = np.flatnonzero(scores >= similarity * len(asked.values[0].as_py().split(" ")))
+                older, wide = known_ages.values.take(firsts[enough]), known.values.take(firsts[enough])
+                same = [pa.array([v.as_py()] * len(enough), k) for v, k in ((node, pa.string()), (seen, pa.int32()))]
+                yield pa.record_batch([same[0], ages.values.take(enough), pa.array(scores[enough]), older, same[1], wide], names=["node", "age", "score", "older", "seen", "wide"])
 
-def _level(clusters: DataFrame, depth: int, most: int, similarity: float, seed: int = 0) -> DataFrame:
-    """The nodes of one level, folded. Words with a mark are no branch of the tree, as in other positions they differ."""
-    words = F.split("template", " ")
-    for k in range(depth):
-        word = F.get(words, F.lit(k))
-        clusters = clusters.withColumn(f"w{k}", F.when(word.contains("<"), "").otherwise(F.coalesce(word, F.lit(""))))
-    by = ["len", *[f"w{k}" for k in range(depth)]]
-    return _folded(_dealt(clusters, by, most, seed), [*by, "bucket"], similarity)
+    return run
+
+
+def _settling(similarity: float):
+    """The members of a turn, folded: clusters that are new or gained members, by age, with what they gained in this turn."""
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for r in batch.to_pylist():
+                found = {f["age"]: (f["score"], f["older"], f["wide"].split(" ")) for f in r["found"] or ()}
+                rows = [(t.split(" "), n, parts, age) for age, t, n, parts in zip(r["age"], r["template"], r["n"], r["parts"], strict=True)]
+                folded = sorted((age, " ".join(w), n, parts) for w, n, parts, age in fold(rows, similarity, found))
+                made.append((r["node"], *[list(c) for c in zip(*folded, strict=True)]))
+            kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            columns = list(zip(*made, strict=True)) or [()] * 5
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "age", "template", "n", "parts"])
+
+    return run
 
 
 def _met(bucket: Column, buckets: Column, turn: int) -> Column:
@@ -116,32 +211,11 @@ def merge(counts: DataFrame, similarity: float = 0.5, most: int = 5_000, depth:
 
     Words that differ within a wide template are ``<*>``. Members of a node are taken commonest first, then by text. Null
     templates are left out, repeated ones are added up, and an empty table gives no rows. No template is ever dropped:
-    ``most`` only bounds what one task folds at a time.
+    ``most`` only bounds what one task folds at a time, and has no part in the result. Members that stay apart meet each
+    other, so the work of a node grows with its square; it is done block by block in as many tasks as there are pairs.
     """
     rows = counts.filter(F.col("template").isNotNull()).select(words_of(F.col("template")).alias("w"), "n")
-    clusters = rows.groupBy(F.array_join("w", " ").alias("template"), F.size("w").alias("len")).agg(F.sum("n").alias("n")).withColumns({"parts": F.lit(1).cast("long"), "bucket": F.lit(0)})
+    clusters = rows.groupBy(F.array_join("w", " ").alias("template"), F.size("w").alias("len")).agg(F.sum("n").alias("n")).withColumn("parts", F.lit(1).cast("long"))
     for level in range(depth, -1, -1):
         clusters = _level(cut(clusters), level, most, similarity)
-    clusters, before, seed = cut(clusters), None, 0
-    while True:
-        rows, biggest = clusters.groupBy("len").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
-        if biggest <= most:
-            break
-        if before is not None and rows > 0.9 * before:  # dealing anew brings little more together
-            return _round_robin(clusters, most, similarity).select("template", "n", "parts")
-        before, seed = rows, seed + 1
-        clusters = cut(_level(clusters, 0, most, similarity, seed))
-    if seed or clusters.filter("bucket > 0").limit(1).count():
-        clusters = _level(clusters, 0, most, similarity)  # now each number of words is one group
     return clusters.select("template", "n", "parts")
-
-
-def _round_robin(clusters: DataFrame, most: int, similarity: float) -> DataFrame:
-    """Each bucket of a number of words meets each other one once, two to a task."""
-    clusters = _dealt(clusters, ["len"], most, -1)
-    sizes = cut(clusters.groupBy("len").agg(F.max("bucket").alias("buckets")).withColumn("buckets", F.col("buckets") + 1))
-    turns = sizes.agg(F.max("buckets")).first()[0]
-    for turn in range(max(1, turns + turns % 2 - 1)):
-        paired = clusters.join(sizes, "len").withColumn("pair", _met(F.col("bucket"), F.col("buckets"), turn)).drop("buckets")
-        clusters = cut(_folded(paired, ["len", "pair"], similarity))
-    return clusters

@@ -5,6 +5,7 @@ import os
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,6 +188,45 @@ def test_full_nodes_are_dealt_and_lose_nothing(spark):
         assert {(r.template, r.n, r.parts) for r in template_tree.merge(df.repartition(parts), most=16).collect()} == want
 
 
+@pytest.mark.parametrize("most", [5, 12])
+def test_full_nodes_are_folded_as_one(spark, most):
+    made = some_templates(7, 120)
+    sizes = Counter(len(t.split() or [""]) for t in made).values()
+    assert min(sizes) <= most < max(sizes)
+    df = spark.createDataFrame(list(made.items()), "template string, n long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small nodes lie in several partitions, as in large tables
+    try:
+        got = Counter((r.template, r.n, r.parts) for r in template_tree.merge(df, most=most, depth=0).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == plain_tree(made, 0)
+
+
+def test_turns_of_a_node_go_on_with_its_clusters():
+    rng = np.random.default_rng(5)
+    made = sorted({tuple(str(rng.choice(list("abcd"[: k % 3 + 2]))) for k in range(6)) for _ in range(300)})
+    members = [(list(w), int(rng.integers(1, 4)), 1) for w in made]
+    members.sort(key=lambda m: (-m[1], " ".join(m[0])))
+    rows, states, gained = [(*m, age) for age, m in enumerate(members)], [], Counter()
+    for at in range(0, len(rows), 10):
+        some, found = rows[at : at + 10], {}
+        for seen, known in enumerate(states):  # every state that a turn has left, as on a cluster
+            scores, firsts = template_tree.agreed(pa.array([" ".join(w) for w, *_ in known]), pa.array([" ".join(w) for w, *_ in some]))
+            for (*_, age), score, first in zip(some, scores.tolist(), firsts.tolist()):
+                words, *_, older = known[first]
+                if score >= 3 and (score, -older, seen) > found.get(age, (0,))[0:1] + found.get(age, (0, 0, 0))[1:3]:
+                    found[age] = (score, -older, seen, words)
+        states.append(sorted(template_tree.fold(some, 0.5, {age: (f[0], -f[1], f[3]) for age, f in found.items()}), key=lambda c: c[3]))
+    last = {}
+    for known in states:
+        for words, n, parts, age in known:
+            last[age] = words
+            gained[age, "n"] += n
+            gained[age, "parts"] += parts
+    got = Counter((" ".join(w), gained[age, "n"], gained[age, "parts"]) for age, w in last.items())
+    assert got == Counter((" ".join(w), n, parts) for w, n, parts in plain_fold(members)) and any("<*>" in t for t, *_ in got)
+
+
 def test_every_bucket_meets_every_other_once(spark):
     for k in range(1, 9):
         turns = max(1, k + k % 2 - 1)
