@@ -53,17 +53,18 @@ def outer_registry(seen: DataFrame, registry: DataFrame, on: str, defaults: dict
     return seen.join(registry, on, "full").fillna(defaults)
 
 
-def running(df: DataFrame, by: list[str], order: list[Column], n: Column | None = None) -> DataFrame:
+def running(df: DataFrame, by: list[str], order: list[Column], n: Column | None = None, near: list[Column] | None = None) -> DataFrame:
     """``df`` with ``__before``, the sum of ``n`` (1 if left out) over rows of the same ``by`` that sort before, and ``__all``, over all.
 
     Rows are range-partitioned by (by, order), each range's total gives the offset of the ranges after it, and a running
     sum inside the range does the rest: no task holds more than one range, however large a group or the table is. The
-    ranges are fixed by a checkpoint, since a second sampling could cut elsewhere.
+    ranges are fixed by a checkpoint, since a second sampling could cut elsewhere. The driver samples what ranges are cut by:
+    for an order of long texts ``near`` is a short one that never contradicts it, and rows equal in that share a range.
     """
     n = F.lit(1).cast("long") if n is None else n
     marked = df.select("*", n.alias("__n"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(marked.repartitionByRange(parts, *by, *order).withColumn("__part", F.spark_partition_id()))
+    ranged = cut(marked.repartitionByRange(parts, *by, *(near or order)).withColumn("__part", F.spark_partition_id()))
     held = _spanning(ranged, by) if by else ranged
     totals = held.groupBy(*by, "__part").agg(F.sum("__n").alias("__sum"))
     over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))

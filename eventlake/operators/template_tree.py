@@ -3,13 +3,16 @@
 A node holds the templates of one number of words and the same first words, ``DEPTH`` of them at the leaves. Every node folds
 its templates into clusters, and only those go up to its parent, so a level is a partial aggregate of the next. A node with
 more members than fit in a task is folded in turns, in the order of the one fold: the members of a turn first meet the
-clusters of earlier turns, block against block, and one task then settles the turn with what each of them agreed with most. A
-word that became ``<*>`` stays so, hence a cluster agrees with a member at least as well as any earlier state of it, and the
-best over all states is the best over the present ones. So the result is that of one fold over the whole node.
+clusters as earlier turns left them, in a task for each block of clusters, and one task then settles the turn with what each
+of them agreed with most. A word that became ``<*>`` stays so, hence a cluster agrees with a member at least as well as any
+earlier state of it, and the best over those states and the turn's own is the best over the present ones. So the result is
+that of one fold over the whole node. What the driver holds doesn't grow with members, clusters or turns.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,11 +24,15 @@ from .rows import running
 
 #: Stands for words that differ within a cluster. Levels of words above the leaves.
 WILD, DEPTH = "<*>", 2
-#: Words that the members of one turn have at most, and rows that meet a block of clusters at once.
-WORDS, SLICE = 1_000_000, 256
+#: Words that the members of one turn have at most, and rows that meet a block of clusters at once. How often turns double.
+WORDS, SLICE, DOUBLED = 1_000_000, 256, 3
+#: Characters of a template by which ranges of a large node are cut; what is sampled for that goes through the driver.
+PREFIX = 256
 _SCHEMA = "template string, len int, n long, parts long"
-_FOUND = "node string, age long, score long, older long, seen int, wide string"
-_TURN = "node string, age array<long>, template array<string>, n array<long>, parts array<long>"
+_MEMBERS = "node string, age long, template string, n long, parts long, fits int"
+_FOUND = "node string, age long, score long, older long, block long, wide string"
+_KNOWN = "node string, block long, age long, template string"
+_CLUSTERS = "node string, block long, age long, template string, n long, parts long"
 
 
 def words_of(template: Column) -> Column:
@@ -142,41 +149,77 @@ def _level(clusters: DataFrame, depth: int, most: int, similarity: float) -> Dat
     return _folded(clusters.join(large, "node", "left_anti"), similarity).unionByName(_in_turns(clusters.join(large, "node"), similarity))
 
 
+def _turn() -> Column:
+    """The turn of a member: the first has ``fits``, and later ones double ``DOUBLED`` times while their words fit."""
+    doubled = f"least({DOUBLED}, length(bin(greatest(fits, {WORDS} div len) div fits)) - 1)"
+    nth, power = "(age div fits + 1)", f"shiftleft(1L, {doubled})"
+    return F.expr(f"cast(if({nth} < {power}, length(bin({nth})), {doubled} + {nth} div {power}) - 1 as int)")
+
+
 def _in_turns(members: DataFrame, similarity: float) -> DataFrame:
-    """The clusters of nodes that are folded ``fits`` members at a time."""
-    spark, columns = members.sparkSession, ("age", "template", "n", "parts")
-    placed = running(members, ["node"], [F.col("n").desc(), F.col("template")]).withColumnRenamed("__before", "age")
-    turns = placed.groupBy("node", F.expr("cast(age div fits as int)").alias("turn")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("m"))
+    """The clusters of nodes that are folded in turns, and met in blocks of ``fits`` clusters.
+
+    Rows of one key meet after a repartition, not in a join: Spark would judge a side by its files, which are far smaller
+    than the copies for each block, and take them through the driver.
+    """
+    spark, columns = members.sparkSession, ("node", "age", "template", "n", "parts", "fits")
+    placed = running(members, ["node"], [F.col("n").desc(), F.col("template")], near=[F.col("n").desc(), F.left("template", F.lit(PREFIX))]).withColumnRenamed("__before", "age")
     with scratch(spark, "turns") as here:
-        turns.select("node", "turn", *[F.col(f"m.{c}").alias(c) for c in columns]).write.partitionBy("turn").parquet(f"{here}/members")
+        placed.select(*columns, _turn().alias("turn")).write.partitionBy("turn").parquet(f"{here}/members")
         last = spark.read.parquet(f"{here}/members").agg(F.max("turn")).first()[0]
         for turn in range(last + 1):
-            members = spark.read.schema(_TURN).parquet(f"{here}/members/turn={turn}")
+            members = spark.read.schema(_MEMBERS).parquet(f"{here}/members/turn={turn}")
             if turn:
-                known = spark.read.schema(f"{_TURN}, turn int").parquet(f"{here}/clusters").select("node", F.col("turn").alias("seen"), *[F.col(c).alias(f"known_{c}") for c in ("age", "template")])
-                met = members.select("node", F.explode(F.sequence(F.lit(0), F.lit(turn - 1))).alias("seen"), "age", "template").join(known, ["node", "seen"])
-                best = met.mapInArrow(_meeting(similarity), _FOUND).groupBy("node", "age").agg(F.max(F.struct("score", -F.col("older"), "seen", "wide")).alias("b"))
-                found = best.groupBy("node").agg(F.collect_list(F.struct("age", "b.score", (-F.col("b.col2")).alias("older"), "b.wide")).alias("found"))
-                members = members.join(found, "node", "left")
+                known = spark.read.schema(_KNOWN).parquet(f"{here}/known{(turn - 1) % 2}")
+                members = members.join(F.broadcast(known.groupBy("node").agg(F.count("*").alias("had"))), "node")
+                blocks = F.explode(F.expr("sequence(0L, (had - 1) div fits)"))
+                asked = members.select("node", blocks.alias("block"), F.lit(1).alias("kind"), "age", "template")
+                met = known.select("node", "block", F.lit(0).alias("kind"), "age", "template").unionByName(asked)
+                found = met.repartition("node", "block").sortWithinPartitions("node", "block", "kind", "age").mapInArrow(_meeting(similarity), _FOUND)
+                members = members.unionByName(found, allowMissingColumns=True)
             else:
-                members = members.withColumn("found", F.lit(None).cast("array<struct<age: long, score: long, older: long, wide: string>>"))
-            members.repartition("node").mapInArrow(_settling(similarity), _TURN).write.parquet(f"{here}/clusters/turn={turn}")
-        states = spark.read.schema(f"{_TURN}, turn int").parquet(f"{here}/clusters").select("node", "turn", F.inline(F.arrays_zip(*columns)))
+                members = members.withColumns({"had": F.lit(0).cast("long"), **{c: F.lit(None).cast(k) for c, k in (("score", "long"), ("older", "long"), ("block", "long"), ("wide", "string"))}})
+            settled = members.repartition("node").sortWithinPartitions("node", F.col("score").isNotNull(), "age").mapInArrow(_settling(similarity), _CLUSTERS)
+            settled.write.parquet(f"{here}/clusters/turn={turn}")
+            if turn < last:
+                states = spark.read.schema(_CLUSTERS).parquet(f"{here}/clusters/turn={turn}").select("node", "block", "age", "template", F.lit(turn).alias("turn"))
+                if turn:  # nodes without members in this turn have none later
+                    going = F.broadcast(states.select("node").distinct())
+                    states = states.unionByName(known.join(going, "node", "left_semi").withColumn("turn", F.lit(turn - 1)))
+                present = states.groupBy("node", "age").agg(F.max_by(F.struct("block", "template"), "turn").alias("c"))
+                present.select("node", "c.block", "age", "c.template").write.mode("overwrite").parquet(f"{here}/known{turn % 2}")
+        states = spark.read.schema(f"{_CLUSTERS}, turn int").parquet(f"{here}/clusters")
         whole = states.groupBy("node", "age").agg(F.max_by("template", "turn").alias("template"), F.sum("n").alias("n"), F.sum("parts").alias("parts"))
         return cut(whole.select("template", F.size(F.split("template", " ")).alias("len"), "n", "parts"))
 
 
+def _runs(batches, by: tuple[str, ...]):
+    """The key of neighbouring rows with equal ``by``, and those rows; a key that goes on in the next batch comes again."""
+    for batch in batches:
+        at = 0
+        for key, same in groupby(zip(*[batch.column(c).to_pylist() for c in by], strict=True)):
+            many = sum(1 for _ in same)
+            yield key, batch.slice(at, many)
+            at += many
+
+
 def _meeting(similarity: float):
-    """For members of a turn, what they agree with most among the clusters that an earlier turn left in its last state."""
+    """For members of a turn, what they agree with most in one block of the clusters that earlier turns left."""
 
     def run(batches):
-        for batch in batches:
-            for node, seen, ages, asked, known_ages, known in zip(*[batch.column(c) for c in ("node", "seen", "age", "template", "known_age", "known_template")], strict=True):
-                scores, firsts = agreed(known.values, asked.values)
-                enough = np.flatnonzero(scores >= similarity * len(asked.values[0].as_py().split(" ")))
-                older, wide = known_ages.values.take(firsts[enough]), known.values.take(firsts[enough])
-                same = [pa.array([v.as_py()] * len(enough), k) for v, k in ((node, pa.string()), (seen, pa.int32()))]
-                yield pa.record_batch([same[0], ages.values.take(enough), pa.array(scores[enough]), older, same[1], wide], names=["node", "age", "score", "older", "seen", "wide"])
+        at, blocks, known = None, [], None
+        for (node, block, kind), rows in _runs(batches, ("node", "block", "kind")):
+            if at != (node, block):
+                at, blocks, known = (node, block), [], None
+            if not kind:
+                blocks.append(rows)
+                continue
+            known = known or [pa.concat_arrays([b.column(c) for b in blocks]) for c in ("age", "template")]
+            asked = rows.column("template")
+            scores, firsts = agreed(known[1], asked)
+            enough = np.flatnonzero(scores >= similarity * len(asked[0].as_py().split(" ")))
+            same = [pa.array([v] * len(enough), k) for v, k in ((node, pa.string()), (block, pa.int64()))]
+            yield pa.record_batch([same[0], rows.column("age").take(enough), pa.array(scores[enough]), known[0].take(firsts[enough]), same[1], known[1].take(firsts[enough])], names=["node", "age", "score", "older", "block", "wide"])
 
     return run
 
@@ -184,17 +227,32 @@ def _meeting(similarity: float):
 def _settling(similarity: float):
     """The members of a turn, folded: clusters that are new or gained members, by age, with what they gained in this turn."""
 
+    def settled(node: str, rows: list[tuple], found: dict[int, tuple], had: int, fits: int) -> pa.RecordBatch:
+        best = {age: (score, -older, wide.split(" ")) for age, (score, older, _, wide) in found.items()}
+        blocks = {-older: block for _, older, block, _ in found.values()}
+        made = []
+        for age, words, n, parts in sorted((age, words, n, parts) for words, n, parts, age in fold(rows, similarity, best)):
+            if age not in blocks:
+                blocks[age], had = had // fits, had + 1
+            made.append((node, blocks[age], age, " ".join(words), n, parts))
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=["node", "block", "age", "template", "n", "parts"])
+
     def run(batches):
-        for batch in batches:
-            made = []
-            for r in batch.to_pylist():
-                found = {f["age"]: (f["score"], f["older"], f["wide"].split(" ")) for f in r["found"] or ()}
-                rows = [(t.split(" "), n, parts, age) for age, t, n, parts in zip(r["age"], r["template"], r["n"], r["parts"], strict=True)]
-                folded = sorted((age, " ".join(w), n, parts) for w, n, parts, age in fold(rows, similarity, found))
-                made.append((r["node"], *[list(c) for c in zip(*folded, strict=True)]))
-            kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            columns = list(zip(*made, strict=True)) or [()] * 5
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "age", "template", "n", "parts"])
+        key, rows, found, had, fits = None, [], {}, 0, 1
+        for (node,), some in _runs(batches, ("node",)):
+            if node != key:
+                if rows:
+                    yield settled(key, rows, found, had, fits)
+                key, rows, found = node, [], {}
+            for r in some.to_pylist():
+                if r["score"] is None:
+                    rows.append((r["template"].split(" "), r["n"], r["parts"], r["age"]))
+                    had, fits = r["had"], r["fits"]
+                else:  # members come first, then what each block has for them
+                    found[r["age"]] = max(found.get(r["age"], (-1,)), (r["score"], -r["older"], r["block"], r["wide"]))
+        if rows:
+            yield settled(key, rows, found, had, fits)
 
     return run
 
@@ -211,8 +269,9 @@ def merge(counts: DataFrame, similarity: float = 0.5, most: int = 5_000, depth:
 
     Words that differ within a wide template are ``<*>``. Members of a node are taken commonest first, then by text. Null
     templates are left out, repeated ones are added up, and an empty table gives no rows. No template is ever dropped:
-    ``most`` only bounds what one task folds at a time, and has no part in the result. Members that stay apart meet each
-    other, so the work of a node grows with its square; it is done block by block in as many tasks as there are pairs.
+    ``most`` only bounds what one task folds at a time (the first turn; later ones have up to eight times as many), and has
+    no part in the result. Members that stay apart meet each other, so the work of a node grows with its square then; it is
+    done in as many tasks as a turn's members have blocks of clusters to meet.
     """
     rows = counts.filter(F.col("template").isNotNull()).select(words_of(F.col("template")).alias("w"), "n")
     clusters = rows.groupBy(F.array_join("w", " ").alias("template"), F.size("w").alias("len")).agg(F.sum("n").alias("n")).withColumn("parts", F.lit(1).cast("long"))

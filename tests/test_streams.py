@@ -227,6 +227,29 @@ def test_turns_of_a_node_go_on_with_its_clusters():
     assert got == Counter((" ".join(w), n, parts) for w, n, parts in plain_fold(members)) and any("<*>" in t for t, *_ in got)
 
 
+def test_turns_join_nothing_but_names(spark, monkeypatch):
+    far = spark.createDataFrame([(f"{i} {i} {i}", 1) for i in range(60)], "template string, n long")
+    join, sizes = type(far).join, []
+    monkeypatch.setattr(type(far), "join", lambda self, other, *a: sizes.append(other.count()) or join(self, other, *a))
+    got = template_tree.merge(far, most=2, depth=0).collect()
+    assert {(r.template, r.n, r.parts) for r in got} == {(f"{i} {i} {i}", 1, 1) for i in range(60)}
+    assert sizes and max(sizes) <= 8  # two a range at most; clusters of 29 turns, against as many copies of members, before
+
+
+def test_turns_double_while_their_words_fit(spark):
+    rows = [(age, 5, words) for words in (3, 200_000) for age in range(200)]
+    got = spark.createDataFrame(rows, "age long, fits int, len int").groupBy("len", template_tree._turn().alias("turn")).agg(F.count("*").alias("k"), F.min("age").alias("at")).orderBy("len", "turn").collect()
+    assert [(r.turn, r.k, r.at) for r in got if r.len == 3] == [(0, 5, 0), (1, 10, 5), (2, 20, 15), (3, 40, 35), (4, 40, 75), (5, 40, 115), (6, 40, 155), (7, 5, 195)]
+    assert [(r.turn, r.k, r.at) for r in got if r.len == 200_000] == [(k, 5, 5 * k) for k in range(40)]
+
+
+def test_ranges_of_long_templates_keep_the_order(spark):
+    long = [("x" * 300 + f"{i:03}", 1) for i in range(100)] + [(f"{i:03}", 1) for i in range(100)]
+    df = spark.createDataFrame(long, "template string, n long")
+    placed = rows.running(df, ["n"], [F.col("template")], near=[F.left("template", F.lit(256))]).collect()
+    assert {r.template: r["__before"] for r in placed} == {t: k for k, t in enumerate(sorted(t for t, _ in long))}
+
+
 def test_every_bucket_meets_every_other_once(spark):
     for k in range(1, 9):
         turns = max(1, k + k % 2 - 1)
