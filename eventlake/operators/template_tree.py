@@ -6,7 +6,7 @@ more members than fit in a task is folded in turns, in the order of the one fold
 clusters as earlier turns left them, in a task for each block of clusters, and one task then settles the turn with what each
 of them agreed with most. A word that became ``<*>`` stays so, hence a cluster agrees with a member at least as well as any
 earlier state of it, and the best over those states and the turn's own is the best over the present ones. So the result is
-that of one fold over the whole node. What the driver holds doesn't grow with members, clusters or turns.
+that of one fold over the whole node. Neither members nor clusters go through the driver, but for samples that fix ranges.
 """
 
 from __future__ import annotations
